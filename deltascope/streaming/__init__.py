@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator here is a batch operator.
+
+The functions in `deltascope.functions` are plain column expressions, so they can be used in
+a streaming query, but nothing in this package keeps state across micro-batches.
+"""
