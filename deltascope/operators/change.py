@@ -277,6 +277,13 @@ class ChangeAnalysis:
         self._keep()
         return describe(self.spellings)
 
+    # ------------------------------------------------------------- figures for an answer
+
+    def facts(self, scope: str = "") -> DataFrame:
+        from deltascope.operators.facts import facts
+
+        return facts(self, scope)
+
     # ------------------------------------------------------------- verification
 
     @cached_property
