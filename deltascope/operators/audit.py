@@ -185,9 +185,10 @@ def audit_answers(
     needs_change = F.col("assertion").isin(*CHANGE_ASSERTIONS) & F.col("has_change").isNull()
     needs_code = F.col("assertion").isin(*CODE_ASSERTIONS) & F.col("successful").isNull()
     routed = F.concat(F.lit("routed to '"), F.col("route"), F.lit("', so there is nothing to compare"))
-    name = F.concat_ws(" ", "assertion", F.array_join("terms", ", "), F.col("value").cast("string"))
+    listed = F.when(F.size("terms") > 0, F.array_join("terms", ", "))
+    name = F.concat_ws(" ", "assertion", listed, F.col("value").cast("string"))
     return graded.select(
-        "answer_id", "case_id", "model", "attempt", "family", F.trim(name).alias("assertion"),
+        "answer_id", "case_id", "model", "attempt", "family", name.alias("assertion"),
         # a test that cannot be decided has failed
         F.coalesce(F.when(needs_change | needs_code, F.lit(False)).otherwise(passed), F.lit(False)).alias("passed"),
         F.coalesce(F.when(needs_change | needs_code, routed).otherwise(detail), F.lit("nothing to compare")).alias("detail"),

@@ -12,8 +12,9 @@ def write_snapshot(df: DataFrame, path: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Write as CSV with a header; one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write as CSV with a header, one file per partition; blanks around values are kept."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def preview(df: DataFrame, n: int = 1000) -> DataFrame:
