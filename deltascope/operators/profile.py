@@ -1,9 +1,8 @@
 """Profiling: what kind of column each one is, and what is wrong with it.
 
-Everything about values is derived from one table of distinct values with their row counts.
-It is built per physical type, so that numbers and times are grouped as eight-byte values
-and turned into text only once per distinct value, and rules that look at text run once per
-distinct value rather than once per row.
+The kinds follow from a table of distinct values with their row counts, built per family of
+types: numbers and times are grouped as eight-byte values, and rules that look at text run
+once per distinct value rather than once per row.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from deltascope.functions import fixed
 from deltascope.functions.text import as_text, clean_text, is_datetime, is_floating, plain_number, present, quoted
 from deltascope.functions.time import parse_dates
 from deltascope.operators.duplicates import count_duplicates
-from deltascope.operators.quantiles import medians
+from deltascope.operators.quantiles import SORT_AT_MOST, few_valued_medians, medians
 
 NOTES = {
     "empty": "no value at all",
@@ -172,6 +171,11 @@ def rollup_levels(column: ColumnProfile) -> bool:
 
 # ---------------------------------------------------------------- distinct values
 
+# Columns with at most this many distinct values have their values listed outright.
+LISTED_DISTINCT = 1_000
+# Into how many groups a longer column is split to bound its smallest values.
+SAMPLE_GROUPS = 8
+
 
 def _family(data_type: T.DataType) -> str:
     if isinstance(data_type, (T.IntegralType, T.BooleanType)) or is_datetime(data_type):
@@ -179,114 +183,171 @@ def _family(data_type: T.DataType) -> str:
     return "floating" if is_floating(data_type) else "text"
 
 
-def _as_whole(name: str, data_type: T.DataType) -> Column:
-    column = F.col(quoted(name))
+def _cell(df: DataFrame, name: str) -> Column:
+    """A value in the form its family is grouped in: eight bytes wherever possible."""
+    column, data_type = F.col(quoted(name)), df.schema[name].dataType
     if isinstance(data_type, T.DateType):
         return F.unix_date(column).cast("bigint")
     if is_datetime(data_type):
         return F.unix_micros(column.cast("timestamp"))
     if isinstance(data_type, T.BooleanType):
         return column.cast("int").cast("bigint")
-    return column.cast("bigint")
+    if isinstance(data_type, T.IntegralType):
+        return column.cast("bigint")
+    if is_floating(data_type):
+        return F.when(~F.isnan(column), column.cast("double") + F.lit(0.0))
+    return as_text(df, name)
 
 
-def _whole_as_text(data_type: T.DataType, value: Column) -> Column:
+def _text_of(data_type: T.DataType, cell: Column) -> Column:
     if isinstance(data_type, T.DateType):
-        return F.date_from_unix_date(value.cast("int")).cast("string")
+        return F.date_from_unix_date(cell.cast("int")).cast("string")
     if is_datetime(data_type):
-        return F.timestamp_micros(value).cast("string")
+        return F.timestamp_micros(cell).cast("string")
     if isinstance(data_type, T.BooleanType):
-        return (value == 1).cast("string")
-    return value.cast("string")
+        return (cell == 1).cast("string")
+    if isinstance(data_type, T.FloatType):
+        return cell.cast("float").cast("string")
+    return cell.cast("string")
+
+
+def _number_of(data_type: T.DataType, cell: Column) -> Column:
+    if isinstance(data_type, (T.IntegralType, T.DoubleType, T.FloatType)):
+        return cell.cast("double")
+    return plain_number(cell) if isinstance(data_type, (T.StringType, T.DecimalType)) else F.lit(None).cast("double")
+
 
+def _by_type(types: dict[int, T.DataType], rule) -> Column:
+    """`rule(type)` for the rows of each position; positions of one type share a branch."""
+    branches: dict[T.DataType, list[int]] = {}
+    for position, data_type in types.items():
+        branches.setdefault(data_type, []).append(position)
+    chosen = None
+    for data_type, positions in branches.items():
+        column, here = rule(data_type), F.col("position").isin(positions)
+        chosen = F.when(here, column) if chosen is None else chosen.when(here, column)
+    return chosen if len(branches) > 1 else rule(next(iter(branches)))
 
-def value_counts(df: DataFrame, columns: list[str] | None = None, grouped: bool = True) -> DataFrame:
-    """`(position, value, number, rows)`: distinct values of each column with row counts.
 
-    Null is a value of its own here. With `grouped=False` the rows are left as they are,
-    one per cell, for callers that only aggregate them.
+def _cells(df: DataFrame, columns: list[str], grouped: bool):
+    """Per family of types: the types by position, and `(position, cell, rows)`.
+
+    Grouped, there is one row per distinct value, null being a value of its own; ungrouped,
+    one per cell, for callers that only aggregate.
     """
-    columns = df.columns if columns is None else columns
     where = {name: i for i, name in enumerate(df.columns)}
-    parts = []
     for family in ("whole", "floating", "text"):
         members = [c for c in columns if _family(df.schema[c].dataType) == family]
         if not members:
             continue
-        types = {c: df.schema[c].dataType for c in members}
-        if family == "whole":
-            cells = [_as_whole(c, types[c]) for c in members]
-        elif family == "floating":
-            cells = [F.when(present(df, c), F.col(quoted(c)).cast("double") + F.lit(0.0)) for c in members]
-        else:
-            cells = [as_text(df, c) for c in members]
-        flat = df.select(*[cell.alias(str(where[c])) for cell, c in zip(cells, members)])
+        flat = df.select(*[_cell(df, c).alias(str(where[c])) for c in members])
         flat = flat.unpivot([], [str(where[c]) for c in members], "position", "cell")
         if grouped:
             flat = flat.groupBy("position", "cell").agg(F.count("*").alias("rows"))
         else:
             flat = flat.withColumn("rows", F.lit(1).cast("bigint"))
-        cell = F.col("cell")
-        if family == "whole":
-            text = _choose({str(where[c]): _whole_as_text(types[c], cell) for c in members})
-            counted = [str(where[c]) for c in members if isinstance(types[c], T.IntegralType)]
-            number = F.when(F.col("position").isin(counted), cell.cast("double"))
-        elif family == "floating":
-            single = [str(where[c]) for c in members if isinstance(types[c], T.FloatType)]
-            text = F.when(F.col("position").isin(single), cell.cast("float").cast("string")).otherwise(cell.cast("string"))
-            number = cell
-        else:
-            text, number = cell, plain_number(cell)
-        parts.append(flat.select(F.col("position").cast("int").alias("position"), text.alias("value"), number.alias("number"), "rows"))
+        yield {where[c]: df.schema[c].dataType for c in members}, flat.withColumn("position", F.col("position").cast("int"))
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """`(position, value, place, rows)`: distinct values per column as text, with the number
+    they sort by if they have one."""
+    cell = F.col("cell")
+    parts = [
+        flat.select(
+            "position", _by_type(types, lambda t: _text_of(t, cell)).alias("value"),
+            _by_type(types, lambda t: F.lit(None).cast("double") if isinstance(t, T.StringType)
+                     else cell.cast("double") if _family(t) != "text" else _number_of(t, cell)).alias("place"),
+            "rows",
+        )
+        for types, flat in _cells(df, df.columns if columns is None else columns, True)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _choose(by_position: dict[str, Column]) -> Column:
-    """One expression per position; positions with the same rule share a branch."""
-    branches: dict[str, tuple[Column, list[str]]] = {}
-    for position, column in by_position.items():
-        branches.setdefault(str(column), (column, []))[1].append(position)
-    chosen = [F.when(F.col("position").isin(positions), column) for column, positions in branches.values()]
-    return chosen[0] if len(chosen) == 1 else F.coalesce(*chosen)
+def _first(counts: DataFrame, n: int, *order: Column) -> DataFrame:
+    # Missing values sort last and are dropped after ranking: dropped before, the filter
+    # would sink below the aggregate, and two rankings would no longer share one shuffle.
+    # The rank limit is applied within each task before anything moves.
+    window = Window.partitionBy("position").orderBy(F.col("value").isNull(), *order)
+    ranked = counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+    return ranked.filter(F.col("value").isNotNull()).select("position", "rank", "value", "rows")
 
 
 def top_values(counts: DataFrame, n: int = fixed.TOP_VALUES) -> DataFrame:
-    """The `n` commonest values per column: `(position, rank, value, rows)`. The rank limit is
-    applied within each task before anything is shuffled."""
-    order = Window.partitionBy("position").orderBy(F.desc("rows"), F.asc("value"))
-    present_ = counts.filter(F.col("value").isNotNull())
-    return present_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("position", "rank", "value", "rows")
+    """The `n` commonest values per column: `(position, rank, value, rows)`."""
+    return _first(counts, n, F.desc("rows"), F.asc("value"), F.asc("place"))
 
 
 def sample_values(counts: DataFrame, n: int = fixed.SAMPLE_VALUES) -> DataFrame:
-    """The `n` smallest values per column, as text."""
-    order = Window.partitionBy("position").orderBy(F.asc("value"), F.asc("rows"))
-    present_ = counts.filter(F.col("value").isNotNull())
-    return present_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("position", "rank", "value", "rows")
+    """The `n` smallest values per column."""
+    return _first(counts, n, F.asc("place"), F.asc("value"), F.asc("rows"))
+
+
+def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VALUES) -> DataFrame:
+    """The `n` smallest distinct values of columns with very many, without sorting them.
+
+    The values of a column are split into groups by hash. The `n`-th smallest of the groups'
+    minima, which are all different, cannot lie below the `n`-th smallest value; so only
+    values up to it are counted, and those are few.
+    """
+    minima = df.agg(*[
+        F.min(F.when(F.pmod(F.xxhash64(column), F.lit(SAMPLE_GROUPS)) == group, column)).alias(f"m{i}_{group}")
+        for i, name in enumerate(columns)
+        for column in (F.when(present(df, name), F.col(quoted(name))),)
+        for group in range(SAMPLE_GROUPS)
+    ])
+    row, limited = minima.first(), []
+    for i, name in enumerate(columns):
+        found = sorted(v for v in (row[f"m{i}_{g}"] for g in range(SAMPLE_GROUPS)) if v is not None)
+        column = F.when(present(df, name), F.col(quoted(name)))
+        if len(found) >= n:
+            column = F.when(column <= F.lit(found[n - 1]).cast(df.schema[name].dataType), column)
+        limited.append(column.alias(name))
+    where = {name: i for i, name in enumerate(df.columns)}
+    ranked = sample_values(value_counts(df.select(*limited)), n)
+    position = F.create_map(*[F.lit(x) for i, name in enumerate(columns) for x in (i, where[name])])
+    return ranked.withColumn("position", position[F.col("position")])
 
 
 # ---------------------------------------------------------------- kinds of columns
 
 
-def _share_base(counts: DataFrame, text_positions: list[int], exact: bool) -> DataFrame:
-    """Facts about the values of each column, weighted by rows."""
-    value, rows = F.col("value"), F.col("rows")
-    is_text = F.col("position").isin(text_positions) if text_positions else F.lit(False)
-    # Text facts are worked out once, for text columns only.
-    facts = counts.withColumn("clean", F.when(is_text, clean_text(value)))
-    facts = facts.withColumn("is_date", F.col("clean").isNotNull() & parse_dates(F.col("clean")).isNotNull())
+def _facts(df: DataFrame, exact: bool) -> DataFrame:
+    """Facts about the values of each column, weighted by rows: one row per column.
+
+    All of these are hash aggregates on fixed-width buffers, so distinct values are shuffled
+    once and never sorted.
+    """
+    cell, rows, clean = F.col("cell"), F.col("rows"), F.col("clean")
+    parts = []
+    for types, flat in _cells(df, df.columns, exact):
+        family = _family(next(iter(types.values())))
+        parts.append(flat.select(
+            "position", "rows",
+            (cell if family == "whole" else F.lit(None).cast("bigint")).alias("instant"),
+            _by_type(types, lambda t: _number_of(t, cell)).alias("number"),
+            (_by_type(types, lambda t: clean_text(cell) if isinstance(t, T.StringType) else F.lit(None).cast("string"))
+             if family == "text" else F.lit(None).cast("string")).alias("clean"),
+            cell.isNotNull().alias("present"),
+            F.xxhash64(cell).alias("mark"),
+        ))
+    facts = reduce(DataFrame.unionByName, parts)
+    facts = facts.withColumn("is_date", clean.isNotNull() & parse_dates(clean).isNotNull())
 
     def weigh(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
 
-    clean = F.col("clean")
-    unique = F.count(value) if exact else F.approx_count_distinct(value, 0.01)
+    if exact:
+        unique = F.count_if("present")
+    else:
+        unique = F.approx_count_distinct(F.when(F.col("present"), F.col("mark")), 0.01)
     return facts.groupBy("position").agg(
         F.sum("rows").alias("n_rows"),
-        weigh(value.isNotNull()).alias("non_null"),
+        weigh(F.col("present")).alias("non_null"),
         unique.alias("unique_count"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
+        F.min("instant").alias("min_instant"),
+        F.max("instant").alias("max_instant"),
         F.min("number").alias("min_number"),
         F.max("number").alias("max_number"),
         weigh(F.col("number").isNotNull()).alias("n_numbers"),
@@ -341,7 +402,7 @@ def semantic_type() -> Column:
 def _note(row: Row) -> str | None:
     semantic, kind = row["semantic_type"], row["kind"]
     if semantic == "constant":
-        return f"single value: {row['min_value']}"
+        return f"single value: {row['samples'][0]['value']}"
     if semantic == "identifier" and kind == "number":
         return NOTES["identifier_number"]
     if semantic == "numeric" and row["code_named"]:
@@ -370,21 +431,20 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
         ],
         "position int, name string, dtype string, kind string, code_named boolean, year_named boolean",
     )
-    counts = value_counts(df, grouped=exact)
-    text_positions = [i for i, f in enumerate(fields) if _kind(f.dataType) == "text"]
-    facts = _share_base(counts, text_positions, exact)
+    facts = _facts(df, exact)
     columns = meta.join(facts, "position", "left").fillna(0, ["n_rows", "non_null", "unique_count", "n_clean"])
     columns = columns.withColumn("semantic_type", semantic_type())
-    if exact:
-        columns = columns.join(_nested(top_values(counts), "top_values"), "position", "left")
-        columns = columns.join(_nested(sample_values(counts), "samples"), "position", "left")
-        rows = columns.orderBy("position").collect()
-    else:
-        rows = columns.orderBy("position").collect()
-        rows = _add_values(df, rows)
+    for end in ("min", "max"):
+        instant = F.col(f"{end}_instant")
+        columns = columns.withColumn(
+            f"{end}_time",
+            F.when(F.col("dtype") == "date", _text_of(T.DateType(), instant)).otherwise(_text_of(T.TimestampType(), instant)),
+        )
+    rows = _with_values(df, columns.orderBy("position").collect(), exact)
     n_rows = max((r["n_rows"] for r in rows), default=0)
     numeric = {r["name"] for r in rows if r["semantic_type"] == "numeric"}
-    figures = numeric_figures(df, [f.name for f in fields if f.name in numeric], exact)
+    distinct = {r["name"]: r["unique_count"] for r in rows}
+    figures = numeric_figures(df, [f.name for f in fields if f.name in numeric], exact, distinct)
     profiles = [_column(r, n_rows, figures.get(r["name"], {})) for r in rows]
     table = TableProfile(spark, n_rows, profiles, None, exact)
     if duplicates and exact:
@@ -393,32 +453,50 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
     return table
 
 
-def _nested(ranked: DataFrame, name: str) -> DataFrame:
-    """At most a handful of ranked values per column, as one array per column."""
-    return ranked.groupBy("position").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "value", "rows"))).alias(name)
-    )
+def _with_values(df: DataFrame, rows: list[Row], exact: bool) -> list[Row]:
+    """Add the commonest and the smallest values.
+
+    Commonest values are counted only for columns that are categories, and the smallest ones
+    of long columns come from a search that does not sort them. A screening run leaves long
+    columns out.
+    """
+    listed = [r["name"] for r in rows if 0 < r["unique_count"] <= LISTED_DISTINCT]
+    long = [r["name"] for r in rows if r["unique_count"] > LISTED_DISTINCT]
+    ranked = [r["name"] for r in rows if r["name"] in long and r["semantic_type"] in ("categorical", "boolean")]
+    found: dict[str, dict[int, list]] = {"top": {}, "samples": {}}
 
+    def collect(name: str, frame: DataFrame) -> DataFrame:
+        return frame.withColumn("part", F.lit(name))
 
-def _add_values(df: DataFrame, rows: list[Row]) -> list[Row]:
-    """Screening run: exact values only for columns with few of them."""
-    few = [r["name"] for r in rows if 0 < r["unique_count"] <= fixed.GRANULAR_MIN_DISTINCT]
-    found: dict[str, dict[int, list]] = {"top_values": {}, "samples": {}}
-    if few:
-        counts = value_counts(df, few)
-        for name, ranked in (("top_values", top_values(counts)), ("samples", sample_values(counts))):
-            found[name] = {r["position"]: r[name] for r in _nested(ranked, name).collect()}
+    parts = []
+    if listed:
+        counts = value_counts(df, listed)
+        parts += [collect("top", top_values(counts)), collect("samples", sample_values(counts))]
+    if exact and ranked:
+        parts.append(collect("top", top_values(value_counts(df, ranked))))
+    if exact and long:
+        parts.append(collect("samples", smallest_values(df, long)))
+    if parts:
+        # a handful of rows per column
+        for v in reduce(DataFrame.unionByName, parts).collect():
+            found[v["part"]].setdefault(v["position"], []).append(v)
     return [
-        Row(**r.asDict(), top_values=found["top_values"].get(r["position"]), samples=found["samples"].get(r["position"]))
+        Row(**r.asDict(), **{
+            name: sorted(values.get(r["position"], []), key=lambda v: v["rank"])
+            for name, values in (("top_values", found["top"]), ("samples", found["samples"]))
+        })
         for r in rows
     ]
 
 
-def numeric_figures(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, dict]:
-    """Min, max, mean, median, standard deviation, zeros and negatives of numeric columns,
-    in one aggregate without a shuffle; the median takes a search of its own."""
+def numeric_figures(df: DataFrame, columns: list[str], exact: bool = True, distinct: dict[str, int] | None = None) -> dict[str, dict]:
+    """Min, max, mean, median, standard deviation, zeros and negatives of numeric columns, in
+    one aggregate without a shuffle of rows. The median of a column known to have few
+    distinct values is part of it; that of any other takes a search of its own."""
     if not columns:
         return {}
+    distinct = distinct or {}
+    few = [c for c in columns if distinct.get(c, SORT_AT_MOST + 1) <= SORT_AT_MOST]
     aggregates = []
     for i, name in enumerate(columns):
         value = F.when(present(df, name), F.col(quoted(name)).cast("double"))
@@ -430,7 +508,10 @@ def numeric_figures(df: DataFrame, columns: list[str], exact: bool = True) -> di
         if not exact:
             aggregates.append(F.percentile_approx(value, 0.5).alias(f"median_{i}"))
     row = df.agg(*aggregates).first()
-    middle = medians(df, columns) if exact else {c: row[f"median_{i}"] for i, c in enumerate(columns)}
+    if exact:
+        middle = {**few_valued_medians(df, few), **medians(df, [c for c in columns if c not in few])}
+    else:
+        middle = {c: row[f"median_{i}"] for i, c in enumerate(columns)}
     return {
         name: {
             "min": _rounded(row[f"min_{i}"]), "max": _rounded(row[f"max_{i}"]), "mean": _rounded(row[f"mean_{i}"]),
@@ -451,15 +532,15 @@ def _column(row: Row, n_rows: int, figures: dict) -> ColumnProfile:
     if semantic == "numeric":
         low, high = (None if figures[k] is None else repr(figures[k]) for k in ("min", "max"))
     elif semantic == "date":
-        low, high = row["min_value"], row["max_value"]
+        low, high = row["min_time"], row["max_time"]
     elif semantic == "year":
         low, high = str(int(row["min_number"])), str(int(row["max_number"]))
     nulls = n_rows - row["non_null"]
-    top = [(v["value"], v["rows"]) for v in row["top_values"] or []] if semantic in ("categorical", "boolean") else []
+    top = [(v["value"], v["rows"]) for v in row["top_values"]] if semantic in ("categorical", "boolean") else []
     return ColumnProfile(
         position=row["position"], name=row["name"], dtype=row["dtype"], semantic_type=semantic,
         null_count=nulls, null_pct=round(100 * nulls / n_rows, 2) if n_rows else 0.0,
-        unique_count=row["unique_count"], samples=[v["value"] for v in row["samples"] or []], top_values=top,
+        unique_count=row["unique_count"], samples=[v["value"] for v in row["samples"]], top_values=top,
         min=low, max=high, mean=figures.get("mean"), median=figures.get("median"), std=figures.get("std"),
         has_negatives=figures.get("has_negatives", False), zero_count=figures.get("zero_count", 0), note=_note(row),
     )

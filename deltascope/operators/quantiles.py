@@ -8,7 +8,6 @@ Values that fill much of the column become cut points themselves and end the sea
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,98 +16,129 @@ from deltascope.functions.text import present, quoted
 
 SORT_AT_MOST = 100_000
 ACCURACY = 10_000
+# how far around the wanted rank the cut points lie, as a share of the rows
+MARGIN = 2 / ACCURACY
 
 
 @dataclass
 class _Search:
-    """The value at 0-based `rank` lies strictly between `low` and `high`."""
+    """Looks for the values at `rank` (0-based) and after it; the first lies strictly between
+    `low` and `high`, where `rows` values are left."""
 
     column: str
     rank: int
     rows: int
-    low: float = -math.inf
-    high: float = math.inf
-    closed: bool = True
-    found: float | None = None
+    low: float | None = None
+    high: float | None = None
+    lower: float | None = None
+    upper: float | None = None
+    cuts: list[float] | None = None
 
     def value(self, df: DataFrame) -> Column:
-        column = F.col(quoted(self.column)).cast("double")
-        inside = present(df, self.column)
-        if not self.closed:
-            inside = inside & (column > F.lit(self.low)) & (column < F.lit(self.high))
-        return F.when(inside, column)
+        return _number(df, self.column)
+
+    def inside(self, df: DataFrame) -> Column:
+        value, wanted = self.value(df), F.lit(True)
+        if self.low is not None:
+            wanted = wanted & (value > F.lit(self.low))
+        if self.high is not None:
+            wanted = wanted & (value < F.lit(self.high))
+        return F.when(wanted, value)
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    return F.when(present(df, column), F.col(quoted(column)).cast("double"))
 
 
 def medians(df: DataFrame, columns: list[str], sort_at_most: int = SORT_AT_MOST) -> dict[str, float | None]:
-    """Exact median per numeric column; None for a column without values."""
+    """Exact median per numeric column; None for a column without values.
+
+    All columns advance together. The usual course is three aggregates: count and sketch,
+    exact counts around the cut points, and the few values left, sorted.
+    """
     if not columns:
         return {}
-    counts = df.agg(*[F.count_if(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
-    filled = [c for c in columns if sizes[c]]
-    lower = _select(df, [_Search(c, (sizes[c] - 1) // 2, sizes[c]) for c in filled], sort_at_most)
+    middle = [0.5 - MARGIN, 0.5, 0.5 + MARGIN]
+    first = df.agg(
+        *[F.count(_number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(_number(df, c), middle, ACCURACY).alias(f"cuts{i}") for i, c in enumerate(columns)],
+    ).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    searches = [
+        _Search(c, (sizes[c] - 1) // 2, sizes[c], cuts=first[f"cuts{i}"]) for i, c in enumerate(columns) if sizes[c]
+    ]
+    open_ = searches
+    while open_:
+        _finish(df, [s for s in open_ if s.rows <= sort_at_most])
+        _narrow(df, [s for s in open_ if s.lower is None])
+        open_ = [s for s in open_ if s.lower is None]
     out: dict[str, float | None] = dict.fromkeys(columns)
-    out.update(lower)
-    even = [c for c in filled if sizes[c] % 2 == 0]
-    if even:
-        # the upper of the two middle values: the lower one again, or the next larger value
-        aggregates = []
-        for i, c in enumerate(even):
-            value = F.when(present(df, c), F.col(quoted(c)).cast("double"))
-            aggregates += [
-                F.count_if(value <= F.lit(lower[c])).alias(f"n{i}"),
-                F.min(F.when(value > F.lit(lower[c]), value)).alias(f"next{i}"),
-            ]
-        row = df.agg(*aggregates).first()
-        for i, c in enumerate(even):
-            upper = lower[c] if row[f"n{i}"] > sizes[c] // 2 else row[f"next{i}"]
-            out[c] = (lower[c] + upper) / 2
+    for s in searches:
+        out[s.column] = s.lower if sizes[s.column] % 2 else (s.lower + s.upper) / 2
     return out
 
 
-def _select(df: DataFrame, searches: list[_Search], sort_at_most: int) -> dict[str, float]:
-    """All searches advance together, so a round costs two aggregates whatever their number."""
-    open_ = list(searches)
-    while open_:
-        small = [s for s in open_ if s.rows <= sort_at_most]
-        if small:
-            row = df.agg(*[
-                F.get(F.array_sort(F.collect_list(s.value(df))), F.lit(s.rank)).alias(f"v{i}")
-                for i, s in enumerate(small)
-            ]).first()
-            for i, s in enumerate(small):
-                s.found = row[f"v{i}"]
-        large = [s for s in open_ if s.found is None]
-        if large:
-            _narrow(df, large)
-        open_ = [s for s in large if s.found is None]
-    return {s.column: s.found for s in searches}
+def few_valued_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Medians of columns known to have at most `SORT_AT_MOST` distinct values, in one
+    aggregate: its state is a count per distinct value."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.percentile(_number(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
 
 
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    margin = 2 / ACCURACY
-    proposals = []
+def _finish(df: DataFrame, searches: list[_Search]) -> None:
+    """Few enough values left: sort them."""
+    if not searches:
+        return
+    aggregates = []
     for i, s in enumerate(searches):
-        share = (s.rank + 0.5) / s.rows
-        shares = [max(0.0, share - margin), share, min(1.0, share + margin)]
-        proposals.append(F.percentile_approx(s.value(df), shares, ACCURACY).alias(f"cuts{i}"))
-    proposed = df.agg(*proposals).first()
-    cuts = [sorted(set(proposed[f"cuts{i}"])) for i in range(len(searches))]
-    counts = []
+        left = F.array_sort(F.collect_list(s.inside(df)))
+        aggregates += [F.get(left, F.lit(s.rank)).alias(f"lower{i}"), F.get(left, F.lit(s.rank + 1)).alias(f"upper{i}")]
+        if s.high is not None:
+            value = s.value(df)
+            aggregates.append(F.min(F.when(value >= F.lit(s.high), value)).alias(f"beyond{i}"))
+    row = df.agg(*aggregates).first()
+    for i, s in enumerate(searches):
+        s.lower, s.upper = row[f"lower{i}"], row[f"upper{i}"]
+        if s.upper is None and s.high is not None:
+            s.upper = row[f"beyond{i}"]
+
+
+def _narrow(df: DataFrame, searches: list[_Search]) -> None:
+    """Propose cut points around the rank, then count exactly what lies between them."""
+    if not searches:
+        return
+    unsketched = [s for s in searches if s.cuts is None]
+    if unsketched:
+        proposals = []
+        for i, s in enumerate(unsketched):
+            share = (s.rank + 0.5) / s.rows
+            around = [max(0.0, share - MARGIN), share, min(1.0, share + MARGIN)]
+            proposals.append(F.percentile_approx(s.inside(df), around, ACCURACY).alias(f"cuts{i}"))
+        row = df.agg(*proposals).first()
+        for i, s in enumerate(unsketched):
+            s.cuts = row[f"cuts{i}"]
+    aggregates = []
     for i, s in enumerate(searches):
-        value = s.value(df)
-        for j, cut in enumerate(cuts[i]):
-            counts += [F.count_if(value < F.lit(cut)).alias(f"lt{i}_{j}"), F.count_if(value == F.lit(cut)).alias(f"eq{i}_{j}")]
-    counted = df.agg(*counts).first()
+        s.cuts = sorted(set(s.cuts))
+        inside, value = s.inside(df), s.value(df)
+        for j, cut in enumerate(s.cuts):
+            aggregates += [
+                F.count_if(inside < F.lit(cut)).alias(f"less{i}_{j}"), F.count_if(inside == F.lit(cut)).alias(f"equal{i}_{j}"),
+                F.min(F.when(value > F.lit(cut), value)).alias(f"beyond{i}_{j}"),
+            ]
+    row = df.agg(*aggregates).first()
     for i, s in enumerate(searches):
         low, high, passed, end = s.low, s.high, 0, s.rows
-        for j, cut in enumerate(cuts[i]):
-            less, equal = counted[f"lt{i}_{j}"], counted[f"eq{i}_{j}"]
+        for j, cut in enumerate(s.cuts):
+            less, upto = row[f"less{i}_{j}"], row[f"less{i}_{j}"] + row[f"equal{i}_{j}"]
             if s.rank < less:
                 high, end = cut, less
                 break
-            if s.rank < less + equal:
-                s.found = cut
+            if s.rank < upto:
+                s.lower = cut
+                s.upper = cut if s.rank + 1 < upto else row[f"beyond{i}_{j}"]
                 break
-            low, passed = cut, less + equal
-        s.low, s.high, s.rows, s.rank, s.closed = low, high, end - passed, s.rank - passed, False
+            low, passed = cut, upto
+        s.low, s.high, s.rows, s.rank, s.cuts = low, high, end - passed, s.rank - passed, None
