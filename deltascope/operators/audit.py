@@ -164,34 +164,44 @@ def audit_answers(
     known = analyses.select(
         "answer_id", "metric", "period_after", "dimensions", "pct_change", "headline", F.lit(True).alias("has_change")
     )
-    enriched = (
+    on_slices = F.col("assertion").isin(*SLICE_ASSERTIONS)
+    # Expectations of the answer as a whole, and those of one of its slices. The latter need
+    # a join per expectation, which only ids and figures take part in, not the texts.
+    whole = (
         read.join(known, "answer_id", "left")
         .join(verdicts, "answer_id", "left")
         .join(attempt_summary(attempts).select("answer_id", "successful", "failed"), "answer_id", "left")
-        .join(expected, "case_id")
-        .withColumn("parts", F.array_join(F.array_sort(F.array_distinct("terms")), "\n"))
+        .join(expected.filter(~on_slices), "case_id")
     )
     crossed = slices.select(
-        "answer_id", F.array_join(segment_set(F.col("segment")), "\n").alias("parts"),
-        F.col("contribution_pp").alias("slice_pp"), F.col("own_pct_change").alias("slice_own"),
-        F.col("is_decoy").alias("slice_decoy"),
+        "answer_id", F.array_join(segment_set(F.col("segment")), "\n").alias("parts"), "contribution_pp", "own_pct_change", "is_decoy",
+    )
+    parts = (
+        read.select("answer_id", "case_id", "model", "attempt", "route")
+        .join(known.select("answer_id", "has_change"), "answer_id", "left")
+        .join(expected.filter(on_slices), "case_id")
+        .withColumn("parts", F.array_join(F.array_sort(F.array_distinct("terms")), "\n"))
+        .join(crossed, ["answer_id", "parts"], "left")
     )
-    graded = enriched.join(crossed, ["answer_id", "parts"], "left")
-    rules = _rules()
+    return _verdict(whole, _whole_rules()).unionByName(_verdict(parts, _slice_rules()))
+
+
+def _verdict(rows: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
     passed, detail = F.lit(False), F.concat(F.lit("unknown assertion "), F.col("assertion"))
     for kind, (test, explain) in rules.items():
         passed = F.when(F.col("assertion") == kind, test).otherwise(passed)
         detail = F.when(F.col("assertion") == kind, explain).otherwise(detail)
-    needs_change = F.col("assertion").isin(*CHANGE_ASSERTIONS) & F.col("has_change").isNull()
-    needs_code = F.col("assertion").isin(*CODE_ASSERTIONS) & F.col("successful").isNull()
+    impossible = F.col("assertion").isin(*CHANGE_ASSERTIONS) & F.col("has_change").isNull()
+    if "successful" in rows.columns:
+        impossible = impossible | (F.col("assertion").isin(*CODE_ASSERTIONS) & F.col("successful").isNull())
     routed = F.concat(F.lit("routed to '"), F.col("route"), F.lit("', so there is nothing to compare"))
     listed = F.when(F.size("terms") > 0, F.array_join("terms", ", "))
     name = F.concat_ws(" ", "assertion", listed, F.col("value").cast("string"))
-    return graded.select(
+    return rows.select(
         "answer_id", "case_id", "model", "attempt", "family", name.alias("assertion"),
         # a test that cannot be decided has failed
-        F.coalesce(F.when(needs_change | needs_code, F.lit(False)).otherwise(passed), F.lit(False)).alias("passed"),
-        F.coalesce(F.when(needs_change | needs_code, routed).otherwise(detail), F.lit("nothing to compare")).alias("detail"),
+        F.coalesce(F.when(impossible, F.lit(False)).otherwise(passed), F.lit(False)).alias("passed"),
+        F.coalesce(F.when(impossible, routed).otherwise(detail), F.lit("nothing to compare")).alias("detail"),
     )
 
 
@@ -199,19 +209,27 @@ CHANGE_ASSERTIONS = (
     "metric", "period", "dimensions", "total_change", "top_slice", "contribution", "checks_pass", "decoy",
 )
 CODE_ASSERTIONS = ("executed", "repairs_at_most")
+SLICE_ASSERTIONS = ("contribution", "decoy")
+
 
+def _slice_rules() -> dict[str, tuple[Column, Column]]:
+    c, says = F.col, F.format_string
+    return {
+        "contribution": (
+            F.abs(c("contribution_pp") - c("value")) <= c("tolerance"),
+            says("%+.2f pp against %+.2f pp", c("contribution_pp"), c("value")),
+        ),
+        "decoy": (c("is_decoy"), says("own %+.1f%%, contributes %+.2f pp", c("own_pct_change"), c("contribution_pp"))),
+    }
 
-def _rules() -> dict[str, tuple[Column, Column]]:
+
+def _whole_rules() -> dict[str, tuple[Column, Column]]:
     """Per assertion: when it holds, and what to say about it."""
-    c, text = F.col, F.col("narrative")
-    first, value, tolerance = F.element_at("terms", 1), c("value"), c("tolerance")
+    c, text, says = F.col, F.col("narrative"), F.format_string
+    first, value, tolerance = F.get("terms", F.lit(0)), c("value"), c("tolerance")
     lead = first_sentence(text)
     headline = segment_set(c("headline"))
     wanted = F.array_sort(F.array_distinct("terms"))
-
-    def says(pattern: str, *columns: Column) -> Column:
-        return F.format_string(pattern, *columns)
-
     lacking = F.filter("terms", lambda t: ~F.array_contains(c("dimensions"), t))
     return {
         "route": (c("route") == first, says("routed to %s", c("route"))),
@@ -221,9 +239,7 @@ def _rules() -> dict[str, tuple[Column, Column]]:
         "dimensions": (F.size(lacking) == 0, says("missing [%s]", F.array_join(lacking, ", "))),
         "total_change": (F.abs(c("pct_change") - value) <= tolerance, says("%+.2f%% against %+.2f%%", c("pct_change"), value)),
         "top_slice": (headline == wanted, says("top contributor was %s", c("headline"))),
-        "contribution": (F.abs(c("slice_pp") - value) <= tolerance, says("%+.2f pp against %+.2f pp", c("slice_pp"), value)),
         "checks_pass": (c("n_checks") == c("n_passed"), says("%d of %d passed", c("n_passed"), c("n_checks"))),
-        "decoy": (c("slice_decoy"), says("own %+.1f%%, contributes %+.2f pp", c("slice_own"), c("slice_pp"))),
         "executed": (c("successful") >= F.coalesce(value, F.lit(1.0)), says("%d successful attempt(s)", c("successful"))),
         "repairs_at_most": (c("failed") <= value, says("%d failed attempt(s)", c("failed"))),
         "reports_value": (

@@ -25,7 +25,7 @@ SLICE_COLUMNS = (
 )
 
 
-def measure(segments: DataFrame, total_before: float, delta: float) -> DataFrame:
+def measure(segments: DataFrame, total_before: float, delta: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """Segment sums of both periods to slices. Every division is guarded."""
     change = F.col("after") - F.col("before")
     base, moved = F.lit(float(total_before)), F.lit(float(delta))
@@ -45,7 +45,7 @@ def measure(segments: DataFrame, total_before: float, delta: float) -> DataFrame
             "is_decoy",
             (F.abs("own_pct_change") >= fixed.DECOY_MIN_OWN_PCT) & (F.abs("share_of_change") < fixed.DECOY_MAX_SHARE),
         )
-        .select(*SLICE_COLUMNS)
+        .select(*SLICE_COLUMNS, *keep)
     )
 
 
@@ -123,12 +123,14 @@ class ChangeAnalysis:
         self._keep()
         against = F.col("change") * self.direction < 0
         size = F.abs("contribution_pp")
-        sums = self.segments.groupBy("dimension").agg((F.sum("after") - F.sum("before")).alias("explained"))
-        shape = self.slices.groupBy("dimension").agg(
+        # the exact sums are kept next to the measures, so that decimals reconcile exactly
+        segments = self.segments.withColumn("moved", F.col("after") - F.col("before"))
+        summary = measure(segments, self.total_before, self.delta, ("moved",)).groupBy("dimension").agg(
+            F.sum("moved").alias("explained"),
             F.max(size).alias("concentration"),
             F.coalesce(F.sum(F.when(against, size)), F.lit(0.0)).alias("counter_movement"),
         )
-        found = {r["dimension"]: r for r in sums.join(shape, "dimension").collect()}
+        found = {r["dimension"]: r for r in summary.collect()}
         return {d: found[d] for d in self.dimensions}
 
     def residual(self, explained) -> float:

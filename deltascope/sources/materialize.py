@@ -32,6 +32,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/deltascope-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/deltascope-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
