@@ -7,15 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from deltascope import (
-    Plan, analyze_change, apply_filters, auto_dimensions, normalize_categorical, normalization_report,
+    Plan, analyze_change, apply_filters, auto_dimensions, coerce_numeric, normalize_categorical, normalization_report, parse_dates,
     period_totals, profile, resolve_plan, run_plan, summability_guard, trend,
 )
 from deltascope.catalog import query, rounded, table
-from deltascope.catalog.tables import MESSY, messy_orders
+from deltascope.catalog.tables import MESSY, PARSED, messy_orders
 from deltascope.functions import fixed
 from deltascope.operators.dimensions import folded_counts
 from deltascope.operators.filters import values_present
 from deltascope.operators.normalize import merged_spellings, spelling_counts
+from deltascope.operators.periods import time_axis, valid_rows
 
 ORDER_DIMENSIONS = ["o_orderstatus", "o_orderpriority"]
 TOKENS = ", ".join("'" + t + "'" for t in fixed.NULL_TOKENS)
@@ -238,6 +239,29 @@ query(
 )(both_pairs(_checks))
 
 
+query(
+    both_sql(
+        "SELECT dimension, round(min(delta) - sum(change), 2) + 0.0 AS residual, round(max(abs(pp)), 6) AS concentration,"
+        f" round(coalesce(sum(CASE WHEN change * sign(delta) < 0 THEN abs(pp) END), 0), 6) AS counter_movement FROM {measured('segments')} GROUP BY dimension"
+    ),
+    "change_orders_summary",
+)(both_pairs(
+    lambda a: rounded(
+        rounded(
+            a._raw.sparkSession.createDataFrame(
+                [(d, a.residual(r["explained"]), a.concentration(d), a.counter_movement(d)) for d, r in a.dimension_summary.items()],
+                "dimension string, residual double, concentration double, counter_movement double",
+            ), 2, ["residual"],
+        ), 6, ["concentration", "counter_movement"],
+    )
+))
+
+query(
+    " UNION ALL ".join(f"SELECT bool_and(passed) AS passed, '{f}' AS freq FROM ({_checks_sql(r)})" for f, r in (("Y", YEARS), ("M", MONTHS))),
+    "change_orders_passed",
+)(both_pairs(lambda a: a._raw.sparkSession.createDataFrame([(a.passed,)], "passed boolean")))
+
+
 @query(f"WITH {order_sql(YEARS)} SELECT 'total' AS section, round(pp, 6) AS contribution_pp, segment FROM (SELECT CAST(NULL AS DOUBLE) AS pp, CAST(NULL AS VARCHAR) AS segment)"
        f" UNION ALL SELECT 'alternative_view', round(pp, 6), segment FROM (SELECT * FROM {measured('segments')} WHERE change * sign(delta) > 0 ORDER BY abs(pp) DESC LIMIT 3)")
 def change_orders_facts(spark, folder):
@@ -290,6 +314,18 @@ def change_orders_default_periods(spark, folder):
     return rounded(a.totals, 2, ["total_before", "total_after"]).select("period_before", "period_after", "total_before", "total_after")
 
 
+@query(f"WITH {PARSED} SELECT count(*) AS n, round(sum(amount), 2) AS total, count(*) FILTER (year(parsed_day) IN (1999, 2000)) AS pair_rows FROM parsed"
+       " WHERE amount IS NOT NULL AND parsed_day IS NOT NULL")
+def valid_rows_messy(spark, folder):
+    """Rows with both a date and an amount, and those of two compared years."""
+    messy = messy_orders(spark, folder)
+    parsed = messy.withColumn("amount", coerce_numeric(F.col("price"))).withColumn("parsed_day", parse_dates(F.col("day")))
+    axis = time_axis(parsed, "parsed_day", "Y")
+    rows = valid_rows(parsed, "amount", axis)
+    pair = F.count_if(axis.within("1999") | axis.within("2000")).alias("pair_rows")
+    return rounded(rows.agg(F.count("*").alias("n"), F.sum("amount").alias("total"), pair), 2, ["total"])
+
+
 FREQUENCY_LABELS = {
     "Y": "strftime(o_orderdate, '%Y')",
     "Q": "strftime(o_orderdate, '%Y') || 'Q' || quarter(o_orderdate)",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from deltascope import coerce_numeric, parse_dates, prepare, profile, quality_issues, time_axes
 from deltascope.catalog import query, rounded, table
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
-from deltascope.operators.profile import sample_values, top_values, value_counts
+from deltascope.operators.profile import numeric_figures, sample_values, top_values, value_counts
 from deltascope.operators.roles import dimension_candidates, granularity, metric_candidates, time_axis_candidates
 
 COLUMNS = {
@@ -47,21 +47,21 @@ for _name in COLUMNS:
 
 def figures_sql(name: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS name, round(min({c}), 4) AS low, round(max({c}), 4) AS high, round(avg({c}), 3) AS mean, round(median({c}), 3) AS median,"
-        f" round(stddev_samp({c}), 3) AS std, count(*) FILTER ({c} = 0) AS zero_count, coalesce(bool_or({c} < 0), false) AS has_negatives FROM {name}"
+        f"SELECT '{c}' AS name, round(min({c}), 4) AS low, round(max({c}), 4) AS high, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median,"
+        f" round(stddev_samp({c}), 4) AS std, count(*) FILTER ({c} = 0) AS zero_count, coalesce(bool_or({c} < 0), false) AS has_negatives FROM {name}"
         for c in NUMERIC[name]
     )
 
 
 def _figures(spark, folder, name: str) -> DataFrame:
-    prof = profile(table(spark, folder, name), duplicates=False)
-    frame = prof.to_frame().filter(F.col("semantic_type") == "numeric")
-    frame = frame.select(
-        "name", F.col("min").cast("double").alias("low"), F.col("max").cast("double").alias("high"), "mean", "median", "std",
-        "zero_count", "has_negatives",
+    df = table(spark, folder, name)
+    prof = profile(df, duplicates=False)
+    found = numeric_figures(df, prof.of_type("numeric"), distinct={c.name: c.unique_count for c in prof.columns})
+    frame = spark.createDataFrame(
+        [(c, f["min"], f["max"], f["mean"], f["median"], f["std"], f["zero_count"], f["has_negatives"]) for c, f in found.items()],
+        "name string, low double, high double, mean double, median double, std double, zero_count bigint, has_negatives boolean",
     )
-    # profiles round to four digits, halves to even; three compare alike under either rule
-    return rounded(frame, 3, ["mean", "median", "std"])
+    return rounded(frame, 4, ["low", "high", "mean", "median", "std"])
 
 
 for _name in NUMERIC:
@@ -189,8 +189,13 @@ def time_axes_of_tables(spark, folder):
     return frames[0].unionByName(frames[1])
 
 
-@query("""SELECT 'metric' AS role, name FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS name, count(*) FROM lineitem)
-UNION ALL SELECT 'time', 'l_shipdate' UNION ALL SELECT 'dimension', 'l_returnflag' UNION ALL SELECT 'dimension', 'l_linestatus'""")
+LINE_TEXT = ["l_returnflag", "l_linestatus"]
+
+
+@query(" UNION ALL ".join(
+    [f"SELECT 'metric' AS role, '{c}' AS name FROM lineitem HAVING count(DISTINCT {c}) > 200 OR min({c}) < 1900 OR max({c}) > 2100" for c in NUMERIC["lineitem"]]
+    + ["SELECT 'time', 'l_shipdate' FROM lineitem HAVING count(DISTINCT l_shipdate) > 1"]
+    + [f"SELECT 'dimension', '{c}' FROM lineitem HAVING count(DISTINCT {c}) BETWEEN 2 AND 25 AND avg(length({c})) < 40" for c in LINE_TEXT]))
 def column_roles(spark, folder):
     prof = profile(table(spark, folder, "lineitem"), duplicates=False)
     roles = {"metric": metric_candidates(prof), "time": time_axis_candidates(prof), "dimension": dimension_candidates(prof)}

@@ -72,9 +72,9 @@ def _scratch(spark, label: str, suffix: str) -> str:
     return f"{shared_folder(spark)}/deltascope-{label}-{uuid.uuid4().hex}{suffix}"
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def scan_table(spark, folder):
-    return scan(spark, f"{folder}/nation.parquet")
+    return scan(spark, f"{folder}/customer.parquet")
 
 
 @query(f"""WITH {MESSY}

@@ -31,11 +31,11 @@ def category_key(spelling: Column) -> Column:
 def plain_number(column: Column) -> Column:
     """Numeric text to double, null where it is not a plain decimal number.
 
-    The pattern gate keeps out what a cast would take on top of that, such as `1.0d`.
+    Extracting by the pattern keeps out what a cast would take on top of that, such as
+    `1.0d`, and evaluates the text only once.
     """
-    text = strip(column)
-    looks_plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(looks_plain, text.try_cast("double"))
+    plain = F.regexp_extract(strip(column), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", 0)
+    return plain.try_cast("double")
 
 
 def coerce_numeric(column: Column) -> Column:
@@ -46,8 +46,9 @@ def coerce_numeric(column: Column) -> Column:
     """
     text = strip(column)
     magnitude = plain_number(F.regexp_replace(text, r"[$€£¥,()%\s]", ""))
-    signed = F.when(text.rlike(r"(?s)^\(.*\)$"), -magnitude).otherwise(magnitude)
-    return F.when(F.contains(text, F.lit("%")), signed / F.lit(100.0)).otherwise(signed)
+    sign = F.when(text.startswith("(") & text.endswith(")"), -1.0).otherwise(1.0)
+    unit = F.when(text.contains("%"), 100.0).otherwise(1.0)
+    return sign * magnitude / unit
 
 
 def is_floating(data_type: T.DataType) -> bool:

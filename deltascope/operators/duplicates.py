@@ -28,27 +28,41 @@ def suspects(df: DataFrame) -> DataFrame:
     return materialize(counted.filter("n > 1").select("__hash"), "suspects")
 
 
-def count_duplicates(df: DataFrame, suspicious: DataFrame | None = None) -> int:
+def _repeated(df: DataFrame, suspicious: DataFrame) -> DataFrame:
+    """Rows that may have a copy, grouped: all columns and `__n`, how often the row occurs."""
+    rows = df.withColumn("__hash", _hash(df)).join(suspicious, "__hash", "left_semi")
+    return rows.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count("*").alias("__n"))
+
+
+def _surplus(groups: DataFrame) -> int:
+    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
+
+
+def count_duplicates(df: DataFrame) -> int:
     """How many rows equal an earlier one."""
     if not df.columns:
         return 0
-    suspicious = suspects(df) if suspicious is None else suspicious
-    if suspicious.isEmpty():
-        return 0
-    rows = df.withColumn("__hash", _hash(df)).join(suspicious, "__hash", "left_semi")
-    groups = rows.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count("*").alias("__n"))
-    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
+    suspicious = suspects(df)
+    return 0 if suspicious.isEmpty() else _surplus(_repeated(df, suspicious))
 
 
-def drop_duplicates(df: DataFrame, suspicious: DataFrame | None = None) -> DataFrame:
-    """Every distinct row once."""
-    suspicious = suspects(df) if suspicious is None else suspicious
+def deduplicate(df: DataFrame) -> tuple[DataFrame, int]:
+    """Every distinct row once, and how many rows that leaves out.
+
+    With few suspicious hashes, certainly unique rows pass without a shuffle, and the others
+    are grouped once, into a small table that also tells the number of surplus rows.
+    """
+    suspicious = suspects(df)
     n = suspicious.count()
     if n == 0:
-        return df
+        return df, 0
     if n > MAX_SUSPECTS:
-        return df.dropDuplicates()
-    hashed = df.withColumn("__hash", _hash(df))
-    unique = hashed.join(F.broadcast(suspicious), "__hash", "left_anti")
-    repeated = hashed.join(F.broadcast(suspicious), "__hash", "left_semi")
-    return unique.drop("__hash").unionByName(repeated.drop("__hash").dropDuplicates())
+        return df.dropDuplicates(), _surplus(_repeated(df, suspicious))
+    few = F.broadcast(suspicious)
+    groups = materialize(_repeated(df, few), "repeated")
+    unique = df.withColumn("__hash", _hash(df)).join(few, "__hash", "left_anti").drop("__hash")
+    return unique.unionByName(groups.drop("__n")), _surplus(groups)
+
+
+def drop_duplicates(df: DataFrame) -> DataFrame:
+    return deduplicate(df)[0]

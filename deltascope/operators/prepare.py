@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.functions.text import as_text, coerce_numeric, quoted
 from deltascope.functions.time import parse_dates
-from deltascope.operators.duplicates import count_duplicates, drop_duplicates, suspects
+from deltascope.operators.duplicates import count_duplicates, deduplicate
 from deltascope.operators.profile import TableProfile, profile
 
 
@@ -80,7 +80,8 @@ def prepare(df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows
     The cleaned table is one projection over the source, plus a distinct when there is
     anything to remove.
     """
-    prof = profile(df) if prof is None else prof
+    # the copies that matter are those left after parsing, so the raw ones are not counted
+    prof = profile(df, duplicates=not drop_duplicate_rows) if prof is None else prof
     actions, parsed = [], conversions(df, prof)
     failures = failed_conversions(df, parsed)
     keep = []
@@ -103,10 +104,8 @@ def prepare(df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows
     keep += [F.col(quoted(c)) for c in df.columns if c not in known]
     frame, removed = df.select(*keep), 0
     if drop_duplicate_rows:
-        suspicious = suspects(frame)
-        removed = count_duplicates(frame, suspicious)
+        frame, removed = deduplicate(frame)
         if removed:
-            frame = drop_duplicates(frame, suspicious)
             actions.append(
                 CleaningAction("drop_duplicates", f"Removed {removed:,} fully duplicated row(s)", removed, reversible=False)
             )

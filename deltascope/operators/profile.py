@@ -291,16 +291,20 @@ def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VAL
     minima, which are all different, cannot lie below the `n`-th smallest value; so only
     values up to it are counted, and those are few.
     """
-    minima = df.agg(*[
-        F.min(F.when(F.pmod(F.xxhash64(column), F.lit(SAMPLE_GROUPS)) == group, column)).alias(f"m{i}_{group}")
-        for i, name in enumerate(columns)
-        for column in (F.when(present(df, name), F.col(quoted(name))),)
-        for group in range(SAMPLE_GROUPS)
+    values = [F.when(present(df, name), F.col(quoted(name))) for name in columns]
+    # the hash is worked out once per value, below the aggregate
+    hashed = df.select(*[
+        part for i, value in enumerate(values)
+        for part in (value.alias(f"v{i}"), F.pmod(F.xxhash64(value), F.lit(SAMPLE_GROUPS)).alias(f"g{i}"))
+    ])
+    minima = hashed.agg(*[
+        F.min(F.when(F.col(f"g{i}") == group, F.col(f"v{i}"))).alias(f"m{i}_{group}")
+        for i in range(len(columns)) for group in range(SAMPLE_GROUPS)
     ])
     row, limited = minima.first(), []
     for i, name in enumerate(columns):
         found = sorted(v for v in (row[f"m{i}_{g}"] for g in range(SAMPLE_GROUPS)) if v is not None)
-        column = F.when(present(df, name), F.col(quoted(name)))
+        column = values[i]
         if len(found) >= n:
             column = F.when(column <= F.lit(found[n - 1]).cast(df.schema[name].dataType), column)
         limited.append(column.alias(name))
@@ -514,9 +518,8 @@ def numeric_figures(df: DataFrame, columns: list[str], exact: bool = True, disti
         middle = {c: row[f"median_{i}"] for i, c in enumerate(columns)}
     return {
         name: {
-            "min": _rounded(row[f"min_{i}"]), "max": _rounded(row[f"max_{i}"]), "mean": _rounded(row[f"mean_{i}"]),
-            "std": _rounded(row[f"std_{i}"]), "median": _rounded(middle[name]),
-            "zero_count": row[f"zeros_{i}"], "has_negatives": row[f"negative_{i}"],
+            "min": row[f"min_{i}"], "max": row[f"max_{i}"], "mean": row[f"mean_{i}"], "std": row[f"std_{i}"],
+            "median": middle[name], "zero_count": row[f"zeros_{i}"], "has_negatives": row[f"negative_{i}"],
         }
         for i, name in enumerate(columns)
     }
@@ -530,7 +533,7 @@ def _column(row: Row, n_rows: int, figures: dict) -> ColumnProfile:
     semantic = row["semantic_type"]
     low = high = None
     if semantic == "numeric":
-        low, high = (None if figures[k] is None else repr(figures[k]) for k in ("min", "max"))
+        low, high = (None if figures[k] is None else repr(_rounded(figures[k])) for k in ("min", "max"))
     elif semantic == "date":
         low, high = row["min_time"], row["max_time"]
     elif semantic == "year":
@@ -541,6 +544,7 @@ def _column(row: Row, n_rows: int, figures: dict) -> ColumnProfile:
         position=row["position"], name=row["name"], dtype=row["dtype"], semantic_type=semantic,
         null_count=nulls, null_pct=round(100 * nulls / n_rows, 2) if n_rows else 0.0,
         unique_count=row["unique_count"], samples=[v["value"] for v in row["samples"]], top_values=top,
-        min=low, max=high, mean=figures.get("mean"), median=figures.get("median"), std=figures.get("std"),
+        min=low, max=high, mean=_rounded(figures.get("mean")), median=_rounded(figures.get("median")),
+        std=_rounded(figures.get("std")),
         has_negatives=figures.get("has_negatives", False), zero_count=figures.get("zero_count", 0), note=_note(row),
     )

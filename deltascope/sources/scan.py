@@ -34,15 +34,18 @@ def scan_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", whole).json(path)
 
 
-def scan_csv(spark: SparkSession, path: str, sep: str | None = None, infer_types: bool = True) -> DataFrame:
+def scan_csv(
+    spark: SparkSession, path: str, sep: str | None = None, infer_types: bool = True, multi_line: bool = False
+) -> DataFrame:
     """Delimited text with a header line.
 
     Everything is read as text, the strings that stand for null become null, and a column
     whose remaining values are all plain numbers (or all true/false) is then read as such.
+    `multi_line` allows line breaks inside quotes, at the price of one task per file.
     """
     if sep is None:
         sep = "\t" if path.lower().endswith(".tsv") else sniff_delimiter(spark, path)
-    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=False).csv(path)
+    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line).csv(path)
     raw = raw.toDF(*[name or f"Unnamed: {i}" for i, name in enumerate(_header(raw))])
     nulled = raw.select(*[_null_strings(F.col(quoted(c))).alias(c) for c in raw.columns])
     return _typed(nulled) if infer_types else nulled
