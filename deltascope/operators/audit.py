@@ -13,7 +13,7 @@ Tables
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.functions import fixed
 
@@ -77,32 +77,70 @@ def segment_set(segment: Column) -> Column:
 # ---------------------------------------------------------------- attempts
 
 
+# How many consecutive steps are looked at together when runs of failures are measured.
+CHUNK = 1_000
+
+
+def _join_runs(left: Column, right: Column) -> Column:
+    """Two adjacent stretches of attempts as one: its length, the failures at its head and
+    tail, and the longest run of failures in it."""
+    return F.struct(
+        (left["n"] + right["n"]).alias("n"),
+        F.when(left["head"] == left["n"], left["n"] + right["head"]).otherwise(left["head"]).alias("head"),
+        F.when(right["tail"] == right["n"], right["n"] + left["tail"]).otherwise(right["tail"]).alias("tail"),
+        F.greatest(left["best"], right["best"], left["tail"] + right["head"]).alias("best"),
+    )
+
+
+def longest_failure_runs(attempts: DataFrame) -> DataFrame:
+    """`(answer_id, longest_failure_run)`.
+
+    Stretches of `CHUNK` steps are summed up on their own, then stretches of stretches, so
+    that no task ever sees all attempts at one answer, however many there are.
+    """
+    failure = F.when(F.col("ok"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    stretches = attempts.select(
+        "answer_id", F.col("step").cast("bigint").alias("step"),
+        F.struct(
+            F.lit(1).cast("bigint").alias("n"), failure.alias("head"), failure.alias("tail"), failure.alias("best")
+        ).alias("stretch"),
+    )
+    bounds = attempts.agg(F.max(F.abs(F.col("step").cast("bigint")))).first()[0] or 0
+    nothing = F.struct(*[F.lit(0).cast("bigint").alias(name) for name in ("n", "head", "tail", "best")])
+    while True:
+        parts = F.array_sort(F.collect_list(F.struct("step", "stretch")))
+        whole = F.aggregate(parts, nothing, lambda seen, part: _join_runs(seen, part["stretch"]))
+        chunk = F.floor(F.col("step") / CHUNK)
+        stretches = stretches.groupBy("answer_id", chunk.alias("chunk")).agg(whole.alias("stretch")).withColumnRenamed("chunk", "step")
+        bounds = bounds // CHUNK
+        if bounds == 0:
+            break
+    # what is left are the stretches on either side of step zero, in practice one per answer
+    return stretches.groupBy("answer_id").agg(
+        F.aggregate(
+            F.array_sort(F.collect_list(F.struct("step", "stretch"))), nothing, lambda seen, part: _join_runs(seen, part["stretch"])
+        )["best"].alias("longest_failure_run")
+    )
+
+
 def attempt_summary(attempts: DataFrame) -> DataFrame:
     """Per answer: attempts that worked, that showed something, that failed, that repeated
     earlier code, and the longest run of failures."""
-    order = Window.partitionBy("answer_id").orderBy("step")
-    # consecutive failures share the number of successes before them
-    runs = (
-        attempts.withColumn("successes", F.count_if("ok").over(order))
-        .filter(~F.col("ok"))
-        .groupBy("answer_id", "successes").agg(F.count("*").alias("length"))
-        .groupBy("answer_id").agg(F.max("length").alias("longest_failure_run"))
-    )
     shown = F.coalesce(F.trim("output"), F.lit("")) != ""
     repeats = (
         attempts.groupBy("answer_id", F.trim("code").alias("code")).agg(F.count("*").alias("n"))
         .groupBy("answer_id").agg(F.sum(F.col("n") - 1).alias("resubmitted"))
     )
-    counts = attempts.groupBy("answer_id").agg(
+    return _attempt_counts(attempts, shown).join(repeats, "answer_id").join(longest_failure_runs(attempts), "answer_id")
+
+
+def _attempt_counts(attempts: DataFrame, shown: Column) -> DataFrame:
+    return attempts.groupBy("answer_id").agg(
         F.count("*").alias("attempts"),
         F.count_if("ok").alias("successful"),
         F.count_if(F.col("ok") & shown).alias("informative"),
         F.count_if(~F.col("ok")).alias("failed"),
     )
-    return (
-        counts.join(repeats, "answer_id").join(runs, "answer_id", "left")
-        .fillna(0, ["longest_failure_run"])
-    )
 
 
 # ---------------------------------------------------------------- grading
@@ -170,7 +208,7 @@ def audit_answers(
     whole = (
         read.join(known, "answer_id", "left")
         .join(verdicts, "answer_id", "left")
-        .join(attempt_summary(attempts).select("answer_id", "successful", "failed"), "answer_id", "left")
+        .join(_attempt_counts(attempts, F.lit(True)).select("answer_id", "successful", "failed"), "answer_id", "left")
         .join(expected.filter(~on_slices), "case_id")
     )
     crossed = slices.select(

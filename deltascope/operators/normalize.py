@@ -9,6 +9,10 @@ from deltascope.functions.text import as_text, category_key, quoted, strip
 from deltascope.sources.materialize import materialize
 
 
+# How many variants of a category a note spells out.
+SHOWN_VARIANTS = 10
+
+
 def spelling_counts(df: DataFrame, columns: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
     """`(dimension, spelling, rows, <sums>)`: one row per distinct trimmed spelling.
 
@@ -110,26 +114,33 @@ def normalization_report(df: DataFrame, column: str) -> DataFrame:
 def describe(spellings: DataFrame) -> list[str]:
     """Notes for people: one per dimension in which something was folded or missing.
 
-    At most three examples per dimension, chosen before anything reaches the driver.
+    At most three examples per dimension with some variants each, chosen before anything
+    reaches the driver; `merged_spellings` has all of them.
     """
     first_three = (
         fold(spellings)
         .filter((F.col("spellings") > 1) & (F.col("key") != fixed.MISSING))
         .withColumn("position", F.row_number().over(Window.partitionBy("dimension").orderBy("key")))
         .filter("position <= 3")
-        .select("dimension", "key", "segment", "position")
+        .select("dimension", "key", "segment", "position", "spellings")
     )
+    commonest = Window.partitionBy("dimension", "key").orderBy(F.desc("rows"), "spelling")
     variants = (
         spellings.withColumn("key", category_key(F.col("spelling")))
         .join(first_three, ["dimension", "key"])
         .filter(F.col("spelling") != F.col("segment"))
-        .groupBy("dimension", "position", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("order"), "spelling"))).alias("variants"))
+        .withColumn("place", F.row_number().over(commonest))
+        .filter(F.col("place") <= SHOWN_VARIANTS)
     )
+    listed: dict[tuple, list] = {}
+    for row in variants.collect():
+        listed.setdefault((row["dimension"], row["position"]), []).append(row)
     examples: dict[str, list[str]] = {}
-    for row in sorted(variants.collect(), key=lambda r: (r["dimension"], r["position"])):
-        listed = ", ".join(repr(v["spelling"]) for v in row["variants"])
-        examples.setdefault(row["dimension"], []).append(f"{row['segment']} <- {listed}")
+    for (dimension, _), rows in sorted(listed.items()):
+        rows.sort(key=lambda r: r["place"])
+        hidden = rows[0]["spellings"] - 1 - len(rows)
+        text = ", ".join(repr(r["spelling"]) for r in rows) + (f" and {hidden} more" if hidden else "")
+        examples.setdefault(dimension, []).append(f"{rows[0]['segment']} <- {text}")
     notes = []
     for row in report(spellings).orderBy("dimension").collect():
         name, parts = row["dimension"], []

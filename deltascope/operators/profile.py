@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from deltascope.functions import fixed
-from deltascope.functions.text import as_text, clean_text, is_datetime, is_floating, plain_number, present, quoted
+from deltascope.functions.text import as_text, clean_text, is_datetime, is_floating, plain_number, present, quoted, strip
 from deltascope.functions.time import parse_dates
 from deltascope.operators.duplicates import count_duplicates
 from deltascope.operators.quantiles import SORT_AT_MOST, few_valued_medians, medians
@@ -173,6 +173,10 @@ def rollup_levels(column: ColumnProfile) -> bool:
 
 # Columns with at most this many distinct values have their values listed outright.
 LISTED_DISTINCT = 1_000
+# Longer texts are told apart by a digest, so that whole documents need not be shuffled.
+LONG_TEXT = 256
+# How many columns are unpivoted together.
+COLUMNS_AT_ONCE = 100
 # Into how many groups a longer column is split to bound its smallest values.
 SAMPLE_GROUPS = 8
 
@@ -229,38 +233,34 @@ def _by_type(types: dict[int, T.DataType], rule) -> Column:
     return chosen if len(branches) > 1 else rule(next(iter(branches)))
 
 
-def _cells(df: DataFrame, columns: list[str], grouped: bool):
-    """Per family of types: the types by position, and `(position, cell, rows)`.
-
-    Grouped, there is one row per distinct value, null being a value of its own; ungrouped,
-    one per cell, for callers that only aggregate.
-    """
+def _families(df: DataFrame, columns: list[str]):
+    """Columns of one family of types each, not too many at once, with their positions."""
     where = {name: i for i, name in enumerate(df.columns)}
     for family in ("whole", "floating", "text"):
         members = [c for c in columns if _family(df.schema[c].dataType) == family]
-        if not members:
-            continue
-        flat = df.select(*[_cell(df, c).alias(str(where[c])) for c in members])
-        flat = flat.unpivot([], [str(where[c]) for c in members], "position", "cell")
-        if grouped:
-            flat = flat.groupBy("position", "cell").agg(F.count("*").alias("rows"))
-        else:
-            flat = flat.withColumn("rows", F.lit(1).cast("bigint"))
-        yield {where[c]: df.schema[c].dataType for c in members}, flat.withColumn("position", F.col("position").cast("int"))
+        for start in range(0, len(members), COLUMNS_AT_ONCE):
+            some = members[start:start + COLUMNS_AT_ONCE]
+            flat = df.select(*[_cell(df, c).alias(str(where[c])) for c in some])
+            flat = flat.unpivot([], [str(where[c]) for c in some], "position", "cell")
+            yield family, {where[c]: df.schema[c].dataType for c in some}, flat.withColumn("position", F.col("position").cast("int"))
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """`(position, value, place, rows)`: distinct values per column as text, with the number
     they sort by if they have one."""
     cell = F.col("cell")
+
+    def place(family: str, data_type: T.DataType) -> Column:
+        if isinstance(data_type, T.StringType):
+            return F.lit(None).cast("double")
+        return _number_of(data_type, cell) if family == "text" else cell.cast("double")
+
     parts = [
-        flat.select(
+        flat.groupBy("position", "cell").agg(F.count("*").alias("rows")).select(
             "position", _by_type(types, lambda t: _text_of(t, cell)).alias("value"),
-            _by_type(types, lambda t: F.lit(None).cast("double") if isinstance(t, T.StringType)
-                     else cell.cast("double") if _family(t) != "text" else _number_of(t, cell)).alias("place"),
-            "rows",
+            _by_type(types, lambda t: place(family, t)).alias("place"), "rows",
         )
-        for types, flat in _cells(df, df.columns if columns is None else columns, True)
+        for family, types, flat in _families(df, df.columns if columns is None else columns)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -317,27 +317,64 @@ def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VAL
 # ---------------------------------------------------------------- kinds of columns
 
 
+def _distinct_cells(df: DataFrame, exact: bool) -> DataFrame:
+    """`(position, rows, instant, number, clean, long_text, mark)`: one row per distinct value
+    and column, null being a value, or one per cell when counts need not be exact.
+
+    A long text is grouped by its digest. What the rules need to know of it, its length and
+    whether it reads as an amount, is the same for all rows of such a group.
+    """
+    cell, rows, parts = F.col("cell"), F.col("rows"), []
+    none, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    for family, types, flat in _families(df, df.columns):
+        long_text = F.lit(None).cast("struct<characters: int, amount: boolean, number: double>")
+        if family == "text":
+            stripped = strip(cell)
+            facts = F.struct(
+                F.length(stripped).alias("characters"), stripped.rlike(fixed.AMOUNT_PATTERN).alias("amount"),
+                _by_type(types, lambda t: _number_of(t, cell)).alias("number"),
+            )
+            is_long = F.length(cell) > LONG_TEXT
+            flat = flat.select(
+                "position", F.when(is_long, F.sha2(cell, 256)).otherwise(cell).alias("cell"),
+                *[F.when(is_long, facts[name]).alias(name) for name in ("characters", "amount", "number")],
+            )
+            if exact:
+                # a short text could look like a digest, so which it is belongs to the key
+                flat = flat.groupBy("position", "cell", F.col("characters").isNotNull().alias("long")).agg(
+                    F.count("*").alias("rows"), F.max("characters").alias("characters"),
+                    F.max("amount").alias("amount"), F.max("number").alias("number"),
+                )
+            long_text = F.when(F.col("characters").isNotNull(), F.struct("characters", "amount", "number"))
+        elif exact:
+            flat = flat.groupBy("position", "cell").agg(F.count("*").alias("rows"))
+        if not exact:
+            flat = flat.withColumn("rows", F.lit(1).cast("bigint"))
+        short = F.col("characters").isNull() if family == "text" else F.lit(True)
+        number = F.when(short, _by_type(types, lambda t: _number_of(t, cell)))
+        if family == "text":
+            number = F.coalesce(number, F.col("number"))
+            clean = F.when(short, _by_type(types, lambda t: clean_text(cell) if isinstance(t, T.StringType) else no_text))
+        parts.append(flat.select(
+            "position", "rows", (cell if family == "whole" else none).alias("instant"), number.alias("number"),
+            (clean if family == "text" else no_text).alias("clean"), long_text.alias("long_text"),
+            cell.isNotNull().alias("present"), F.xxhash64(cell).alias("mark"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _facts(df: DataFrame, exact: bool) -> DataFrame:
     """Facts about the values of each column, weighted by rows: one row per column.
 
     All of these are hash aggregates on fixed-width buffers, so distinct values are shuffled
     once and never sorted.
     """
-    cell, rows, clean = F.col("cell"), F.col("rows"), F.col("clean")
-    parts = []
-    for types, flat in _cells(df, df.columns, exact):
-        family = _family(next(iter(types.values())))
-        parts.append(flat.select(
-            "position", "rows",
-            (cell if family == "whole" else F.lit(None).cast("bigint")).alias("instant"),
-            _by_type(types, lambda t: _number_of(t, cell)).alias("number"),
-            (_by_type(types, lambda t: clean_text(cell) if isinstance(t, T.StringType) else F.lit(None).cast("string"))
-             if family == "text" else F.lit(None).cast("string")).alias("clean"),
-            cell.isNotNull().alias("present"),
-            F.xxhash64(cell).alias("mark"),
-        ))
-    facts = reduce(DataFrame.unionByName, parts)
+    rows, clean, long_text = F.col("rows"), F.col("clean"), F.col("long_text")
+    facts = _distinct_cells(df, exact)
     facts = facts.withColumn("is_date", clean.isNotNull() & parse_dates(clean).isNotNull())
+    is_clean = clean.isNotNull() | (long_text["characters"] > 0)
+    is_amount = F.coalesce(clean.rlike(fixed.AMOUNT_PATTERN), long_text["amount"])
+    length = F.coalesce(F.length(clean), long_text["characters"])
 
     def weigh(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
@@ -356,11 +393,13 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
         F.max("number").alias("max_number"),
         weigh(F.col("number").isNotNull()).alias("n_numbers"),
         F.coalesce(F.bool_and(F.col("number") % 1 == 0), F.lit(False)).alias("all_whole"),
-        weigh(clean.isNotNull()).alias("n_clean"),
+        weigh(is_clean).alias("n_clean"),
         weigh(F.col("is_date")).alias("n_dates"),
-        weigh(clean.rlike(fixed.AMOUNT_PATTERN)).alias("n_amounts"),
-        F.coalesce(F.bool_and(F.lower(clean).isin(*fixed.BOOLEAN_WORDS)), F.lit(False)).alias("all_flags"),
-        F.sum(F.length(clean) * rows).alias("characters"),
+        weigh(is_amount).alias("n_amounts"),
+        F.coalesce(
+            F.bool_and(F.when(long_text["characters"] > 0, False).otherwise(F.lower(clean).isin(*fixed.BOOLEAN_WORDS))), F.lit(False)
+        ).alias("all_flags"),
+        F.sum(length * rows).alias("characters"),
     )
 
 

@@ -145,3 +145,22 @@ def test_report(spark, tmp_path):
     back = spark.read.schema(run_records(runs, results).schema).json(str(tmp_path / "runs.json"))
     worst = back.filter("model = 'small' AND `case` = 'b' AND attempt = 1").first()
     assert worst["passed"] == 0 and [f["name"] for f in worst["failures"]] == ["t1", "t0"]
+
+
+def test_failure_runs_across_chunks(spark, monkeypatch):
+    """Against a plain loop, with chunks so small that runs span several levels of them."""
+    monkeypatch.setattr(g, "CHUNK", 3)
+    import random
+
+    rng = random.Random(5)
+    rows, longest = [], {}
+    for answer in range(6):
+        run = best = 0
+        for step in range(rng.choice([1, 5, 40, 100])):
+            ok = rng.random() > 0.8 if answer % 2 else rng.random() > 0.3
+            run = 0 if ok else run + 1
+            best = max(best, run)
+            rows.append((answer, step * 2, "x", ok, ""))
+        longest[answer] = best
+    attempts = spark.createDataFrame(rows, "answer_id int, step int, code string, ok boolean, output string").repartition(5)
+    assert {r["answer_id"]: r["longest_failure_run"] for r in g.longest_failure_runs(attempts).collect()} == longest
