@@ -31,6 +31,8 @@ DATE_FORMATS = (
     (r"^[A-Za-z]{3} \d{4}$", ("MMM yyyy",)),
     (r"^[A-Za-z]{4,} \d{4}$", ("MMMM yyyy",)),
 )
+# what every one of them begins like; most other text is told apart by this alone
+MAYBE_DATE = r"^(\d{1,4}[-/. ]|\d{8}$|[A-Za-z]{3,} \d)"
 ISO_GATE = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
 
 
@@ -39,13 +41,16 @@ def parse_dates(column: Column, formats=DATE_FORMATS) -> Column:
 
     A bare year is left alone on purpose: it is a year axis, not a date.
     """
-    text = strip(column)
-    # blanks around a zone suffix aside, the cast takes all ISO 8601 forms
+    return parse_trimmed_dates(strip(column), formats)
+
+
+def parse_trimmed_dates(text: Column, formats=DATE_FORMATS) -> Column:
+    # the cast takes all ISO 8601 forms
     parsed = F.when(text.rlike(ISO_GATE), text.try_cast("timestamp"))
     for gate, patterns in formats:
         attempts = [F.try_to_timestamp(text, F.lit(p)) for p in patterns]
-        parsed = parsed.when(text.rlike(gate), F.coalesce(*attempts))
-    return parsed
+        parsed = parsed.when(text.rlike(gate), attempts[0] if len(attempts) == 1 else F.coalesce(*attempts))
+    return F.when(text.rlike(MAYBE_DATE), parsed)
 
 
 FREQUENCIES = {

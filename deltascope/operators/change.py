@@ -118,16 +118,17 @@ class ChangeAnalysis:
 
     @cached_property
     def dimension_summary(self) -> dict[str, Row]:
-        """Per dimension: residual, largest contribution, counter-movement. One row each, so
+        """Per dimension: residual, largest contributions, counter-movement. One row each, so
         this comes to the driver, where the rest of the analysis is decided."""
         self._keep()
-        against = F.col("change") * self.direction < 0
+        along, against = F.col("change") * self.direction > 0, F.col("change") * self.direction < 0
         size = F.abs("contribution_pp")
         # the exact sums are kept next to the measures, so that decimals reconcile exactly
         segments = self.segments.withColumn("moved", F.col("after") - F.col("before"))
         summary = measure(segments, self.total_before, self.delta, ("moved",)).groupBy("dimension").agg(
             F.sum("moved").alias("explained"),
             F.max(size).alias("concentration"),
+            F.max(F.when(along, size)).alias("leading"),
             F.coalesce(F.sum(F.when(against, size)), F.lit(0.0)).alias("counter_movement"),
         )
         found = {r["dimension"]: r for r in summary.collect()}

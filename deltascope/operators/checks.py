@@ -58,13 +58,14 @@ def _recompute(analysis) -> Check:
 
 
 def _concentrated(analysis) -> list[Check]:
-    top = analysis.top_contributors(1).collect()
-    if not top:
+    leading = {d: row["leading"] for d, row in analysis.dimension_summary.items() if row["leading"] is not None}
+    if not leading:
         return []
-    share = abs(top[0]["contribution_pp"] / analysis.pct_change) if analysis.pct_change else 0.0
+    top = max(leading, key=leading.get)
+    share = abs(leading[top] / analysis.pct_change) if analysis.pct_change else 0.0
     passed = share >= fixed.CONCENTRATED_MIN_SHARE
     detail = f"the largest contributor accounts for {share:.0%} of the move"
-    return [Check("concentrated", top[0]["dimension"], passed, share, detail if passed else f"{detail}: broad, not one segment")]
+    return [Check("concentrated", top, passed, share, detail if passed else f"{detail}: broad, not one segment")]
 
 
 def _offsetting(analysis) -> list[Check]:

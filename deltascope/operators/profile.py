@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 
 from deltascope.functions import fixed
 from deltascope.functions.text import as_text, clean_text, is_datetime, is_floating, plain_number, present, quoted, strip
-from deltascope.functions.time import parse_dates
+from deltascope.functions.time import parse_trimmed_dates
 from deltascope.operators.duplicates import count_duplicates
 from deltascope.operators.quantiles import SORT_AT_MOST, few_valued_medians, medians
 
@@ -371,7 +371,7 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
     """
     rows, clean, long_text = F.col("rows"), F.col("clean"), F.col("long_text")
     facts = _distinct_cells(df, exact)
-    facts = facts.withColumn("is_date", clean.isNotNull() & parse_dates(clean).isNotNull())
+    facts = facts.withColumn("is_date", parse_trimmed_dates(clean).isNotNull())
     is_clean = clean.isNotNull() | (long_text["characters"] > 0)
     is_amount = F.coalesce(clean.rlike(fixed.AMOUNT_PATTERN), long_text["amount"])
     length = F.coalesce(F.length(clean), long_text["characters"])
