@@ -135,9 +135,9 @@ def profile_semantic_types(spark, folder):
 
 
 @query(f"""WITH {MESSY}, d AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS n)
-SELECT 'duplicates' AS kind, n || ' fully duplicated rows (' || format('{{:.1f}}', 100.0 * n / (SELECT count(*) FROM messy)) || '%)' AS warning FROM d WHERE n > 0
-UNION ALL SELECT 'all_null', '''Unnamed: 9'' is entirely null' UNION ALL SELECT 'stored_as_text', '''price'' is numeric as string'
-UNION ALL SELECT 'stored_as_text', '''day'' is date as string' UNION ALL SELECT 'unnamed', '1 unnamed column(s), probably left over from a spreadsheet'""")
+SELECT 'duplicates' AS kind, format('{{:,}}', n) || ' repeated rows, ' || format('{{:.1f}}', 100.0 * n / (SELECT count(*) FROM messy)) || '% of all' AS warning FROM d WHERE n > 0
+UNION ALL SELECT 'all_null', '''Unnamed: 9'' is entirely null' UNION ALL SELECT 'stored_as_text', '''price'' holds numbers as text'
+UNION ALL SELECT 'stored_as_text', '''day'' holds dates as text' UNION ALL SELECT 'unnamed', '1 column(s) without a name, probably left over from a spreadsheet'""")
 def profile_warnings(spark, folder):
     return profile(messy_orders(spark, folder)).warnings_frame().select("kind", "warning")
 
@@ -153,15 +153,15 @@ def profile_rollup_levels(spark, folder):
 @query(f"""WITH {MESSY}, n AS (SELECT count(*) AS n FROM messy), gone AS (
   SELECT n.n AS n, n.n - (SELECT count(priority) FROM messy) AS p, n.n - (SELECT count(finished) FROM messy) AS f,
     n.n - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS d FROM n)
-SELECT 'missing' AS kind, '''priority'' has ' || format('{{:,}}', p) || ' missing values' AS issue FROM gone WHERE p > 0
-UNION ALL SELECT 'missing', '''finished'' has ' || format('{{:,}}', f) || ' missing values' FROM gone WHERE f > 0
-UNION ALL SELECT 'missing', '''Unnamed: 9'' has ' || format('{{:,}}', n) || ' missing values' FROM gone
-UNION ALL SELECT 'duplicates', format('{{:,}}', d) || ' duplicate rows were removed' FROM gone WHERE d > 0
-UNION ALL SELECT 'stored_as', '''price'' is numeric as string' UNION ALL SELECT 'stored_as', '''day'' is date as string'
-UNION ALL SELECT 'stored_as', '''Unnamed: 9'' is empty'""")
+SELECT 'missing' AS kind, '''priority'': ' || format('{{:,}}', p) || ' missing values' AS issue FROM gone WHERE p > 0
+UNION ALL SELECT 'missing', '''finished'': ' || format('{{:,}}', f) || ' missing values' FROM gone WHERE f > 0
+UNION ALL SELECT 'missing', '''Unnamed: 9'': ' || format('{{:,}}', n) || ' missing values' FROM gone
+UNION ALL SELECT 'duplicates', format('{{:,}}', d) || ' duplicate rows removed' FROM gone WHERE d > 0
+UNION ALL SELECT 'stored_as', '''price'': numbers stored as text' UNION ALL SELECT 'stored_as', '''day'': dates stored as text'
+UNION ALL SELECT 'stored_as', '''Unnamed: 9'': no values'""")
 def quality_issues_messy(spark, folder):
     prof = profile(messy_orders(spark, folder))
-    found = [(kind, text.split(" (")[0]) for kind, text in quality_issues(prof, prof.duplicate_rows)]
+    found = [(kind, text.split(", ")[0]) for kind, text in quality_issues(prof, prof.duplicate_rows)]
     return spark.createDataFrame(found, "kind string, issue string")
 
 
@@ -238,10 +238,10 @@ def prepare_dedup(spark, folder):
 @query(f"""WITH {PARSED}, f AS (SELECT count(*) AS n, count(*) FILTER (amount IS NULL AND price IS NOT NULL) AS prices,
   count(*) FILTER (parsed_day IS NULL AND day IS NOT NULL) AS days FROM parsed),
 d AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS n)
-SELECT 'parse_numbers' AS kind, 'Parsed ''price'' from text to numbers; ' || format('{{:,}}', prices) || ' value(s) did not parse and are now missing' AS description, n AS rows_affected, TRUE AS reversible FROM f
-UNION ALL SELECT 'parse_dates', 'Parsed ''day'' from text to dates; ' || format('{{:,}}', days) || ' value(s) did not parse and are now missing', n, TRUE FROM f
-UNION ALL SELECT 'drop_column', 'Dropped ''Unnamed: 9'': every value was missing', 0, TRUE
-UNION ALL SELECT 'drop_duplicates', 'Removed ' || format('{{:,}}', n) || ' fully duplicated row(s)', n, FALSE FROM d""")
+SELECT 'parse_numbers' AS kind, 'Read the text in ''price'' as numbers; ' || format('{{:,}}', prices) || ' value(s) did not parse and are now missing' AS description, n AS rows_affected, TRUE AS reversible FROM f
+UNION ALL SELECT 'parse_dates', 'Read the text in ''day'' as dates; ' || format('{{:,}}', days) || ' value(s) did not parse and are now missing', n, TRUE FROM f
+UNION ALL SELECT 'drop_column', 'Dropped ''Unnamed: 9'', which holds no value', 0, TRUE
+UNION ALL SELECT 'drop_duplicates', 'Removed ' || format('{{:,}}', n) || ' repeated row(s)', n, FALSE FROM d""")
 def cleaning_log(spark, folder):
     return prepare(messy_orders(spark, folder)).actions_frame().drop("position")
 
@@ -254,7 +254,7 @@ def rows_removed(spark, folder):
 
 
 @query(f"""WITH {MESSY}, d AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS n)
-SELECT 'Kept ' || format('{{:,}}', n) || ' duplicated row(s); totals count them more than once' AS description FROM d""")
+SELECT 'Kept ' || format('{{:,}}', n) || ' repeated row(s), which totals count more than once' AS description FROM d""")
 def keep_duplicates(spark, folder):
     done = prepare(messy_orders(spark, folder), drop_duplicate_rows=False)
     return done.actions_frame().filter(F.col("kind") == "keep_duplicates").select("description")

@@ -3,6 +3,7 @@ so each can fail."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,8 +24,8 @@ class Check:
         return {
             "reconcile": f"contributions by '{self.subject}' add up to the total change",
             "recompute": "period totals agree with the raw rows",
-            "concentrated": "change is concentrated enough to attribute",
-            "offsetting": "change is not dominated by offsetting movement",
+            "concentrated": "one contributor accounts for enough of the change",
+            "offsetting": "little moved against the change",
         }[self.kind]
 
 
@@ -72,14 +73,11 @@ def _offsetting(analysis) -> list[Check]:
     """A small net change can be what is left of large movement both ways."""
     if not analysis.pct_change:
         return []
-    net = abs(analysis.pct_change)
-    worst, ratio = "", 0.0
-    for dimension in analysis.dimensions:
-        candidate = analysis.counter_movement(dimension) / net
-        if candidate > ratio:
-            worst, ratio = dimension, candidate
+    worst = max(analysis.dimensions, key=analysis.counter_movement)
+    undefined = math.isnan(analysis.pct_change)
+    ratio = 0.0 if undefined else analysis.counter_movement(worst) / abs(analysis.pct_change)
     if ratio <= fixed.OFFSETTING_MAX_RATIO:
-        return [Check("offsetting", worst, True, ratio, f"largest counter-movement is {ratio:.0%} of the net change")]
+        return [Check("offsetting", worst, True, ratio, f"at most {ratio:.0%} of the net change moved the other way")]
     movers = analysis.counter_movers(worst, 2).collect()
     named = ", ".join(f"{m['segment']} {m['contribution_pp']:+.2f} pp" for m in movers)
     detail = (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.functions.text import as_text, strip
@@ -15,9 +18,7 @@ def matches(df: DataFrame, column: str, value: str) -> Column:
 
 def apply_filters(df: DataFrame, filters: Filters) -> DataFrame:
     """Keep the rows that match every filter."""
-    for column, value in filters:
-        df = df.filter(matches(df, column, value))
-    return df
+    return df.filter(reduce(and_, (matches(df, c, v) for c, v in filters))) if filters else df
 
 
 def values_present(df: DataFrame, filters: Filters) -> list[bool]:

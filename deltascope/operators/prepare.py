@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deltascope.functions.text import as_text, coerce_numeric, quoted
 from deltascope.functions.time import parse_dates
 from deltascope.operators.duplicates import count_duplicates, deduplicate
-from deltascope.operators.profile import TableProfile, profile
+from deltascope.operators.profile import ColumnProfile, TableProfile, profile
 
 
 @dataclass(frozen=True)
@@ -51,17 +51,18 @@ class PreparedData:
 def quality_issues(prof: TableProfile, rows_removed: int = 0) -> list[tuple[str, str]]:
     """Everything a person should see, whether or not cleaning dealt with it. Stricter than
     the profile's warnings: any null counts, not only a column that is mostly null."""
-    issues = [
-        ("missing", f"'{c.name}' has {c.null_count:,} missing values ({c.null_pct}%)")
-        for c in prof.columns if c.null_count
-    ]
-    if rows_removed:
-        issues.append(("duplicates", f"{rows_removed:,} duplicate rows were removed"))
-    issues += [
-        ("stored_as", f"'{c.name}' is {c.semantic_type.replace('_', ' ')}")
-        for c in prof.columns if c.semantic_type in ("numeric_as_string", "date_as_string", "empty")
-    ]
-    return issues
+    surplus = [("duplicates", f"{rows_removed:,} duplicate rows removed")] if rows_removed else []
+    return surplus + [issue for c in prof.columns for issue in _column_issues(c)]
+
+
+MISSTORED = {"numeric_as_string": "numbers stored as text", "date_as_string": "dates stored as text", "empty": "no values"}
+
+
+def _column_issues(c: ColumnProfile):
+    if c.null_count:
+        yield "missing", f"'{c.name}': {c.null_count:,} missing values, {c.null_pct}% of the rows"
+    if c.semantic_type in MISSTORED:
+        yield "stored_as", f"'{c.name}': {MISSTORED[c.semantic_type]}"
 
 
 def conversions(df: DataFrame, prof: TableProfile) -> dict[str, tuple[str, Column]]:
@@ -89,11 +90,11 @@ def prepare(df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows
         if c.name not in df.columns:
             continue
         if c.semantic_type == "empty":
-            actions.append(CleaningAction("drop_column", f"Dropped '{c.name}': every value was missing"))
+            actions.append(CleaningAction("drop_column", f"Dropped '{c.name}', which holds no value"))
             continue
         if c.name in parsed:
             target, column = parsed[c.name]
-            text = f"Parsed '{c.name}' from text to {target}"
+            text = f"Read the text in '{c.name}' as {target}"
             if failures[c.name] > 0:
                 text += f"; {failures[c.name]:,} value(s) did not parse and are now missing"
             actions.append(CleaningAction(f"parse_{target}", text, prof.n_rows))
@@ -107,15 +108,15 @@ def prepare(df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows
         frame, removed = deduplicate(frame)
         if removed:
             actions.append(
-                CleaningAction("drop_duplicates", f"Removed {removed:,} fully duplicated row(s)", removed, reversible=False)
+                CleaningAction("drop_duplicates", f"Removed {removed:,} repeated row(s)", removed, reversible=False)
             )
         else:
-            actions.append(CleaningAction("drop_duplicates", "No duplicated rows found"))
+            actions.append(CleaningAction("drop_duplicates", "No row is repeated"))
     else:
         repeated = prof.duplicate_rows if prof.duplicate_rows is not None else count_duplicates(df)
         if repeated:
             actions.append(
-                CleaningAction("keep_duplicates", f"Kept {repeated:,} duplicated row(s); totals count them more than once")
+                CleaningAction("keep_duplicates", f"Kept {repeated:,} repeated row(s), which totals count more than once")
             )
     return PreparedData(frame, actions, prof.n_rows, prof.n_rows - removed)
 

@@ -92,31 +92,16 @@ class TableProfile:
     @property
     def warnings(self) -> list[tuple[str, str]]:
         """`(kind, text)` of everything worth knowing before using the table."""
-        found = []
-        if self.n_rows == 0:
-            found.append(("empty_table", "dataset is empty"))
+        return [*self._table_warnings(), *(w for c in self.columns for w in _column_warnings(c))]
+
+    def _table_warnings(self):
+        if not self.n_rows:
+            yield "empty_table", "the table has no rows"
         if self.duplicate_rows:
-            share = 100 * self.duplicate_rows / self.n_rows
-            found.append(("duplicates", f"{self.duplicate_rows} fully duplicated rows ({share:.1f}%)"))
-        for c in self.columns:
-            if c.semantic_type == "empty":
-                found.append(("all_null", f"'{c.name}' is entirely null"))
-            elif c.null_pct > 50:
-                found.append(("mostly_null", f"'{c.name}' is {c.null_pct}% null"))
-            if c.semantic_type in ("date_as_string", "numeric_as_string"):
-                found.append(("stored_as_text", f"'{c.name}' is {c.semantic_type.replace('_', ' ')}"))
-        for c in self.columns:
-            if rollup_levels(c):
-                shown = ", ".join(v for v, _ in c.top_values[:3])
-                found.append((
-                    "rollup",
-                    f"'{c.name}' looks like an aggregation level ({shown}): rows are probably nested, and"
-                    " a sum over all levels would double-count",
-                ))
-        unnamed = sum(c.name.lower().startswith("unnamed:") for c in self.columns)
+            yield "duplicates", f"{self.duplicate_rows:,} repeated rows, {100 * self.duplicate_rows / self.n_rows:.1f}% of all"
+        unnamed = sum(name.lower().startswith("unnamed:") for name in self.names)
         if unnamed:
-            found.append(("unnamed", f"{unnamed} unnamed column(s), probably left over from a spreadsheet"))
-        return found
+            yield "unnamed", f"{unnamed} column(s) without a name, probably left over from a spreadsheet"
 
     def to_frame(self) -> DataFrame:
         return self.spark.createDataFrame(
@@ -161,6 +146,18 @@ class TableProfile:
 _FIELDS = [f.split()[0] for f in re.sub(r"<[^>]*>+", "", PROFILE_SCHEMA).split(", ")]
 
 
+def _column_warnings(c: ColumnProfile):
+    if c.semantic_type == "empty":
+        yield "all_null", f"'{c.name}' is entirely null"
+    elif c.null_pct > 50:
+        yield "mostly_null", f"'{c.name}' is {c.null_pct}% null"
+    if c.semantic_type in ("date_as_string", "numeric_as_string"):
+        yield "stored_as_text", f"'{c.name}' holds {'dates' if c.semantic_type[0] == 'd' else 'numbers'} as text"
+    if rollup_levels(c):
+        shown = ", ".join(v for v, _ in c.top_values[:3])
+        yield "rollup", f"'{c.name}' names levels of aggregation ({shown}): rows are probably nested, and a sum over all levels double-counts"
+
+
 def rollup_levels(column: ColumnProfile) -> bool:
     """Do the commonest values name levels of aggregation rather than peers?"""
     if column.semantic_type != "categorical" or not column.top_values:
@@ -450,8 +447,8 @@ def _note(row: Row) -> str | None:
         return NOTES["identifier_number"]
     if semantic == "numeric" and row["code_named"]:
         return (
-            f"named like a code and has only {row['unique_count']:,} distinct values:"
-            " probably a category, not a quantity to sum"
+            f"a code by its name, with {row['unique_count']:,} distinct values:"
+            " rather a category, not a quantity to sum"
         )
     if semantic == "boolean" and kind == "text":
         return NOTES["boolean_text"]
