@@ -29,12 +29,17 @@ def extract_numbers(text: Column) -> Column:
 
 def invented_numbers(narrative: Column, source: Column, tolerance: float = fixed.FIGURE_TOLERANCE) -> Column:
     """Numbers in the narrative that are near none in the source; null without a source."""
-    computed = extract_numbers(source)
-    untraced = F.filter(
-        extract_numbers(narrative),
-        lambda n: ~F.exists(computed, lambda c: F.abs(n - c) < F.lit(tolerance)),
-    )
-    return F.when(source.isNotNull(), F.array_sort(untraced))
+    return untraced_numbers(extract_numbers(narrative), F.when(source.isNotNull(), extract_numbers(source)), tolerance)
+
+
+def untraced_numbers(numbers: Column, computed: Column, tolerance: float = fixed.FIGURE_TOLERANCE) -> Column:
+    """Numbers that are near none of the computed ones; null without those.
+
+    Most figures are quoted exactly and are set aside by hashing; only the rest is compared
+    one by one.
+    """
+    inexact = F.array_except(numbers, computed)
+    return F.array_sort(F.filter(inexact, lambda n: ~F.exists(computed, lambda c: F.abs(n - c) < F.lit(tolerance))))
 
 
 def _first_match(text: Column, pattern: str) -> Column:
@@ -188,13 +193,15 @@ def audit_answers(
     checks = checks if checks is not None else _empty(answers, "`check` string, passed boolean")
     attempts = attempts if attempts is not None else _empty(answers, "step int, code string, ok boolean, output string")
 
-    text = F.col("narrative")
-    read = answers.filter(F.col("error").isNull()).select(
-        "answer_id", "case_id", "model", "attempt", "route", "verified", "narrative",
-        extract_numbers(text).alias("numbers"),
-        invented_numbers(text, F.col("source_text")).alias("invented"),
-        causal_claim(text).alias("causal"),
-        summed_contributions(text).alias("summed"),
+    text, source = F.col("narrative"), F.col("source_text")
+    told = ["answer_id", "case_id", "model", "attempt", "route", "verified", "narrative"]
+    searched = answers.filter(F.col("error").isNull()).select(
+        *told, extract_numbers(text).alias("numbers"),
+        F.when(source.isNotNull(), extract_numbers(source)).alias("computed"),
+        causal_claim(text).alias("causal"), summed_contributions(text).alias("summed"),
+    )
+    read = searched.select(
+        *told, "numbers", untraced_numbers(F.col("numbers"), F.col("computed")).alias("invented"), "causal", "summed"
     )
     verdicts = checks.groupBy("answer_id").agg(
         F.count("*").alias("n_checks"), F.count_if("passed").alias("n_passed")

@@ -11,6 +11,7 @@ from deltascope.functions.text import as_text, coerce_numeric, quoted
 from deltascope.functions.time import parse_dates
 from deltascope.operators.duplicates import count_duplicates, deduplicate
 from deltascope.operators.profile import ColumnProfile, TableProfile, profile
+from deltascope.sources.sinks import write_snapshot
 
 
 @dataclass(frozen=True)
@@ -75,11 +76,14 @@ def conversions(df: DataFrame, prof: TableProfile) -> dict[str, tuple[str, Colum
     }
 
 
-def prepare(df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows: bool = True) -> PreparedData:
+def prepare(
+    df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows: bool = True, snapshot: str | None = None
+) -> PreparedData:
     """Parse text that holds numbers or dates, drop empty columns, then drop repeated rows.
 
     The cleaned table is one projection over the source, plus a distinct when there is
-    anything to remove.
+    anything to remove. With `snapshot`, the parsed table is written to that path and read
+    from there: worth it where parsing a large text source again for every use is not.
     """
     # the copies that matter are those left after parsing, so the raw ones are not counted
     prof = profile(df, duplicates=not drop_duplicate_rows) if prof is None else prof
@@ -104,6 +108,8 @@ def prepare(df: DataFrame, prof: TableProfile | None = None, drop_duplicate_rows
     known = {c.name for c in prof.columns}
     keep += [F.col(quoted(c)) for c in df.columns if c not in known]
     frame, removed = df.select(*keep), 0
+    if snapshot is not None:
+        frame = write_snapshot(frame, snapshot)
     if drop_duplicate_rows:
         frame, removed = deduplicate(frame)
         if removed:
