@@ -72,6 +72,7 @@ class ChangeAnalysis:
         rows = valid_rows(df, metric, axis)
         self._pair = rows.filter(axis.within(self.period_before) | axis.within(self.period_after))
         self._stored: DataFrame | None = None
+        self._stored_segments: DataFrame | None = None
 
     # ------------------------------------------------------------- building blocks
 
@@ -91,12 +92,17 @@ class ChangeAnalysis:
         return spelling_counts(self._pair, self.dimensions, self._sums()).fillna(0, ["before", "after"])
 
     def _keep(self) -> None:
-        """From here on several plans read the spellings, so write them once."""
+        """From here on several plans read spellings and segments, so write them once. Both
+        hold no more rows than there are spellings, and joins on them know their size."""
         if self._stored is None:
             self._stored = materialize(self._plan_spellings(), "spellings")
+            self._stored_segments = materialize(fold(self._stored, ("before", "after")), "segments")
 
     @property
     def segments(self) -> DataFrame:
+        """`(dimension, key, segment, rows, before, after, spellings)`."""
+        if self._stored_segments is not None:
+            return self._stored_segments
         return fold(self.spellings, ("before", "after"))
 
     # ------------------------------------------------------------- the decomposition
