@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.sources.materialize import materialize
 
-__all__ = ["WORD", "fold_ascii", "materialize", "pruned"]
+__all__ = ["WORD", "fold_ascii", "let", "materialize", "pruned"]
 
 # fixed value: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,3 +29,8 @@ def fold_ascii(text: Column) -> Column:
 def pruned(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; whatever else the table has can't clash."""
     return docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, also where `body` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

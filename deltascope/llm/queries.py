@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import quality as quality_rules
+from deltascope.llm import line_dedup, quality as quality_rules, secrets
 from deltascope.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,31 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query(rf"""
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+        FROM documents WHERE text IS NOT NULL),
+    hashed AS (SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS h FROM lines),
+    starts AS (
+        SELECT *, CASE WHEN i = 0 OR ({line_dedup.BASE} * lag(h) OVER d + h) % {line_dedup.EVERY} = 0 THEN 1 ELSE 0 END AS s
+        FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    numbered AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM starts),
+    chunks AS (
+        SELECT doc_id, chunk, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS body
+        FROM numbered GROUP BY doc_id, chunk HAVING count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) >= 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS r FROM chunks),
+    rest AS (
+        SELECT n.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (r IS NULL OR r = 1) AS clean_text, count(*) AS n_lines,
+               count(*) FILTER (r > 1) AS n_removed_lines
+        FROM numbered n LEFT JOIN ranked k ON n.doc_id = k.doc_id AND n.chunk = k.chunk GROUP BY n.doc_id)
+    SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(clean_text, '') END AS clean_text,
+           coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines
+    FROM documents d LEFT JOIN rest ON d.doc_id = rest.doc_id""")
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(_documents(spark, folder).select("doc_id", "text"))
+    return cleaned.select("_doc.doc_id", "clean_text", "n_lines", "n_removed_lines")
+
+
 STOP_WORD_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
 
@@ -64,6 +89,51 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _secret_sql() -> str:
+    """Spans of every rule, from the texts between and inside its matches."""
+    parts = []
+    for order, rule in enumerate(secrets.RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+        SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, length(hits[i]) AS n,
+               list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+            SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}, 0) AS hits,
+                   regexp_extract_all(t, {pattern}, {rule.group}) AS groups
+            FROM texts WHERE regexp_matches(t, {pattern})))
+        WHERE length(groups[i]) >= {rule.least}""")
+    name = "kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT"
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS ({" UNION ALL ".join(parts)}),
+    joined AS (
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex, string_agg({name}, ',' ORDER BY start, o) AS spans,
+               string_agg({name}, ',' ORDER BY start, o) FILTER (o < {len(secrets.BASE_RULES)}) AS base
+        FROM spans GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts t LEFT JOIN joined j ON t.doc_id = j.doc_id"""
+
+
+@query(_secret_sql())
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_secrets(_documents(spark, folder).select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE_RULES]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "_doc.doc_id", *map(number, base),
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query("""
     WITH digests AS (
         SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
