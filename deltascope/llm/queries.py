@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import line_dedup, quality as quality_rules, secrets
+from deltascope.llm import line_dedup, packing, quality as quality_rules, secrets
 from deltascope.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def query(sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -143,3 +150,8 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = DigestIndex(spark).add(_documents(spark, folder).select("doc_id", "text"))
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
