@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import line_dedup, packing, quality as quality_rules, secrets
+from deltascope.llm import jaccard, line_dedup, packing, quality as quality_rules, secrets
 from deltascope.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query()
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(_documents(spark, folder).select("doc_id", "text"), words=3, percent=90)
