@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.sources.materialize import materialize
 
-__all__ = ["WORD", "fold_ascii", "let", "materialize", "pruned"]
+__all__ = ["WORD", "fold_ascii", "keep_where", "let", "materialize", "pruned"]
 
 # fixed value: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,3 +35,13 @@ def pruned(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is worked out once, also where `body` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def keep_where(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose `flag` is true.
+
+    The count that is observed on the way keeps the condition from being pushed below the
+    projections that work the flag out, where it would be evaluated a second time.
+    """
+    counted = df.observe(f"{flag}-{uuid.uuid4().hex}", F.count_if(flag).alias("kept"), F.count("*").alias("rows"))
+    return counted.where(flag)

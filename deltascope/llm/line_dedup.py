@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from deltascope.llm.common import let, materialize
+from deltascope.llm.common import keep_where, let, materialize
 
 #: A chunk starts at one line in so many, on average.
 EVERY = 3
@@ -102,6 +102,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The documents with repeated chunks cut out; those left without a word by it are gone."""
     cleaned = dedup_lines(docs, id_column, text_column)
     emptied = (F.col("n_removed_lines") > 0) & ~F.coalesce(F.col("clean_text").rlike(_WORDED), F.lit(False))
-    return cleaned.where(~emptied).select(*[
+    return keep_where(cleaned.withColumn("_left", ~emptied), "_left").select(*[
         F.col("clean_text").alias(c) if c == text_column else F.col("_doc").getField(c).alias(c) for c in docs.columns
     ])

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from deltascope.llm.common import WORD
+from deltascope.llm.common import WORD, keep_where
 
 # fixed values of the base rule
 SYMBOLS = r"[#*$%&|<>]"
@@ -77,7 +77,6 @@ def _metrics(docs: DataFrame, text_column: str) -> DataFrame:
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"),
         F.split(text, "\n").alias("_lines"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit(r"\|")).cast("long").alias("_pipes"),
     )
     listed = split.select(
         "*",
@@ -106,14 +105,12 @@ def _metrics(docs: DataFrame, text_column: str) -> DataFrame:
         F.size("_worded").cast("long").alias("n_lines"),
         F.size(F.filter("_worded", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("_worded", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
-        "_pipes",
     )
     words, lines = F.greatest("n_words", F.lit(1)).cast("double"), F.greatest("n_lines", F.lit(1)).cast("double")
     return counted.select(
         "*",
         (F.col("word_chars") / words).alias("mean_word_length"),
-        # bars separate the cells of tables, which are no junk
-        ((F.col("n_symbols") - F.col("_pipes")) / words).alias("symbols_per_word"),
+        (F.col("n_symbols") / words).alias("symbols_per_word"),
         (F.col("n_stop_words") / words).alias("stop_word_share"),
         (F.col("n_dup_lines") / lines).alias("duplicate_line_share"),
         (F.col("n_bullet_lines") / lines).alias("bullet_line_share"),
@@ -136,9 +133,9 @@ def quality(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...]
     base = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(~r.holds(), F.lit(r.metric)) for r in rules]), lambda x: x.isNotNull())
     judged = _metrics(docs, text_column).select("*", base.alias("base_failed"), failed.alias("failed"))
-    return judged.drop("_pipes").select("*", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
+    return judged.select("*", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents the rules keep, with their own columns only."""
-    return quality(docs, text_column, rules).where("kept").select("_doc.*")
+    return keep_where(quality(docs, text_column, rules), "kept").select("_doc.*")

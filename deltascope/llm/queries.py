@@ -75,7 +75,7 @@ STOP_WORD_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS
         SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM windows WHERE times > 1) GROUP BY doc_id),
     counted AS (
         SELECT s.doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
-               len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[|]')) AS pipes,
+               len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
                len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines,
                len(list_filter(w, lambda x: lower(x) IN ({STOP_WORD_LIST}))) AS stops,
                len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}]'))) AS bullets,
@@ -86,7 +86,7 @@ STOP_WORD_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS
                greatest(n_words, 1)::DOUBLE AS w, greatest(n_lines, 1)::DOUBLE AS l
         FROM counted)
     SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND word_chars / w >= 2 AND word_chars / w <= 16 AND (n_symbols - pipes) / w <= 0.25 AND stops / w >= 0.02
+           NOT base_failed AND word_chars / w >= 2 AND word_chars / w <= 16 AND n_symbols / w <= 0.25 AND stops / w >= 0.02
            AND n_dup_lines / l <= 0.5 AND bullets / l <= 0.9 AND dots / l <= 0.3 AS kept
     FROM base""")
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
