@@ -10,9 +10,12 @@ band. Some extra segments let a set leave out its empty ones, which would agree
 
 Links. Sets that are equal become one node first. Only signatures met at least twice are
 looked at further. Every member of such a signature is compared with one hub of it; members
-that stay in different components are compared with other hubs, and last with each other, so
-no link is lost while groups of thousands of near copies never become all pairs. Each pair
-is verified on the whole sets. A set is handled as its 64-bit shingle hashes.
+that stay in different components are compared with another hub, and last with each other,
+so no link is lost while a group of thousands of linked copies never becomes all pairs.
+Every node has a sketch, the parities of its shingles in some eight buckets per allowed
+difference. Two sets differ in at least as many shingles as their sketches differ in bits,
+so a join passes on only pairs that may be linked, and is still exact. What passes is
+verified on the whole sets. A set is handled as its 64-bit shingle hashes.
 
 Hot signatures: counted map-side, then met in a join whose skewed partitions adaptive
 execution splits; no task holds the members of a signature as a list.
@@ -27,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from deltascope.llm.common import materialize, pruned
 
@@ -35,7 +38,8 @@ GROWTH = 1.25  # of the sizes from one band to the next
 LARGEST = 2**26  # shingles; bands beyond it aren't needed, larger sets share the last
 VERIFY_COST = 40  # comparing a pair, in rows of signatures
 MOST_EXTRA = 16  # extra segments the allocation may consider
-HUB_ROUNDS = 3  # comparisons with single hubs before members are compared with each other
+HUB_ROUNDS = 2  # comparisons with single hubs before members are compared with each other
+SKETCH_BITS = 8  # per shingle of allowed difference, rounded up to a power of two
 
 # --- sets
 
@@ -164,6 +168,33 @@ def signatures(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> np.nda
     return np.unique(np.concatenate(found))
 
 
+def sketch(own: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the number of shingles in each of a power of two of buckets, 64 to a word."""
+    words = 1 << max(0, math.ceil(math.log2(max(1, difference(2 * len(own), percent) * SKETCH_BITS / 64))))
+    bucket = (_mix(own + np.uint64(0x1234567)) % np.uint64(words * 64)).astype(np.int64)
+    odd = (np.bincount(bucket, minlength=words * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes (struct columns with n and sketch) can be similar enough by size and sketch."""
+    n, m, left, right = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    total = n + m
+    allowed = total - 2 * F.ceil(percent * total / (100 + percent))
+
+    def folded(x: Column) -> Column:  # to half as many buckets
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+
+    # linked sets differ so little in size that their sketches differ by one doubling at most
+    bits = F.when(F.size(left) == F.size(right), apart(left, right)).when(
+        F.size(left) > F.size(right), apart(folded(left), right)).otherwise(apart(left, folded(right)))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (bits <= allowed)
+
+
 # --- jobs
 
 
@@ -177,24 +208,25 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view("i8")))
 
 
-_SIGNED = "doc_id long, n long, low long, high long, signatures array<long>"
+_SIGNED = "doc_id long, n long, low long, high long, signatures array<long>, sketch array<long>"
 
 
 def _signed(docs: DataFrame, bands: tuple[Band, ...], words: int, percent: int) -> DataFrame:
-    """Size, 128-bit digest and signatures of every document's set."""
+    """Size, 128-bit digest, signatures and sketch of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, digests, signed = [], [], [], []
+            ids, sizes, digests, signed, sketches = [], [], [], [], []
             for doc_id, text in _columns(batch):
                 own = shingles(text, words)
                 ids.append(doc_id)
                 sizes.append(len(own))
                 digests.append((_mix(own + np.uint64(1)).sum(dtype="u8"), _mix(own + np.uint64(2)).sum(dtype="u8")))
                 signed.append(signatures(own, bands, percent) if len(own) else own)
+                sketches.append(sketch(own, percent))
             pairs = np.array(digests, dtype="u8").reshape(-1, 2).view("i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), _lists(signed)],
-                ["doc_id", "n", "low", "high", "signatures"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), _lists(signed), _lists(sketches)],
+                ["doc_id", "n", "low", "high", "signatures", "sketch"],
             )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -212,15 +244,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("_a"))
     right = sets.select(F.col("node").alias("b"), F.col("own").alias("_b"))
-    # sizes decide first, on narrow rows
-    size_a, size_b = left.select("a", F.size("_a").alias("_n")), right.select("b", F.size("_b").alias("_m"))
-    fitting = pairs.join(size_a, "a").join(size_b, "b").where(F.least("_n", "_m") * 100 >= F.greatest("_n", "_m") * percent)
-    met = fitting.select("a", "b").distinct().join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return met.where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b").distinct()
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,9 +258,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round ties larger neighbours to the smallest one, then smaller ones among
     themselves, until only stars are left: a logarithmic number of rounds.
     """
-    edges = materialize(
-        links.where("a != b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).distinct(), "edges"
-    )
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).distinct()
+    edges = materialize(edges, "edges")
     state = None
     while True:
         ways = edges.union(edges.select(F.col("component").alias("node"), F.col("node").alias("component")))
@@ -240,11 +268,13 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("node").agg(F.min("component").alias("least"))
         small = large.join(least, "node")
         tied = small.select(F.col("component").alias("node"), F.col("least").alias("component")).union(small.select("node", F.col("least").alias("component")))
-        edges = materialize(tied.where("node != component").distinct(), "edges")
-        after = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("node", "component"), F.lit(2**31)))).first()
-        if after == state:
+        seen = Observation()
+        edges = materialize(tied.where("node != component").distinct().observe(
+            seen, F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("node", "component"), F.lit(2**31))).alias("checksum")
+        ), "edges")
+        if seen.get == state:
             return edges.groupBy("node").agg(F.min("component").alias("component"))
-        state = after
+        state = seen.get
 
 
 def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -295,39 +325,37 @@ def near_duplicates(
     shared = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     members = materialize(members.join(shared, "signature", "left_semi"), "members")
 
-    involved = materialize(members.select("node").distinct(), "involved")
-    texts = whole.join(involved, whole["doc_id"] == involved["node"], "left_semi")
-    sets = materialize(_sets(texts, words), "sets")
+    involved = members.select("node").distinct()
+    known = signed.select(F.col("doc_id").alias("node"), "n", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    members = materialize(members.join(known, "node").withColumn("component", F.col("node")), "placed-members")
 
     links = None
-    tested = None
-    placed = members.withColumn("component", F.col("node"))
     for round_ in range(HUB_ROUNDS + 1):
         # signatures whose members are not yet all in one component
-        open_ = placed.groupBy("signature").agg(F.min("component").alias("_from"), F.max("component").alias("_to")).where("_from != _to")
+        open_ = members.groupBy("signature").agg(F.min("component").alias("_from"), F.max("component").alias("_to")).where("_from != _to")
+        rest = members.join(open_.select("signature"), "signature", "left_semi").select(
+            "signature", F.struct("node", "component", "n", "sketch").alias("one"))
         if round_ < HUB_ROUNDS:
             # each round takes another hub, and every member elsewhere is compared with it
-            hub = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(round_)) if round_ else F.col("node"))
-            hubs = placed.join(open_.select("signature"), "signature", "left_semi").groupBy("signature").agg(hub.alias("hub"))
-            pairs = placed.join(hubs, "signature").where("component != hub.component").select(
-                F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
-            )
+            order = F.xxhash64("one.node", F.lit(round_)) if round_ else F.col("one.node")
+            other = rest.groupBy("signature").agg(F.min_by("one", order).alias("two"))
+            ordered = F.lit(True)
         else:
-            rest = placed.join(open_.select("signature"), "signature", "left_semi").select("signature", "node", "component").distinct()
             rest = materialize(rest, "open-members")
-            other = rest.select("signature", F.col("node").alias("other"), F.col("component").alias("elsewhere"))
-            pairs = rest.join(other, "signature").where("node < other AND component != elsewhere").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.where("a != b").distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            other = rest.select("signature", F.col("one").alias("two"))
+            ordered = F.col("one.node") < F.col("two.node")
+        apart = ordered & (F.col("one.component") != F.col("two.component"))
+        met = rest.alias("x").join(other.alias("y"), (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("one", "two", percent))
+        pairs = met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
+        pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            if round_ < HUB_ROUNDS:
-                continue
-            break
-        found = materialize(_linked(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.union(pairs)
+            continue
+        met_nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = whole.join(met_nodes, whole["doc_id"] == met_nodes["node"], "left_semi")
+        found = materialize(_linked(pairs, materialize(_sets(texts, words), "sets"), percent), "links")
         links = found if links is None else links.union(found)
         if round_ < HUB_ROUNDS:
-            placed = materialize(_named(members, links), "placed-members")
+            members = materialize(_named(members.drop("component"), links), "placed-members")
 
     named = nodes.withColumn("component", F.col("node")) if links is None else _named(nodes, links)
     named = named.select(*[F.col(c).alias(f"_{c}") for c in digest], "component")
