@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import jaccard, line_dedup, packing, quality as quality_rules, secrets
+from deltascope.llm import jaccard, language, licenses, line_dedup, packing, quality as quality_rules, secrets
 from deltascope.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,28 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, folder).select("doc_id", "text"), words=3, percent=90)
+
+
+@query()
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(_documents(spark, folder).select("doc_id", "text"))
+
+    def labels(column):
+        return F.array_join(F.array_sort(F.array_distinct(column)), ",")
+
+    places = F.transform("base", lambda b: b["first"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        labels(F.col("base.label")).alias("base_labels"),
+        labels(F.concat("base.label", "found.label")).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("found.score"), F.lit(0.0))).alias("score"),
+    )
+
+
+@query()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _documents(spark, folder).select("doc_id", "text", "lang")
+    model = language.train(documents)
+    predicted = language.identify(documents.select("doc_id", "text"), model)
+    return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
