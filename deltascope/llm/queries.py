@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import jaccard, language, licenses, line_dedup, packing, quality as quality_rules, secrets
+from deltascope.llm import jaccard, language, licenses, line_dedup, packing, pieces, quality as quality_rules, secrets, token_counts
 from deltascope.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,20 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(documents)
     predicted = language.identify(documents.select("doc_id", "text"), model)
     return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _documents(spark, folder).select("doc_id", "text")
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.decode(pieces.encode(documents, path), path)
+    # the original text is no part of the encoded rows: its hash is compared
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        F.xxhash64("decoded").alias("decoded_hash"), "parity",
+    )
+
+
+@query()
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, folder).select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
