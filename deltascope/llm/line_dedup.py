@@ -6,7 +6,8 @@ Chunks with two or more worded lines compete: of equal ones, compared byte by by
 first (smallest document, then line) stays and the others are cut out.
 
 First only 64-bit hashes are shuffled and counted (combined map-side). Texts of chunks are
-moved only to be met by the hashes found twice; a chunk that a third of all documents share
+moved only to be met by the hashes found twice, by a sort-merge join at any size, since
+these hashes grow with the corpus; a chunk that a third of all documents share
 is one group of partial counts, and its occurrences are matched in a join whose skewed
 partitions adaptive execution splits. No list ever holds more than one document's chunks.
 """
@@ -74,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     ).select("_id", "_of", "c.first", "c.after", "c.body", F.xxhash64("c.body").alias("hash"))
 
     met_again = materialize(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "chunk-hashes")
-    suspects = materialize(chunks.join(met_again, "hash", "left_semi"), "chunk-suspects")
+    suspects = materialize(chunks.join(met_again.hint("merge"), "hash", "left_semi"), "chunk-suspects")
     # grouping by the text itself is the comparison of bytes: hashes that collide part here
     place = F.struct("_id", "first", "_of")
     kept = suspects.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -83,7 +84,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         repeats.groupBy("_id", "_of").agg(F.collect_set(F.struct("first", "after")).alias("_cuts")), "chunk-cuts"
     ).select(F.col("_id").alias("_cut_id"), F.col("_of").alias("_cut_of"), "_cuts")
 
-    joined = keyed.join(cuts, keyed["_id"].eqNullSafe(cuts["_cut_id"]) & (keyed["_of"] == cuts["_cut_of"]), "left")
+    joined = keyed.join(cuts.hint("merge"), keyed["_id"].eqNullSafe(cuts["_cut_id"]) & (keyed["_of"] == cuts["_cut_of"]), "left")
     removed = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["after"] - 1)))
 
     def remaining(lines: Column) -> Column:
