@@ -247,7 +247,8 @@ def _runs(spark, folder) -> DataFrame:
     return orders.groupBy(
         F.col("o_orderpriority").alias("case_id"), F.col("o_orderstatus").alias("model"), F.year("o_orderdate").alias("attempt")
     ).agg(
-        F.round(F.max("o_totalprice") / 1000, 2).alias("seconds"), F.count("*").alias("output_tokens"),
+        (F.max("o_totalprice") / 1000).alias("seconds"), F.count("*").alias("output_tokens"),
+        F.round(F.sum("o_totalprice") / 1e6, 6).alias("cost_usd"),
         F.when(F.max("o_orderkey") % 7 == 0, F.lit("timeout")).alias("error"),
     )
 
@@ -255,36 +256,38 @@ def _runs(spark, folder) -> DataFrame:
 RESULTS = """results AS (SELECT o_orderpriority AS case_id, o_orderstatus AS model, CAST(year(o_orderdate) AS INTEGER) AS attempt,
   ['routing', 'interpretation', 'correctness', 'communication'][l_linenumber % 4 + 1] AS family, 'line ' || l_linenumber AS assertion,
   l_quantity > 10 AS passed, l_returnflag AS detail FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-runs AS (SELECT o_orderpriority AS case_id, o_orderstatus AS model, CAST(year(o_orderdate) AS INTEGER) AS attempt, round(max(o_totalprice) / 1000, 2) AS seconds,
-  count(*) AS output_tokens, CASE WHEN max(o_orderkey) % 7 = 0 THEN 'timeout' END AS error FROM orders GROUP BY ALL),
-per_run AS (SELECT case_id, model, attempt, count(*) FILTER (passed) AS passed, count(*) AS total FROM results GROUP BY ALL)"""
+runs AS (SELECT o_orderpriority AS case_id, o_orderstatus AS model, CAST(year(o_orderdate) AS INTEGER) AS attempt, max(o_totalprice) / 1000 AS seconds,
+  count(*) AS output_tokens, round(sum(o_totalprice) / 1e6, 6) AS cost_usd, CASE WHEN max(o_orderkey) % 7 = 0 THEN 'timeout' END AS error FROM orders GROUP BY ALL),
+completed AS (SELECT * FROM results r WHERE NOT EXISTS (SELECT 1 FROM runs e
+  WHERE e.error IS NOT NULL AND e.case_id = r.case_id AND e.model = r.model AND e.attempt = r.attempt)),
+per_run AS (SELECT case_id, model, attempt, count(*) FILTER (passed) AS passed, count(*) AS total FROM completed GROUP BY ALL)"""
 
 
 @query(f"""WITH {RESULTS} SELECT model, count(*) FILTER (passed) AS passed, count(*) AS total, round(100.0 * count(*) FILTER (passed) / count(*), 6) AS pct,
-  (SELECT round(median(seconds), 4) FROM runs WHERE runs.model = results.model AND error IS NULL) AS median_seconds FROM results GROUP BY model""")
+  (SELECT round(median(seconds), 6) FROM runs WHERE runs.model = completed.model AND error IS NULL) AS median_seconds FROM completed GROUP BY model""")
 def eval_scores(spark, folder):
-    return rounded(rounded(r.score_by_model(_results(spark, folder), _runs(spark, folder)), 6, ["pct"]), 4, ["median_seconds"])
+    return rounded(r.score_by_model(_results(spark, folder), _runs(spark, folder)), 6, ["pct", "median_seconds"])
 
 
-@query(f"WITH {RESULTS} SELECT model, " + ", ".join(f"round(100.0 * count(*) FILTER (passed AND family = '{f}') / count(*) FILTER (family = '{f}'), 6) AS {f}" for f in r.FAMILIES) + " FROM results GROUP BY model")
+@query(f"WITH {RESULTS} SELECT model, " + ", ".join(f"round(100.0 * count(*) FILTER (passed AND family = '{f}') / count(*) FILTER (family = '{f}'), 6) AS {f}" for f in r.FAMILIES) + " FROM completed GROUP BY model")
 def eval_families(spark, folder):
-    return rounded(r.score_by_family(_results(spark, folder)), 6, r.FAMILIES)
+    return rounded(r.score_by_family(_results(spark, folder), _runs(spark, folder)), 6, r.FAMILIES)
 
 
 @query(f"WITH {RESULTS} SELECT case_id, model, min(passed) AS worst, max(passed) AS best, max(total) AS total, count(*) AS runs FROM per_run GROUP BY ALL")
 def eval_cases(spark, folder):
-    return r.score_by_case(_results(spark, folder))
+    return r.score_by_case(_results(spark, folder), _runs(spark, folder))
 
 
 @query(f"""WITH {RESULTS}, passes AS (SELECT model, attempt, 100.0 * sum(passed) / sum(total) AS pct FROM per_run GROUP BY ALL)
 SELECT model, round(avg(pct), 6) AS mean_pct, round(coalesce(stddev_samp(pct), 0), 6) AS sd, round(min(pct), 6) AS worst_pct, round(max(pct), 6) AS best_pct, count(*) AS passes FROM passes GROUP BY model""")
 def eval_variance(spark, folder):
-    return rounded(r.run_variance(_results(spark, folder)), 6, ["mean_pct", "sd", "worst_pct", "best_pct"])
+    return rounded(r.run_variance(_results(spark, folder), _runs(spark, folder)), 6, ["mean_pct", "sd", "worst_pct", "best_pct"])
 
 
 @query(f"WITH {RESULTS} SELECT model, case_id, min(passed) AS worst, max(passed) AS best FROM per_run GROUP BY ALL HAVING min(passed) < max(passed)")
 def eval_unstable(spark, folder):
-    return r.unstable_cases(_results(spark, folder))
+    return r.unstable_cases(_results(spark, folder), _runs(spark, folder))
 
 
 @query(f"WITH {RESULTS} SELECT family, assertion, count(*) AS failures FROM results WHERE NOT passed GROUP BY ALL ORDER BY failures DESC, family, assertion LIMIT 8")
@@ -297,15 +300,15 @@ def eval_gate(spark, folder):
     return rounded(r.gate(_results(spark, folder)), 6, ["score"])
 
 
-@query(f"""WITH {RESULTS} SELECT model, count(*) AS calls, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(seconds), 2) AS seconds, CAST(0.0 AS DOUBLE) AS cost_usd,
+@query(f"""WITH {RESULTS} SELECT model, count(*) AS calls, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(seconds), 2) AS seconds, round(sum(cost_usd), 3) AS cost_usd,
   round(sum(output_tokens) / sum(seconds), 6) AS tokens_per_second FROM runs GROUP BY model""")
 def eval_usage(spark, folder):
-    return rounded(rounded(eval_report(_results(spark, folder), _runs(spark, folder))["usage"], 2, ["seconds"]), 6, ["tokens_per_second"])
+    return rounded(rounded(eval_report(_results(spark, folder), _runs(spark, folder))["usage"], 2, ["seconds"]).transform(lambda d: rounded(d, 3, ["cost_usd"])), 6, ["tokens_per_second"])
 
 
-@query("""SELECT o_orderpriority AS "case", o_orderstatus AS model, o_orderkey AS attempt, 'change' AS route, count(*) FILTER (l_quantity > 10) AS passed, count(*) AS total,
+@query("""SELECT o_orderpriority AS "case", o_orderstatus AS model, o_orderkey AS attempt, 'change' AS route, count(*) FILTER (l_quantity > 10) AS passed, count(l_orderkey) AS total,
   count(*) FILTER (NOT l_quantity > 10) AS n_failures, min(round(o_totalprice / 1000, 2)) AS seconds, min(o_custkey) AS output_tokens
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def eval_run_records(spark, folder):
     """One run per order, its line items as assertions; written as JSON lines and read back."""
     orders = table(spark, folder, "orders").select(
@@ -320,6 +323,6 @@ def eval_run_records(spark, folder):
     path = f"{shared_folder(spark)}/deltascope-runs-{uuid.uuid4().hex}.jsonl"
     write_run_records(orders, results, path)
     records = spark.read.schema(run_records(orders, results).schema).json(path)
-    return records.filter("total > 0").select(
+    return records.select(
         "case", "model", "attempt", "route", "passed", "total", F.size("failures").cast("bigint").alias("n_failures"), "seconds", "output_tokens"
     )

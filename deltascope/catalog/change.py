@@ -433,7 +433,8 @@ def plan_resolved_and_run(spark, folder):
 WORDS = fixed.NOT_A_SUM_PATTERN
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN word <> '' THEN 'other' ELSE 'change_over_time' END AS route FROM (
+@query(f"""SELECT o_orderkey, CASE WHEN word <> '' THEN 'other' ELSE 'change_over_time' END AS route,
+  CASE WHEN word <> '' THEN concat('asks for ', chr(39), lower(word), chr(39), ', which is not a sum') END AS reason FROM (
   SELECT o_orderkey, regexp_extract(question, '{WORDS}', 1) AS word FROM (
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Why did orders by ' || o_orderpriority || ' fall?'
       WHEN 1 THEN 'What is the Average price of ' || o_orderpriority || '?'
@@ -448,4 +449,4 @@ def summability_of_questions(spark, folder):
         .otherwise(F.concat(F.lit("Standard deviation for customer "), F.col("o_custkey").cast("string")))
     )
     questions = table(spark, folder, "orders").select("o_orderkey", question.alias("question"))
-    return summability_guard(questions).select("o_orderkey", "route")
+    return summability_guard(questions).select("o_orderkey", "route", "reason")

@@ -33,7 +33,7 @@ def require_rows(df: DataFrame, filters: Filters) -> DataFrame:
     """The filtered table, or an error when the filters leave nothing."""
     scoped = apply_filters(df, filters)
     if filters and scoped.isEmpty():
-        raise ValueError("No rows left after filtering on " + describe_filters(filters) + ".")
+        raise ValueError(f"The filters {describe_filters(filters)} leave an empty table.")
     return scoped
 
 

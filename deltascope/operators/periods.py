@@ -75,7 +75,7 @@ def time_axis(df: DataFrame, column: str, freq: str = "M") -> TimeAxis:
         if seen["n"] and seen["whole"]:
             return axis
     raise ValueError(
-        f"Column '{column}' is neither a date nor an integer year, so it cannot be used as a time axis."
+        f"{column!r} holds neither dates nor whole numbers; a time axis needs one of them."
     )
 
 
@@ -85,7 +85,7 @@ def amount(df: DataFrame, metric: str) -> Column:
     if isinstance(data_type, T.BooleanType):
         return F.col(quoted(metric)).cast("int")
     if not isinstance(data_type, T.NumericType):
-        raise ValueError(f"Metric '{metric}' is {data_type.simpleString()}, not a number.")
+        raise ValueError(f"{metric!r} can't be summed, its type is {data_type.simpleString()}.")
     return F.col(quoted(metric))
 
 

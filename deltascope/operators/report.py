@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.functions import fixed
+from deltascope.operators.quantiles import medians
 
 FAMILIES = ("routing", "interpretation", "correctness", "communication")
 
@@ -21,53 +22,65 @@ def _passed() -> Column:
     return F.count_if("passed")
 
 
+def completed(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """The results of runs that did not end in an error; an errored run says nothing about answers."""
+    run = ["case_id", "model", "attempt"]
+    errored = runs.filter(F.col("error").isNotNull()).select(*run).distinct()
+    return results.join(errored, run, "left_anti")
+
+
+def _median_seconds(runs: DataFrame) -> DataFrame:
+    """Exact median per model; one column each, so all models are searched in the same passes."""
+    models = [r["model"] for r in runs.select("model").distinct().collect()]
+    wide = runs.select(*[
+        F.when(F.col("model").eqNullSafe(F.lit(m)) & F.col("error").isNull(), F.col("seconds")).cast("double").alias(f"m{i}")
+        for i, m in enumerate(models)
+    ])
+    found = medians(wide, wide.columns)
+    return runs.sparkSession.createDataFrame(
+        [(m, found[f"m{i}"]) for i, m in enumerate(models)], "model string, median_seconds double"
+    )
+
+
 def score_by_model(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Assertions passed and median seconds per model, runs that ended in an error aside."""
-    scores = results.groupBy("model").agg(_passed().alias("passed"), F.count("*").alias("total"))
-    # Seconds are kept to the hundredth, as in the run records, so a model has few distinct
-    # values and the median needs only their counts.
-    timing = (
-        runs.groupBy("model", F.when(F.col("error").isNull(), F.round("seconds", 2)).alias("seconds"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("model")
-        .agg(F.expr("percentile(seconds, 0.5, n)").alias("median_seconds"))
-    )
-    return timing.join(scores, "model", "left").select(
+    scores = completed(results, runs).groupBy("model").agg(_passed().alias("passed"), F.count("*").alias("total"))
+    return _median_seconds(runs).join(scores, "model", "left").select(
         "model", "passed", "total", _pct(F.col("passed"), F.col("total")).alias("pct"), "median_seconds"
     )
 
 
-def score_by_family(results: DataFrame) -> DataFrame:
-    """Pass rate per model, one column per family."""
+def score_by_family(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pass rate per model, one column per family, errored runs aside."""
     rate = F.avg(F.when(F.col("passed"), 100.0).otherwise(0.0))
-    return results.groupBy("model").pivot("family", list(FAMILIES)).agg(rate)
+    return completed(results, runs).groupBy("model").pivot("family", list(FAMILIES)).agg(rate)
 
 
-def _per_run(results: DataFrame) -> DataFrame:
-    return results.groupBy("case_id", "model", "attempt").agg(_passed().alias("passed"), F.count("*").alias("total"))
+def _per_run(results: DataFrame, runs: DataFrame) -> DataFrame:
+    return completed(results, runs).groupBy("case_id", "model", "attempt").agg(_passed().alias("passed"), F.count("*").alias("total"))
 
 
-def score_by_case(results: DataFrame) -> DataFrame:
-    """Worst and best score of each case over its attempts."""
-    return _per_run(results).groupBy("case_id", "model").agg(
+def score_by_case(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Worst and best score of each case over its attempts, errored runs aside."""
+    return _per_run(results, runs).groupBy("case_id", "model").agg(
         F.min("passed").alias("worst"), F.max("passed").alias("best"), F.max("total").alias("total"),
         F.count("*").alias("runs"),
     )
 
 
-def run_variance(results: DataFrame) -> DataFrame:
-    """Spread of the score over whole passes through the suite; one pass has none."""
-    passes = results.groupBy("model", "attempt").agg(_pct(_passed(), F.count("*")).alias("pct"))
+def run_variance(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spread of the score over whole passes through the suite, errored runs aside; one pass has none."""
+    passes = completed(results, runs).groupBy("model", "attempt").agg(_pct(_passed(), F.count("*")).alias("pct"))
     return passes.groupBy("model").agg(
         F.avg("pct").alias("mean_pct"), F.coalesce(F.stddev_samp("pct"), F.lit(0.0)).alias("sd"),
         F.min("pct").alias("worst_pct"), F.max("pct").alias("best_pct"), F.count("*").alias("passes"),
     )
 
 
-def unstable_cases(results: DataFrame) -> DataFrame:
-    """Cases that did not score the same in every attempt."""
+def unstable_cases(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Cases that did not score the same in every attempt, errored runs aside."""
     return (
-        _per_run(results).groupBy("model", "case_id")
+        _per_run(results, runs).groupBy("model", "case_id")
         .agg(F.min("passed").alias("worst"), F.max("passed").alias("best"))
         .filter("worst < best")
     )
@@ -102,10 +115,10 @@ def usage(runs: DataFrame) -> DataFrame:
 def eval_report(results: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
     return {
         "scores": score_by_model(results, runs),
-        "families": score_by_family(results),
-        "cases": score_by_case(results),
-        "variance": run_variance(results),
-        "unstable": unstable_cases(results),
+        "families": score_by_family(results, runs),
+        "cases": score_by_case(results, runs),
+        "variance": run_variance(results, runs),
+        "unstable": unstable_cases(results, runs),
         "failures": common_failures(results),
         "gate": gate(results),
         "usage": usage(runs),

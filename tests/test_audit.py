@@ -27,35 +27,35 @@ def test_numbers(spark):
 
 def test_invented_numbers(spark):
     df = spark.createDataFrame(
-        [("The correlation is -0.1468.", "-0.0033"), ("The correlation is -0.0033.", "-0.0033"), ("It is 16.1", "16.11"),
-         ("It is 16.2", "16.11"), ("It is 5", None), ("no figure", "")],
+        [("Rainfall and yield: r = -0.27.", "0.0514"), ("Rainfall and yield: r = 0.0514.", "0.0514"), ("Up 42.7 in all", "42.73"),
+         ("Up 42.9 in all", "42.73"), ("Some 8 boats", None), ("nothing counted", "")],
         "narrative string, source string",
     )
     found = [r[0] for r in df.select(g.invented_numbers(F.col("narrative"), F.col("source"))).collect()]
-    assert found == [[0.1468], [], [], [16.2], None, []]
+    assert found == [[0.27], [], [], [42.9], None, []]
 
 
 def test_causal_claims(spark):
     found = over(
         spark, g.causal_claim,
-        "Revenue fell due to weak laptop sales in the West.",
-        "Docking Station explains only -0.66 pp because it was just 1.1% of revenue.",
-        "It dropped. Driven by nothing.", "Sales ROSE sharply, Driven By the West",
+        "Catches fell due to storms off the northern banks.",
+        "Lamps matter little here because they are a fortieth of the total.",
+        "Yields dropped. Driven by nobody.", "Exports ROSE again, Driven By the harbours",
     )
-    assert found == ["fell due to", None, None, "ROSE sharply, Driven By"]
+    assert found == ["fell due to", None, None, "ROSE again, Driven By"]
 
 
 def test_summed_contributions(spark):
     found = over(
-        spark, g.summed_contributions, "Laptop, West and Direct each contributed over 10 points.",
-        "Laptop x West was the largest contributor at -11.08 pp.", "Together they account for it", "They sum to 12", "summing to",
+        spark, g.summed_contributions, "Cod, herring and squid each contributed some six points.",
+        "Cod x North came first with 7.4 pp.", "Together they account for most", "These sum to 31", "summing to",
     )
     assert found == ["each contribut", None, "Together they account", "sum to", None]
 
 
 def test_terms(spark):
-    df = spark.createDataFrame([("Several moved. Laptop x West led.",), ("Laptop x West led. Others less.",)], "t string")
-    terms = F.array(F.lit("laptop"), F.lit("WEST"))
+    df = spark.createDataFrame([("Three fleets grew. Cod x North was ahead.",), ("Cod x North was ahead. Two followed.",)], "t string")
+    terms = F.array(F.lit("cod"), F.lit("NORTH"))
     assert [tuple(r) for r in df.select(g.mentions(F.col("t"), terms), g.mentions(g.first_sentence(F.col("t")), terms)).collect()] == [(True, False), (True, True)]
 
 
@@ -84,36 +84,36 @@ def grade(spark, narrative="", route="change", source="total 16.11", expectation
 
 def test_change_answers(spark):
     found = grade(
-        spark, "Laptop x West contributed -11.08 points of the -16.1% change.", source="16.11 11.08",
-        analysis=("revenue", "2026-03", ["region"], -16.11, "West x Laptop"),
-        slices=[("Laptop x West", -11.08, -38.0, False), ("Docking Station x South", -0.66, -61.4, True)],
+        spark, "Cod x North gave 7.4 points of the 12.3% rise.", source="12.34 7.41",
+        analysis=("tonnes", "2025-09", ["fish"], 12.34, "North x Cod"),
+        slices=[("Cod x North", 7.41, 22.0, False), ("Eel x South", 0.31, 140.0, True)],
         checks=[("a", True), ("b", False)],
         expectations=[
-            ("metric", ["revenue"]), ("metric", ["units"]), ("period", ["2026-03"]), ("period", ["2026-02"]),
-            ("dimensions", ["region"]), ("dimensions", ["region", "product"]), ("total_change", [], -16.0), ("total_change", [], -10.0),
-            ("top_slice", ["Laptop", "West"]), ("top_slice", ["Keyboard", "South"]), ("contribution", ["West", "Laptop"], -11.1),
-            ("contribution", ["Laptop", "West"], -5.0), ("contribution", ["No", "Such"], 1.0), ("decoy", ["South", "Docking Station"]),
-            ("decoy", ["Laptop", "West"]), ("checks_pass",), ("route", ["change"]), ("route", ["code"]), ("verified", [], 1.0), ("verified", [], 0.0),
-            ("no_invented_numbers",), ("no_causal_claim",), ("mentions", ["laptop"]), ("leads_with", ["south"]), ("executed",), ("unheard_of",),
+            ("metric", ["tonnes"]), ("metric", ["boats"]), ("period", ["2025-09"]), ("period", ["2025-08"]),
+            ("dimensions", ["fish"]), ("dimensions", ["fish", "coast"]), ("total_change", [], 12.5), ("total_change", [], 20.0),
+            ("top_slice", ["Cod", "North"]), ("top_slice", ["Squid", "East"]), ("contribution", ["North", "Cod"], 7.4),
+            ("contribution", ["Cod", "North"], 2.0), ("contribution", ["Not", "There"], 1.0), ("decoy", ["South", "Eel"]),
+            ("decoy", ["Cod", "North"]), ("checks_pass",), ("route", ["change"]), ("route", ["code"]), ("verified", [], 1.0), ("verified", [], 0.0),
+            ("no_invented_numbers",), ("no_causal_claim",), ("mentions", ["cod"]), ("leads_with", ["east"]), ("executed",), ("unheard_of",),
         ],
     )
     passed = {name for name, (ok, _) in found.items() if ok}
     assert passed == {
-        "metric revenue", "period 2026-03", "dimensions region", "total_change -16.0", "top_slice Laptop, West",
-        "contribution West, Laptop -11.1", "decoy South, Docking Station", "route change", "verified 1.0",
-        "no_invented_numbers", "no_causal_claim", "mentions laptop",
+        "metric tonnes", "period 2025-09", "dimensions fish", "total_change 12.5", "top_slice Cod, North",
+        "contribution North, Cod 7.4", "decoy South, Eel", "route change", "verified 1.0",
+        "no_invented_numbers", "no_causal_claim", "mentions cod",
     }
-    assert len(found) == 26 and "product" in found["dimensions region, product"][1] and "1 of 2" in found["checks_pass"][1]
+    assert len(found) == 26 and "coast" in found["dimensions fish, coast"][1] and "1 of 2" in found["checks_pass"][1]
 
 
 def test_code_answers(spark):
-    expectations = [("executed",), ("repairs_at_most", [], 1.0), ("reports_value", [], 2.6961), ("reports_value", [], 99.0), ("checks_pass",), ("metric", ["x"]), ("no_invented_numbers",)]
+    expectations = [("executed",), ("repairs_at_most", [], 1.0), ("reports_value", [], 3.1875), ("reports_value", [], 99.0), ("checks_pass",), ("metric", ["x"]), ("no_invented_numbers",)]
     found = grade(
-        spark, "The average is 2.6961 units.", "code", "2.6961", expectations, attempts=[(1, "a", True, "2.6961"), (2, "b", False, "")], verified=False
+        spark, "A boat lands 3.1875 tonnes.", "code", "3.1875", expectations, attempts=[(1, "a", True, "3.1875"), (2, "b", False, "")], verified=False
     )
-    assert {k for k, (ok, _) in found.items() if ok} == {"executed", "repairs_at_most 1.0", "reports_value 2.6961", "no_invented_numbers"}
+    assert {k for k, (ok, _) in found.items() if ok} == {"executed", "repairs_at_most 1.0", "reports_value 3.1875", "no_invented_numbers"}
     assert "routed to 'code'" in found["checks_pass"][1]
-    silent = grade(spark, "It is 5", "code", None, expectations[:3] + [("no_invented_numbers",)], attempts=[(1, "a", False, "")])
+    silent = grade(spark, "Some 8", "code", None, expectations[:3] + [("no_invented_numbers",)], attempts=[(1, "a", False, "")])
     assert not any(ok for name, (ok, _) in silent.items() if name != "repairs_at_most 1.0")
     assert grade(spark, "x", expectations=expectations, error="timeout") == {}
 
@@ -134,6 +134,12 @@ def test_report(spark, tmp_path):
     assert scores["big"]["pct"] == 100 and scores["small"]["passed"] == 3 and scores["small"]["median_seconds"] == 15.0
     assert scores["down"]["passed"] is None and scores["down"]["median_seconds"] is None
     families = {r["model"]: r for r in report["families"]}
+    late = runs.withColumn("error", F.when((F.col("model") == "small") & (F.col("attempt") == 2), F.lit("timeout")).otherwise(F.col("error")))
+    aside = {k: [r.asDict() for r in v.collect()] for k, v in eval_report(results, late.withColumn("seconds", F.col("seconds") + 0.004)).items()}
+    scores = {r["model"]: r for r in aside["scores"]}
+    assert (scores["small"]["passed"], scores["small"]["total"], scores["small"]["median_seconds"]) == (2, 4, 10.004)
+    assert {r["model"]: r["passes"] for r in aside["variance"]} == {"big": 2, "small": 1} and aside["unstable"] == []
+    assert {(r["case_id"], r["runs"]) for r in aside["cases"] if r["model"] == "small"} == {("a", 1), ("b", 1)}
     assert families["small"]["routing"] == 50 and families["small"]["correctness"] == 25 and families["small"]["communication"] is None
     variance = {r["model"]: r for r in report["variance"]}
     assert variance["big"]["sd"] == 0 and variance["small"]["worst_pct"] == 25 and variance["small"]["sd"] == pytest.approx(17.6777, abs=1e-3)
