@@ -57,7 +57,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -198,8 +198,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 # --- jobs
 
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[tuple[int | None, str | None]]]:
+    """(id, text) of a few rows at a time, so that a task holds few sets at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -214,9 +218,9 @@ _SIGNED = "doc_id long, n long, low long, high long, signatures array<long>, ske
 def _signed(docs: DataFrame, bands: tuple[Band, ...], words: int, percent: int) -> DataFrame:
     """Size, 128-bit digest, signatures and sketch of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in _parts(batches):
             ids, sizes, digests, signed, sketches = [], [], [], [], []
-            for doc_id, text in _columns(batch):
+            for doc_id, text in rows:
                 own = shingles(text, words)
                 ids.append(doc_id)
                 sizes.append(len(own))
@@ -234,8 +238,7 @@ def _signed(docs: DataFrame, bands: tuple[Band, ...], words: int, percent: int)
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(_columns(batch))
+        for rows in _parts(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), _lists([shingles(r[1], words) for r in rows])], ["node", "own"]
             )
