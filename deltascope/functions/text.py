@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from deltascope.functions import fixed
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once and written into the plan once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(column: Column) -> Column:
     """Trim every kind of white space. `trim` with a character list only looks at the
     two ends of a value, so it is far cheaper per row than a regular expression."""

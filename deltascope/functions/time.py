@@ -7,50 +7,80 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from deltascope.functions.text import strip
+from deltascope.functions.text import once, strip
 
-# How dates arrive as text: a gate, then the formats to try in order behind it. The gate
-# means that a value is handed to one parser instead of failing through all of them.
-# Month-first wins where day and month are ambiguous.
-DATE_FORMATS = (
+# How dates arrive as text: a gate for the day, then the formats to try in order behind it.
+# The gate means that a value is handed to one parser instead of failing through all of
+# them. Month-first wins where day and month are ambiguous. A clock time may follow.
+DAY_SHAPES = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:mm", "d/M/yyyy H:mm")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
-    (r"(?i)^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [ap]m$", ("M/d/yyyy h:mm a", "d/M/yyyy h:mm a")),
     (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", ("M-d-yy", "d-M-yy")),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ("M.d.yyyy", "d.M.yyyy")),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", ("yyyy/M/d H:mm:ss",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
+    # spaces, hyphens and slashes around a month's name are made hyphens first
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ("d-MMM-yyyy",)),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", ("d-MMM-yy",)),
+    (r"^\d{1,2}-[A-Za-z]{4,}-\d{4}$", ("d-MMMM-yyyy",)),
+    (r"^[A-Za-z]{3}-\d{1,2}-\d{4}$", ("MMM-d-yyyy",)),
+    (r"^[A-Za-z]{4,}-\d{1,2}-\d{4}$", ("MMMM-d-yyyy",)),
+)
+# these have no clock time
+DATE_ONLY = (
     (r"^(19|20)\d{2}(0[1-9]|1[0-2])\d{2}$", ("yyyyMMdd",)),
     (r"^\d{4}-\d{2}$", ("yyyy-MM",)),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
-    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", ("MMMM d, yyyy",)),
-    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", ("d MMM yyyy", "d-MMM-yyyy")),
-    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", ("d MMMM yyyy",)),
-    (r"^[A-Za-z]{3} \d{4}$", ("MMM yyyy",)),
-    (r"^[A-Za-z]{4,} \d{4}$", ("MMMM yyyy",)),
+    (r"^[A-Za-z]{3}-\d{4}$", ("MMM-yyyy",)),
+    (r"^[A-Za-z]{4,}-\d{4}$", ("MMMM-yyyy",)),
 )
+CLOCK = r" (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?([AaPp][Mm]))?$"
+# a day of the week before a date says nothing more about it
+WEEKDAY = r"^(?i:mon|tues?|wed|thu|thurs?|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday),? +"
 # what every one of them begins like; most other text is told apart by this alone
-MAYBE_DATE = r"^(\d{1,4}[-/. ]|\d{8}$|[A-Za-z]{3,} \d)"
+MAYBE_DATE = r"^(\d{1,4}[-/. ]|\d{8}$|[A-Za-z]{3,},? [A-Za-z]{0,9} ?\d)"
 ISO_GATE = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
 
 
-def parse_dates(column: Column, formats=DATE_FORMATS) -> Column:
+def parse_dates(column: Column) -> Column:
     """Date text in mixed formats to timestamp, null where nothing fits.
 
     A bare year is left alone on purpose: it is a year axis, not a date.
     """
-    return parse_trimmed_dates(strip(column), formats)
+    return parse_trimmed_dates(strip(column))
+
+
+def parse_trimmed_dates(text: Column) -> Column:
+    # the steps behind the gate share a value, so the plan stays small
+    return F.when(text.rlike(MAYBE_DATE), once(F.regexp_replace(text, WEEKDAY, ""), _dated))
+
+
+def _dated(text: Column) -> Column:
+    iso = F.when(text.rlike(ISO_GATE), text.try_cast("timestamp"))  # the cast takes all ISO 8601 forms
+    day = F.regexp_replace(F.regexp_replace(text, CLOCK, ""), r"(?<=[A-Za-z])(, | |/)|( |/)(?=[A-Za-z])|(?<=[A-Za-z] \d{1,2}|[A-Za-z]-\d{1,2}),? ", "-")
+    seconds = once(
+        F.struct(*[F.regexp_extract(text, CLOCK, k).alias(n) for k, n in enumerate(("h", "m", "s", "half"), 1)]), _seconds
+    )
+    return F.coalesce(iso, once(day, lambda d: _shaped(d, DAY_SHAPES)) + F.make_dt_interval(secs=seconds),
+                      once(day, lambda d: F.when(~text.rlike(CLOCK), _shaped(d, DATE_ONLY))))
+
+
+def _shaped(day: Column, shapes) -> Column:
+    parsed = None
+    for gate, patterns in shapes:
+        attempts = [F.try_to_timestamp(day, F.lit(p)) for p in patterns]
+        found = attempts[0] if len(attempts) == 1 else F.coalesce(*attempts)
+        parsed = F.when(day.rlike(gate), found) if parsed is None else parsed.when(day.rlike(gate), found)
+    return parsed
 
 
-def parse_trimmed_dates(text: Column, formats=DATE_FORMATS) -> Column:
-    # the cast takes all ISO 8601 forms
-    parsed = F.when(text.rlike(ISO_GATE), text.try_cast("timestamp"))
-    for gate, patterns in formats:
-        attempts = [F.try_to_timestamp(text, F.lit(p)) for p in patterns]
-        parsed = parsed.when(text.rlike(gate), attempts[0] if len(attempts) == 1 else F.coalesce(*attempts))
-    return F.when(text.rlike(MAYBE_DATE), parsed)
+def _seconds(clock: Column) -> Column:
+    """Seconds since midnight; 0 without a clock time, null for one that no clock shows."""
+    hour, minute, second = (F.coalesce(clock[n].try_cast("int"), F.lit(0)) for n in ("h", "m", "s"))
+    half = F.lower(clock["half"])
+    fits = (minute < 60) & (second < 60) & F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
+    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    return F.when(clock["h"] == "", 0).when(fits, 3600 * hour + 60 * minute + second).cast("decimal(18, 6)")
 
 
 FREQUENCIES = {

@@ -168,10 +168,13 @@ def rollup_levels(column: ColumnProfile) -> bool:
 
 # ---------------------------------------------------------------- distinct values
 
-# Columns with at most this many distinct values have their values listed outright.
+# Columns with at most this many distinct values have their values listed outright; those of
+# the others are found by a search. Both give the same values.
 LISTED_DISTINCT = 1_000
-# Longer texts are told apart by a digest, so that whole documents need not be shuffled.
-LONG_TEXT = 256
+# Longer texts are grouped by a digest, so that whole documents need not be shuffled.
+DIGEST_ABOVE = 256
+# Texts are bounded by so many of their first characters when the smallest are searched for.
+BOUND_CHARACTERS = 64
 # How many columns are unpivoted together.
 COLUMNS_AT_ONCE = 100
 # Into how many groups a longer column is split to bound its smallest values.
@@ -286,13 +289,16 @@ def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VAL
 
     The values of a column are split into groups by hash. The `n`-th smallest of the groups'
     minima, which are all different, cannot lie below the `n`-th smallest value; so only
-    values up to it are counted, and those are few.
+    values up to it are counted, and those are few. Of texts only the first characters are
+    compared with the bound: no whole text comes to the driver for it.
     """
     values = [F.when(present(df, name), F.col(quoted(name))) for name in columns]
+    is_text = [isinstance(df.schema[name].dataType, T.StringType) for name in columns]
+    bounded = [F.substring(v, 1, BOUND_CHARACTERS) if t else v for v, t in zip(values, is_text)]
     # the hash is worked out once per value, below the aggregate
     hashed = df.select(*[
         part for i, value in enumerate(values)
-        for part in (value.alias(f"v{i}"), F.pmod(F.xxhash64(value), F.lit(SAMPLE_GROUPS)).alias(f"g{i}"))
+        for part in (bounded[i].alias(f"v{i}"), F.pmod(F.xxhash64(value), F.lit(SAMPLE_GROUPS)).alias(f"g{i}"))
     ])
     minima = hashed.agg(*[
         F.min(F.when(F.col(f"g{i}") == group, F.col(f"v{i}"))).alias(f"m{i}_{group}")
@@ -303,7 +309,7 @@ def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VAL
         found = sorted(v for v in (row[f"m{i}_{g}"] for g in range(SAMPLE_GROUPS)) if v is not None)
         column = values[i]
         if len(found) >= n:
-            column = F.when(column <= F.lit(found[n - 1]).cast(df.schema[name].dataType), column)
+            column = F.when(bounded[i] <= F.lit(found[n - 1]).cast(df.schema[name].dataType), column)
         limited.append(column.alias(name))
     where = {name: i for i, name in enumerate(df.columns)}
     ranked = sample_values(value_counts(df.select(*limited)), n)
@@ -315,63 +321,64 @@ def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VAL
 
 
 def _distinct_cells(df: DataFrame, exact: bool) -> DataFrame:
-    """`(position, rows, instant, number, clean, long_text, mark)`: one row per distinct value
-    and column, null being a value, or one per cell when counts need not be exact.
+    """`(position, rows, instant, number, characters, is_date, is_amount, is_flag, present, mark)`:
+    one row per distinct value and column, null being a value, or one per cell when counts
+    need not be exact.
 
-    A long text is grouped by its digest. What the rules need to know of it, its length and
-    whether it reads as an amount, is the same for all rows of such a group.
+    A long text is grouped by its digest, so its facts are worked out before the digest takes
+    its place; those of a short one afterwards, once per distinct value. The rules are the
+    same for both.
     """
-    cell, rows, parts = F.col("cell"), F.col("rows"), []
-    none, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    cell, parts = F.col("cell"), []
+    names = ("number", "characters", "is_date", "is_amount", "is_flag")
     for family, types, flat in _families(df, df.columns):
-        long_text = F.lit(None).cast("struct<characters: int, amount: boolean, number: double>")
         if family == "text":
-            stripped = strip(cell)
-            facts = F.struct(
-                F.length(stripped).alias("characters"), stripped.rlike(fixed.AMOUNT_PATTERN).alias("amount"),
-                _by_type(types, lambda t: _number_of(t, cell)).alias("number"),
-            )
-            is_long = F.length(cell) > LONG_TEXT
+            is_long = F.length(cell) > DIGEST_ABOVE
+            facts = _text_facts(cell, types)
             flat = flat.select(
                 "position", F.when(is_long, F.sha2(cell, 256)).otherwise(cell).alias("cell"),
-                *[F.when(is_long, facts[name]).alias(name) for name in ("characters", "amount", "number")],
+                F.coalesce(is_long, F.lit(False)).alias("long"), *[F.when(is_long, facts[n]).alias(n) for n in names],
             )
             if exact:
                 # a short text could look like a digest, so which it is belongs to the key
-                flat = flat.groupBy("position", "cell", F.col("characters").isNotNull().alias("long")).agg(
-                    F.count("*").alias("rows"), F.max("characters").alias("characters"),
-                    F.max("amount").alias("amount"), F.max("number").alias("number"),
-                )
-            long_text = F.when(F.col("characters").isNotNull(), F.struct("characters", "amount", "number"))
-        elif exact:
-            flat = flat.groupBy("position", "cell").agg(F.count("*").alias("rows"))
+                flat = flat.groupBy("position", "cell", "long").agg(F.count("*").alias("rows"), *[F.max(n).alias(n) for n in names])
+            facts = [F.when(F.col("long"), F.col(n)).otherwise(facts[n]).alias(n) for n in names]
+        else:
+            if exact:
+                flat = flat.groupBy("position", "cell").agg(F.count("*").alias("rows"))
+            no, none = F.lit(False), F.lit(None)
+            facts = [
+                c.alias(n) for n, c in
+                zip(names, (_by_type(types, lambda t: _number_of(t, cell)), none.cast("int"), no, none.cast("boolean"), none.cast("boolean")))
+            ]
         if not exact:
             flat = flat.withColumn("rows", F.lit(1).cast("bigint"))
-        short = F.col("characters").isNull() if family == "text" else F.lit(True)
-        number = F.when(short, _by_type(types, lambda t: _number_of(t, cell)))
-        if family == "text":
-            number = F.coalesce(number, F.col("number"))
-            clean = F.when(short, _by_type(types, lambda t: clean_text(cell) if isinstance(t, T.StringType) else no_text))
         parts.append(flat.select(
-            "position", "rows", (cell if family == "whole" else none).alias("instant"), number.alias("number"),
-            (clean if family == "text" else no_text).alias("clean"), long_text.alias("long_text"),
+            "position", "rows", (cell if family == "whole" else F.lit(None).cast("bigint")).alias("instant"), *facts,
             cell.isNotNull().alias("present"), F.xxhash64(cell).alias("mark"),
         ))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _text_facts(cell: Column, types: dict[int, T.DataType]) -> dict[str, Column]:
+    """What the rules ask of a text; null where it is missing or stands for missing."""
+    clean = _by_type(types, lambda t: clean_text(cell) if isinstance(t, T.StringType) else F.lit(None).cast("string"))
+    return {
+        "number": _by_type(types, lambda t: _number_of(t, cell)),
+        "characters": F.length(clean),
+        "is_date": parse_trimmed_dates(clean).isNotNull(),
+        "is_amount": clean.rlike(fixed.AMOUNT_PATTERN),
+        "is_flag": F.lower(clean).isin(*fixed.BOOLEAN_WORDS),
+    }
+
+
 def _facts(df: DataFrame, exact: bool) -> DataFrame:
     """Facts about the values of each column, weighted by rows: one row per column.
 
     All of these are hash aggregates on fixed-width buffers, so distinct values are shuffled
     once and never sorted.
     """
-    rows, clean, long_text = F.col("rows"), F.col("clean"), F.col("long_text")
-    facts = _distinct_cells(df, exact)
-    facts = facts.withColumn("is_date", parse_trimmed_dates(clean).isNotNull())
-    is_clean = clean.isNotNull() | (long_text["characters"] > 0)
-    is_amount = F.coalesce(clean.rlike(fixed.AMOUNT_PATTERN), long_text["amount"])
-    length = F.coalesce(F.length(clean), long_text["characters"])
+    rows = F.col("rows")
 
     def weigh(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
@@ -380,7 +387,7 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
         unique = F.count_if("present")
     else:
         unique = F.approx_count_distinct(F.when(F.col("present"), F.col("mark")), 0.01)
-    return facts.groupBy("position").agg(
+    return _distinct_cells(df, exact).groupBy("position").agg(
         F.sum("rows").alias("n_rows"),
         weigh(F.col("present")).alias("non_null"),
         unique.alias("unique_count"),
@@ -390,13 +397,11 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
         F.max("number").alias("max_number"),
         weigh(F.col("number").isNotNull()).alias("n_numbers"),
         F.coalesce(F.bool_and(F.col("number") % 1 == 0), F.lit(False)).alias("all_whole"),
-        weigh(is_clean).alias("n_clean"),
+        weigh(F.col("characters").isNotNull()).alias("n_clean"),
         weigh(F.col("is_date")).alias("n_dates"),
-        weigh(is_amount).alias("n_amounts"),
-        F.coalesce(
-            F.bool_and(F.when(long_text["characters"] > 0, False).otherwise(F.lower(clean).isin(*fixed.BOOLEAN_WORDS))), F.lit(False)
-        ).alias("all_flags"),
-        F.sum(length * rows).alias("characters"),
+        weigh(F.col("is_amount")).alias("n_amounts"),
+        F.coalesce(F.bool_and("is_flag"), F.lit(False)).alias("all_flags"),
+        F.sum(F.col("characters") * rows).alias("characters"),
     )
 
 
@@ -458,7 +463,7 @@ def _note(row: Row) -> str | None:
 def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> TableProfile:
     """Profile every column and the table.
 
-    With `exact=False` distinct counts are estimated and nothing as large as the table is
+    With `exact=False` distinct counts are estimated and only the values of categories are
     shuffled: a screening run. Keys cannot be proven then, and duplicates are not counted.
     """
     spark, fields = df.sparkSession, df.schema.fields
@@ -480,7 +485,7 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
             f"{end}_time",
             F.when(F.col("dtype") == "date", _text_of(T.DateType(), instant)).otherwise(_text_of(T.TimestampType(), instant)),
         )
-    rows = _with_values(df, columns.orderBy("position").collect(), exact)
+    rows = _with_values(df, columns.orderBy("position").collect())
     n_rows = max((r["n_rows"] for r in rows), default=0)
     numeric = {r["name"] for r in rows if r["semantic_type"] == "numeric"}
     distinct = {r["name"]: r["unique_count"] for r in rows}
@@ -493,12 +498,11 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
     return table
 
 
-def _with_values(df: DataFrame, rows: list[Row], exact: bool) -> list[Row]:
+def _with_values(df: DataFrame, rows: list[Row]) -> list[Row]:
     """Add the commonest and the smallest values.
 
     Commonest values are counted only for columns that are categories, and the smallest ones
-    of long columns come from a search that does not sort them. A screening run leaves long
-    columns out.
+    of long columns come from a search that does not sort them.
     """
     listed = [r["name"] for r in rows if 0 < r["unique_count"] <= LISTED_DISTINCT]
     long = [r["name"] for r in rows if r["unique_count"] > LISTED_DISTINCT]
@@ -512,9 +516,9 @@ def _with_values(df: DataFrame, rows: list[Row], exact: bool) -> list[Row]:
     if listed:
         counts = value_counts(df, listed)
         parts += [collect("top", top_values(counts)), collect("samples", sample_values(counts))]
-    if exact and ranked:
+    if ranked:
         parts.append(collect("top", top_values(value_counts(df, ranked))))
-    if exact and long:
+    if long:
         parts.append(collect("samples", smallest_values(df, long)))
     if parts:
         # a handful of rows per column
