@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from deltascope import coerce_numeric, parse_dates, prepare, profile, quality_issues, time_axes
 from deltascope.catalog import query, rounded, table
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
-from deltascope.operators.profile import numeric_figures, sample_values, top_values, value_counts
+from deltascope.operators.profile import numeric_figures, rollup_levels, sample_values, top_values, value_counts
 from deltascope.operators.roles import dimension_candidates, granularity, metric_candidates, time_axis_candidates
 
 COLUMNS = {
@@ -142,12 +142,58 @@ def profile_warnings(spark, folder):
     return profile(messy_orders(spark, folder)).warnings_frame().select("kind", "warning")
 
 
-@query("""SELECT 'rollup' AS kind FROM (SELECT count(*) FROM nation) UNION ALL SELECT 'duplicates' FROM (
-  SELECT count(*) AS n FROM (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) > 1)) WHERE n > 0""")
+@query("""WITH named AS (SELECT 'level' AS name, 'Level ' || n_regionkey AS value FROM nation UNION ALL SELECT 'place', n_name || ' region ' || n_regionkey % 2 FROM nation
+  UNION ALL SELECT 'number', 'Place ' || n_regionkey FROM nation),
+counted AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, value) AS rank FROM named GROUP BY name, value),
+shown AS (SELECT name, count(*) AS n, count(*) FILTER (regexp_matches(value, '(?i)^level\\b')) AS levels FROM counted WHERE rank <= 6 GROUP BY name)
+SELECT name, levels >= greatest(1, n // 2) AS is_rollup FROM shown""")
 def profile_rollup_levels(spark, folder):
-    """A column that names levels of aggregation is reported."""
-    nested = table(spark, folder, "nation").select(F.concat(F.lit("Level "), F.col("n_regionkey")).alias("aggregation"))
-    return profile(nested).warnings_frame().select("kind")
+    """A column that names levels of aggregation, and two that name peers."""
+    nation = table(spark, folder, "nation")
+    region = F.col("n_regionkey").cast("string")
+    named = nation.select(
+        F.concat(F.lit("Level "), region).alias("level"),
+        F.concat("n_name", F.lit(" region "), (F.col("n_regionkey") % 2).cast("string")).alias("place"),
+        F.concat(F.lit("Place "), region).alias("number"),
+    )
+    return spark.createDataFrame(
+        [(c.name, rollup_levels(c)) for c in profile(named, duplicates=False).columns], "name string, is_rollup boolean"
+    )
+
+
+# Cells padded to several hundred characters: the same rules as for short ones. Missing
+# amounts stand as padded tokens; every share that a rule asks for is counted by the SQL.
+@query("""WITH cells AS (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS flag, strftime(o_orderdate, '%m/%d/%Y') AS day,
+    CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE '$' || round(o_totalprice)::BIGINT END AS amount,
+    o_orderpriority AS word, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderstatus END AS mixed FROM orders),
+shares AS (SELECT name, count(value) AS n, count(DISTINCT value) AS d,
+    count(*) FILTER (lower(value) IN ('yes', 'no')) AS flags, count(try_strptime(value, ['%m/%d/%Y', '%Y-%m-%d'])) AS days,
+    count(*) FILTER (regexp_matches(value, '^[$]?[0-9]+$')) AS amounts
+  FROM (UNPIVOT cells ON flag, day, amount, word, mixed INTO NAME name VALUE value) GROUP BY name)
+SELECT name, CASE WHEN days >= 0.9 * n THEN 'date_as_string' WHEN amounts >= 0.9 * n THEN 'numeric_as_string' WHEN flags = n THEN 'boolean'
+  WHEN d <= 25 OR d <= 0.5 * n THEN 'categorical' ELSE 'free_text' END AS semantic_type FROM shares""")
+def profile_long_cells(spark, folder):
+    orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
+    cells = orders.select(
+        F.when(key % 2 == 0, "Yes").otherwise("no").alias("flag"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"),
+        F.when(key % 9 == 0, "N/A").otherwise(F.concat(F.lit("$"), F.round("o_totalprice").cast("bigint").cast("string"))).alias("amount"),
+        F.col("o_orderpriority").alias("word"),
+        F.when(key % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderstatus")).alias("mixed"),
+    )
+    padded = cells.select(*[F.concat(F.repeat(F.lit(" "), 300), c, F.repeat(F.lit(" "), 40 + i)).alias(c) for i, c in enumerate(cells.columns)])
+    return profile(padded, duplicates=False).to_frame().select("name", "semantic_type")
+
+
+@query("""WITH v AS (SELECT 'item ' || l_partkey AS value, count(*) AS rows FROM lineitem GROUP BY 1)
+SELECT 'top' AS part, value, row_number() OVER (ORDER BY rows DESC, value)::INTEGER AS rank FROM v QUALIFY rank <= 6
+UNION ALL SELECT 'sample', value, row_number() OVER (ORDER BY value)::INTEGER AS rank FROM v QUALIFY rank <= 4""")
+def profile_screening(spark, folder):
+    """A screening run finds the same commonest and smallest values, also of columns with thousands."""
+    items = table(spark, folder, "lineitem").select(F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("item"))
+    column = profile(items, exact=False).columns[0]
+    rows = [("top", v, i) for i, (v, _) in enumerate(column.top_values, 1)] + [("sample", v, i) for i, v in enumerate(column.samples, 1)]
+    return spark.createDataFrame(rows, "part string, value string, rank int")
 
 
 @query(f"""WITH {MESSY}, n AS (SELECT count(*) AS n FROM messy), gone AS (
@@ -211,19 +257,34 @@ def coerce_numeric_price(spark, folder):
     return rounded(messy.select("o_orderkey", coerce_numeric(F.col("price")).alias("amount")), 2, ["amount"])
 
 
-FORMS = {
-    0: ("strftime(o_orderdate, '%m/%d/%Y')", "MM/dd/yyyy"), 1: ("strftime(o_orderdate, '%Y-%m-%d')", "yyyy-MM-dd"),
-    2: ("strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')", "yyyy-MM-dd'T'HH:mm:ss'Z'"), 3: ("strftime(o_orderdate, '%b %d, %Y')", "MMM dd, yyyy"),
-    4: ("strftime(o_orderdate, '%d %B %Y')", "dd MMMM yyyy"), 5: ("'not a date'", "'not a date'"), 6: ("strftime(o_orderdate, '%Y%m%d')", "yyyyMMdd"),
-}
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+# how an order writes its date, by its key
+FORMS = (
+    "MM/dd/yyyy",
+    "yyyy-MM-dd",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "MMM dd, yyyy",
+    "dd MMMM yyyy",
+    "'not a date'",
+    "yyyyMMdd",
+    "MM/dd/yyyy hh:mm:ss a",
+    "M/d/yy H:mm",
+    "dd-MMM-yy",
+    "dd/MMM/yyyy",
+    "yyyy-MM-dd hh:mm a",
+    "yyyy/MM/dd H:mm",
+    "MMM d yyyy",
+    "EEE MMM d yyyy",
+    "EEEE, MMMM d, yyyy",
+    "d MMM yyyy H:mm",
+)
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(FORMS)} <> {FORMS.index("'not a date'")} THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def parse_dates_text(spark, folder):
-    """Seven notations mixed in one column; one of them is no date."""
+    """Many notations mixed in one column; one of them is no date."""
     text = F.lit(None).cast("string")
-    for i, (_, pattern) in FORMS.items():
-        text = F.when(F.col("o_orderkey") % 7 == i, F.date_format("o_orderdate", pattern)).otherwise(text)
+    for i, pattern in enumerate(FORMS):
+        text = F.when(F.col("o_orderkey") % len(FORMS) == i, F.date_format("o_orderdate", pattern)).otherwise(text)
     orders = table(spark, folder, "orders").select("o_orderkey", text.alias("written"))
     return orders.select("o_orderkey", F.date_format(parse_dates(F.col("written")), "yyyy-MM-dd").alias("day"))
 

@@ -70,6 +70,9 @@ def _shaped(day: Column, shapes) -> Column:
     for gate, patterns in shapes:
         attempts = [F.try_to_timestamp(day, F.lit(p)) for p in patterns]
         found = attempts[0] if len(attempts) == 1 else F.coalesce(*attempts)
+        if "yyyy" not in patterns[0]:
+            # two digits from 69 on are of the last century
+            found = once(found, lambda t: F.when(F.year(t) >= 2069, t - F.make_ym_interval(F.lit(100))).otherwise(t))
         parsed = F.when(day.rlike(gate), found) if parsed is None else parsed.when(day.rlike(gate), found)
     return parsed
 

@@ -13,11 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 from deltascope.functions.text import quoted
 from deltascope.sources.materialize import materialize
 
-# Up to this many suspicious hashes (8 bytes each) the rows that are certainly unique are
-# passed by without a shuffle; beyond it a plain distinct is cheaper.
-MAX_SUSPECTS = 500_000
-
-
 def _hash(df: DataFrame):
     return F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
 
@@ -49,18 +44,15 @@ def count_duplicates(df: DataFrame) -> int:
 def deduplicate(df: DataFrame) -> tuple[DataFrame, int]:
     """Every distinct row once, and how many rows that leaves out.
 
-    With few suspicious hashes, certainly unique rows pass without a shuffle, and the others
-    are grouped once, into a small table that also tells the number of surplus rows.
+    Rows whose hash is unique are certainly unique and pass by. The others are grouped once,
+    into a table that also tells the number of surplus rows. The hashes are a written table,
+    so whether the joins with them broadcast or shuffle follows from its size.
     """
     suspicious = suspects(df)
-    n = suspicious.count()
-    if n == 0:
+    if suspicious.isEmpty():
         return df, 0
-    if n > MAX_SUSPECTS:
-        return df.dropDuplicates(), _surplus(_repeated(df, suspicious))
-    few = F.broadcast(suspicious)
-    groups = materialize(_repeated(df, few), "repeated")
-    unique = df.withColumn("__hash", _hash(df)).join(few, "__hash", "left_anti").drop("__hash")
+    groups = materialize(_repeated(df, suspicious), "repeated")
+    unique = df.withColumn("__hash", _hash(df)).join(suspicious, "__hash", "left_anti").drop("__hash")
     return unique.unionByName(groups.drop("__n")), _surplus(groups)
 
 

@@ -10,7 +10,6 @@ from deltascope.sources.materialize import materialize
 
 
 # How many variants of a category a note spells out.
-SHOWN_VARIANTS = 10
 
 
 def spelling_counts(df: DataFrame, columns: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
@@ -111,11 +110,11 @@ def normalization_report(df: DataFrame, column: str) -> DataFrame:
     return report(materialize(spelling_counts(df, [column]), "spellings"))
 
 
-def describe(spellings: DataFrame) -> list[str]:
+def describe(spellings: DataFrame, shown_variants: int | None = None) -> list[str]:
     """Notes for people: one per dimension in which something was folded or missing.
 
-    At most three examples per dimension with some variants each, chosen before anything
-    reaches the driver; `merged_spellings` has all of them.
+    Three examples per dimension, chosen before anything reaches the driver, with all their
+    variants or the `shown_variants` commonest; `merged_spellings` has every merge.
     """
     first_three = (
         fold(spellings)
@@ -130,8 +129,9 @@ def describe(spellings: DataFrame) -> list[str]:
         .join(first_three, ["dimension", "key"])
         .filter(F.col("spelling") != F.col("segment"))
         .withColumn("place", F.row_number().over(commonest))
-        .filter(F.col("place") <= SHOWN_VARIANTS)
     )
+    if shown_variants is not None:
+        variants = variants.filter(F.col("place") <= shown_variants)
     listed: dict[tuple, list] = {}
     for row in variants.collect():
         listed.setdefault((row["dimension"], row["position"]), []).append(row)
