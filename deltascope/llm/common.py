@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from deltascope.sources.materialize import materialize
+from deltascope.sources.materialize import materialize, release
 
-__all__ = ["WORD", "fold_ascii", "keep_where", "let", "materialize", "pruned"]
+__all__ = ["WORD", "fold_ascii", "keep_where", "let", "materialize", "pruned", "release"]
 
 # fixed value: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"

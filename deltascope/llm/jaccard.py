@@ -12,7 +12,7 @@ Links. Sets that are equal become one node first. Only signatures met at least t
 looked at further. Every member of such a signature is compared with one hub of it; members
 that stay in different components are compared with another hub, and last with each other,
 so no link is lost while a group of thousands of linked copies never becomes all pairs.
-Every node has a sketch, the parities of its shingles in some eight buckets per allowed
+Every node has a sketch, the parities of its shingles in some three buckets per allowed
 difference. Two sets differ in at least as many shingles as their sketches differ in bits,
 so a join passes on only pairs that may be linked, and is still exact. What passes is
 verified on the whole sets. A set is handled as its 64-bit shingle hashes.
@@ -32,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from deltascope.llm.common import materialize, pruned
+from deltascope.llm.common import materialize, pruned, release
 
-GROWTH = 1.25  # of the sizes from one band to the next
+GROWTH = 1.4  # of the sizes from one band to the next
 LARGEST = 2**26  # shingles; bands beyond it aren't needed, larger sets share the last
 VERIFY_COST = 40  # comparing a pair, in rows of signatures
 MOST_EXTRA = 16  # extra segments the allocation may consider
 HUB_ROUNDS = 2  # comparisons with single hubs before members are compared with each other
-SKETCH_BITS = 8  # per shingle of allowed difference, rounded up to a power of two
+SKETCH_BITS = 3  # per shingle of allowed difference, rounded to a power of two
+SPARE_BITS = 6  # of a signature's prefix, beyond what tells all signatures apart on average
 
 # --- sets
 
@@ -170,7 +171,7 @@ def signatures(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> np.nda
 
 def sketch(own: np.ndarray, percent: int) -> np.ndarray:
     """Parity of the number of shingles in each of a power of two of buckets, 64 to a word."""
-    words = 1 << max(0, math.ceil(math.log2(max(1, difference(2 * len(own), percent) * SKETCH_BITS / 64))))
+    words = 1 << max(0, round(math.log2(max(1, difference(2 * len(own), percent) * SKETCH_BITS / 64))))
     bucket = (_mix(own + np.uint64(0x1234567)) % np.uint64(words * 64)).astype(np.int64)
     odd = (np.bincount(bucket, minlength=words * 64) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view("<u8")
@@ -316,20 +317,26 @@ def near_duplicates(
 
     # equal sets are one node, named by their smallest id
     digest = ["n", "low", "high"]
+    rows = materialize(signed.select("doc_id", *digest, "sketch"), "set-digests")
     nodes = materialize(
-        signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes"
+        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes"
     )
     others = materialize(
-        signed.where("n > 0").select("doc_id", *digest).join(nodes.where("copies > 1"), digest).where("doc_id != node").select("doc_id"), "copies"
+        rows.where("n > 0").select("doc_id", *digest).join(nodes.where("copies > 1"), digest).where("doc_id != node").select("doc_id"), "copies"
     )
     members = signed.where("n > 0 AND doc_id IS NOT NULL").join(others, "doc_id", "left_anti").select(
         F.col("doc_id").alias("node"), F.explode("signatures").alias("signature")
     )
-    shared = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
-    members = materialize(members.join(shared, "signature", "left_semi"), "members")
+    # most signatures are met once; a prefix long enough for their number tells that, and
+    # what passes by chance has no other member to be compared with
+    expected = sum(n * GROWTH**k for k, n in counted.items() if k is not None)
+    prefix = F.shiftrightunsigned("signature", max(0, 64 - SPARE_BITS - math.ceil(math.log2(max(2, expected)))))
+    shared = members.select(prefix.alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+    members = materialize(members.join(shared, prefix == shared["prefix"], "left_semi"), "members")
+    release(signed)
 
     involved = members.select("node").distinct()
-    known = signed.select(F.col("doc_id").alias("node"), "n", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    known = rows.select(F.col("doc_id").alias("node"), "n", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
     members = materialize(members.join(known, "node").withColumn("component", F.col("node")), "placed-members")
 
     links = None
@@ -358,11 +365,12 @@ def near_duplicates(
         found = materialize(_linked(pairs, materialize(_sets(texts, words), "sets"), percent), "links")
         links = found if links is None else links.union(found)
         if round_ < HUB_ROUNDS:
-            members = materialize(_named(members.drop("component"), links), "placed-members")
+            placed = materialize(_named(members.drop("component"), links), "placed-members")
+            release(members)
+            members = placed
 
     named = nodes.withColumn("component", F.col("node")) if links is None else _named(nodes, links)
     named = named.select(*[F.col(c).alias(f"_{c}") for c in digest], "component")
-    rows = signed.select("doc_id", *digest)
     same = [rows[c] == named[f"_{c}"] for c in digest]
     return rows.join(named, same[0] & same[1] & same[2], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
