@@ -34,4 +34,13 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/deltascope-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that `materialize` wrote. Nothing that is still to be computed may read it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
