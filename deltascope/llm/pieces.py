@@ -23,7 +23,9 @@ from deltascope.llm import piece_model as pm
 from deltascope.llm.common import pruned
 
 THREADS = 2  # per task
-BATCH_CHARS = 400_000  # characters encoded at once: bounds memory, not results
+BATCH_CHARS = 200_000  # characters encoded at once: bounds memory, not results
+LONG_TEXT = 50_000  # longer texts are encoded from one white space to another
+ROWS = 256  # rows handled at once: bounds memory, not results
 VERIFY_EVERY = 8  # one row in so many is encoded by both libraries
 
 
@@ -41,7 +43,7 @@ def _merges(model: pm.PieceModel) -> list[tuple[str, str]]:
 
 def build(model: pm.PieceModel):
     """A tokenizers.Tokenizer that encodes and decodes like the model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     unknown = model.pieces[model.unknown][0]
     if model.kind == pm.BPE:
@@ -59,19 +61,60 @@ def build(model: pm.PieceModel):
         steps.append(normalizers.Prepend(pm.MARKER))
     steps.append(normalizers.Replace(" ", pm.MARKER))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if not any(pm.MARKER in p.lstrip(pm.MARKER) for p, _, kind in model.pieces if kind == pm.NORMAL):
-        # no piece goes on past a marker, so words can be encoded one by one and remembered
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{pm.MARKER}*[^{pm.MARKER}]+|{pm.MARKER}+"), "isolated")
     back = [decoders.Replace(pm.MARKER, " "), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else []))
     return tokenizer
 
 
+class Codec:
+    """A rebuilt tokenizer, applied to many texts of any length at once."""
+
+    def __init__(self, model: pm.PieceModel):
+        self.tokenizer = build(model)
+        # a text can be cut before a marker if no piece goes on past one, and the marker that
+        # opens every text stands in for the white space that was cut at
+        self.can_cut = model.add_dummy_prefix and not model.remove_extra_whitespaces and not model.charsmap and not any(
+            pm.MARKER in p.lstrip(pm.MARKER) for p, _, kind in model.pieces if kind == pm.NORMAL
+        )
+        self.opening = " " if model.add_dummy_prefix else ""
+        self.bytes = [
+            bytes([int(p[3:5], 16)]) if kind == pm.BYTE else p.replace(pm.MARKER, " ").encode() for p, _, kind in model.pieces
+        ]
+
+    def _cut(self, text: str) -> list[str]:
+        parts = []
+        while self.can_cut and len(text) > LONG_TEXT:
+            at = text.find(" ", LONG_TEXT)
+            if at < 0 or text[at - 1] in f" {pm.MARKER}":
+                break
+            parts.append(text[:at])
+            text = text[at + 1:]
+        return [*parts, text] if text or not parts else [*parts, ""]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self._cut(t) for t in texts]
+        found: list[np.ndarray] = []
+        for portion in _portions([p for own in parts for p in own]):
+            found.extend(np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(portion, add_special_tokens=False))
+        out, at = [], 0
+        for own in parts:
+            out.append(found[at] if len(own) == 1 else np.concatenate(found[at:at + len(own)]))
+            at += len(own)
+        return out
+
+    def decode(self, ids) -> str:
+        """The text of ids; as the tokenizer's own decoder has it where bytes are no valid text."""
+        try:
+            return b"".join([self.bytes[i] for i in ids]).decode().removeprefix(self.opening)
+        except UnicodeDecodeError:
+            return self.tokenizer.decode(list(ids), skip_special_tokens=False)
+
+
 @lru_cache(maxsize=2)
-def _codec(path: str, threads: int):
+def _codec(path: str, threads: int) -> Codec:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
-    return build(pm.load(path))
+    return Codec(pm.load(path))
 
 
 @lru_cache(maxsize=2)
@@ -96,39 +139,45 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
 
 def encode(
     docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text",
-    threads: int = THREADS, verify_every: int = VERIFY_EVERY,
+    threads: int = THREADS, verify_every: int = VERIFY_EVERY, decoded: bool = False,
 ) -> DataFrame:
     """Token ids of every whole text: doc_id, ids and parity, one row per row of `docs`.
 
     `parity` says whether the sentencepiece library gives the same ids; null for rows that
-    are not among those verified. Null and empty texts have no ids. Rows are encoded one by
-    one, so repeated rows get equal ids. An empty table gives no rows; other columns are not
-    read. A text without white space is one word to the model and takes time to match.
+    are not among those verified. With `decoded`, the text that the ids stand for is
+    returned too. Null and empty texts have no ids. Rows are encoded one by one, so repeated
+    rows get equal ids. An empty table gives no rows; other columns are not read. A text
+    without white space is one word to the model and takes memory in proportion.
     """
     whole = pruned(docs, id_column, text_column)
     kind = whole.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _codec(model_path, threads)
+        codec = _codec(model_path, threads)
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            ids, parity = [], []
-            for portion in _portions(texts):
-                ids.extend(np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast(portion, add_special_tokens=False))
-            for text, own in zip(texts, ids):
-                chosen = verify_every and zlib.crc32(text.encode("utf-8", "surrogatepass")) % verify_every == 0
-                parity.append(_original(model_path).encode(text) == own.tolist() if chosen else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "parity": pd.array(parity, dtype="boolean")})
-
-    return whole.mapInPandas(run, f"doc_id {kind}, ids array<int>, parity boolean")
-
-
-def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", threads: int = THREADS):
+            for start in range(0, len(batch), ROWS):
+                part = batch.iloc[start:start + ROWS]
+                texts = part["text"].fillna("").tolist()
+                ids = codec.encode(texts)
+                parity = []
+                for text, own in zip(texts, ids):
+                    chosen = verify_every and zlib.crc32(text.encode("utf-8", "surrogatepass")) % verify_every == 0
+                    parity.append(_original(model_path).encode(text) == own.tolist() if chosen else None)
+                out = pd.DataFrame({"doc_id": part["doc_id"].tolist(), "ids": ids, "parity": pd.array(parity, dtype="boolean")})
+                out["doc_id"] = out["doc_id"].astype(part["doc_id"].dtype)
+                if decoded:
+                    out["decoded"] = [codec.decode(own.tolist()) for own in ids]
+                yield out
+
+    return whole.mapInPandas(run, f"doc_id {kind}, ids array<int>, parity boolean" + ", decoded string" * decoded)
+
+
+def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", threads: int = THREADS) -> DataFrame:
     """`encoded` with the column `decoded`, the text its ids stand for; null ids give null."""
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _codec(model_path, threads)
+        codec = _codec(model_path, threads)
         for batch in batches:
-            yield pd.Series([None if ids is None else tokenizer.decode(ids.tolist(), skip_special_tokens=False) for ids in batch])
+            yield pd.Series([None if ids is None else codec.decode(ids.tolist()) for ids in batch], dtype=object)
 
     return encoded.withColumn("decoded", text(F.col(f"`{ids_column}`")))

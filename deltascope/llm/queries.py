@@ -190,9 +190,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder).select("doc_id", "text")
-    path = tokenizer_path("piece_bpe_32k.model")
-    encoded = pieces.decode(pieces.encode(documents, path), path)
-    # the original text is no part of the encoded rows: its hash is compared
+    encoded = pieces.encode(documents, tokenizer_path("piece_bpe_32k.model"), decoded=True)
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
         F.xxhash64("decoded").alias("decoded_hash"), "parity",

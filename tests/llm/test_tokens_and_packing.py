@@ -103,14 +103,15 @@ def test_pieces_agree_with_sentencepiece(make):
     import sentencepiece
 
     original = sentencepiece.SentencePieceProcessor(model_file=PIECES_PATH)
-    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (3, TEXTS[3]), (None, "x y")]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (3, TEXTS[3]), (None, "x y"), (101, "some words é  of a long text\n" * 9000), (102, "x " * 60000)]
+    own = {r["doc_id"]: r["decoded"] for r in pieces.encode(make(rows), PIECES_PATH, decoded=True).collect()}
     out = pieces.decode(pieces.encode(make(rows, extra=True), PIECES_PATH, verify_every=1), PIECES_PATH).collect()
     texts = dict(rows)
     assert len(out) == len(rows)
     for r in out:
         text = texts[r["doc_id"]] or ""
         assert r["parity"] is True and r["ids"] == original.encode(text)
-        assert r["decoded"] == text.replace("▁", " ")  # the marker stands for a space
+        assert r["decoded"] == own[r["doc_id"]] == text.replace("▁", " ")  # the marker stands for a space
     assert pieces.encode(make([]), PIECES_PATH).count() == 0
 
 
