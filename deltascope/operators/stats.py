@@ -8,6 +8,7 @@ from deltascope.functions import fixed
 from deltascope.functions.text import as_text, category_key, present, quoted, strip
 from deltascope.operators.periods import TimeAxis, amount, time_axis
 from deltascope.operators.quantiles import medians
+from deltascope.sources.materialize import materialize
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -79,19 +80,57 @@ def _pct(now: Column, before: Column) -> Column:
     return F.when(before != 0, 100 * (now - before) / before)
 
 
+def _in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """Rows dealt out by ranges of `order`, with the number of their range as `_part`.
+
+    Written, so that a row keeps its range whatever is computed again. Any whole number can
+    be an axis, so there may be as many periods as rows: nothing may need them in one task.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "in-order")
+
+
+def _with_previous(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """`before_<column>` of the row that comes before by `order`, within `by`.
+
+    Inside a range a window finds it; the first row of a range takes the last one of the
+    ranges before, a table of one row per range.
+    """
+    placed = _in_order(df, *[F.col(c) for c in by], F.col(order))
+    row = F.struct(*columns)
+    lasts = placed.groupBy("_part", *by).agg(F.max_by(row, order).alias("_last"))
+    ends = lasts.withColumn("_end", F.lag("_last").over(Window.partitionBy(*by, F.lit(0)).orderBy("_part"))).drop("_last")
+    inside = placed.withColumn("_row", F.lag(row).over(Window.partitionBy("_part", *by).orderBy(order)))
+    joined = inside.join(ends, ["_part", *by], "left")
+    before = F.coalesce("_row", "_end")
+    return joined.select(*df.columns, *[before[c].alias(f"before_{c}") for c in columns])
+
+
+def _ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` with its rows numbered from 1 in the order given."""
+    placed = _in_order(df, *order)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.join(offsets, "_part").withColumn("rank", (inside + F.col("_offset")).cast("int")).drop("_part", "_offset")
+
+
 def mean_vs_sum_change(df: DataFrame, metric: str, date_column: str, freq: str = "M") -> DataFrame:
     """Mean and sum per period, each with its change, side by side: they can disagree in
     sign, and then a sum must not stand in for a mean."""
     axis, value = time_axis(df, date_column, freq), _value(df, metric)
-    # periods are few whatever the table's size, so ordering them in one task is fine
-    order = Window.orderBy("period")
-    return (
+    periods = (
         df.filter(present(df, date_column) & present(df, metric) & axis.start.isNotNull())
         .groupBy(axis.start.alias("start"))
         .agg(F.avg(value).alias("mean"), F.sum(value).alias("total"))
-        .select(axis.label(F.col("start")).alias("period"), "mean", "total")
-        .withColumn("mean_pct_change", _pct(F.col("mean"), F.lag("mean").over(order)))
-        .withColumn("total_pct_change", _pct(F.col("total"), F.lag("total").over(order)))
+    )
+    return (
+        _with_previous(periods, [], "start", ["mean", "total"])
+        .select(
+            axis.label(F.col("start")).alias("period"), "mean", "total",
+            _pct(F.col("mean"), F.col("before_mean")).alias("mean_pct_change"),
+            _pct(F.col("total"), F.col("before_total")).alias("total_pct_change"),
+        )
         .withColumn(
             "opposite_signs",
             F.coalesce(F.signum("mean_pct_change") * F.signum("total_pct_change") < 0, F.lit(False)),
@@ -114,9 +153,8 @@ def series(df: DataFrame, metrics: list[str], date_column: str, freq: str = "M")
     last_year = long.select(
         "metric", _year_later(axis, F.col("start")).alias("start"), F.col("total").alias("year_before")
     )
-    order = Window.partitionBy("metric").orderBy("start")
     return (
-        long.withColumn("period_before", F.lag("total").over(order))
+        _with_previous(long, ["metric"], "start", ["total"]).withColumnRenamed("before_total", "period_before")
         .join(last_year.groupBy("metric", "start").agg(F.max("year_before").alias("year_before")), ["metric", "start"], "left")
         .select(
             "metric", axis.label(F.col("start")).alias("period"), "total",
@@ -142,18 +180,16 @@ def outlier_periods(df: DataFrame, metric: str, date_column: str, freq: str = "D
     """Periods ranked by how far their total lies from the mean of all periods, in standard
     deviations."""
     axis = time_axis(df, date_column, freq)
-    everything = Window.partitionBy()
-    ranked = Window.orderBy(F.desc(F.abs("z")), F.asc("period"))
-    spread = F.stddev_samp("total").over(everything)
-    return (
+    totals = materialize(
         df.filter(present(df, date_column) & present(df, metric) & axis.start.isNotNull())
-        .groupBy(axis.start.alias("start"))
-        .agg(F.sum(_value(df, metric)).alias("total"))
-        .select(axis.label(F.col("start")).alias("period"), "total")
-        .withColumn("z", F.when(spread > 0, (F.col("total") - F.avg("total").over(everything)) / spread).otherwise(0.0))
-        .withColumn("rank", F.row_number().over(ranked))
-        .withColumn("unusual", F.abs("z") >= threshold)
+        .groupBy(axis.start.alias("start")).agg(F.sum(_value(df, metric)).alias("total"))
+        .select(axis.label(F.col("start")).alias("period"), "total"), "period-totals"
     )
+    around = totals.agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("spread")).first()
+    distance = F.col("total") - F.lit(around["mean"])
+    z = distance / F.lit(around["spread"]) if around["spread"] else F.lit(0.0)
+    scored = totals.withColumn("z", z).withColumn("_far", F.abs("z"))
+    return _ranked(scored, F.desc("_far"), F.asc("period")).drop("_far").withColumn("unusual", F.abs("z") >= threshold)
 
 
 def slope(df: DataFrame, x: str, y: str) -> DataFrame:
