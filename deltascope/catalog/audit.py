@@ -226,6 +226,17 @@ def audit_attempts(spark, folder):
     return attempt_summary(_attempts(spark, folder))
 
 
+@query(f"""WITH {ATTEMPTS}, coarse AS (SELECT answer_id, ok, CASE WHEN step % 5 = 0 THEN NULL ELSE step // 2 END AS step FROM attempts),
+  islands AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY answer_id ORDER BY step NULLS LAST, ok ROWS UNBOUNDED PRECEDING) AS island FROM coarse),
+  runs AS (SELECT answer_id, max(n) AS longest FROM (SELECT answer_id, island, count(*) AS n FROM islands WHERE NOT ok GROUP BY ALL) GROUP BY 1)
+SELECT a.answer_id, coalesce(min(longest), 0) AS longest_failure_run FROM coarse a LEFT JOIN runs ON runs.answer_id = a.answer_id GROUP BY a.answer_id""")
+def audit_repeated_steps(spark, folder):
+    """Several attempts at one step, and attempts without a step."""
+    step = F.col("step")
+    coarse = _attempts(spark, folder).withColumn("step", F.when(step % 5 != 0, F.floor(step / 2)))
+    return g.longest_failure_runs(coarse)
+
+
 # ---------------------------------------------------------------- reports
 
 

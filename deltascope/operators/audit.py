@@ -100,17 +100,20 @@ def _join_runs(left: Column, right: Column) -> Column:
 def longest_failure_runs(attempts: DataFrame) -> DataFrame:
     """`(answer_id, longest_failure_run)`.
 
-    Stretches of `CHUNK` steps are summed up on their own, then stretches of stretches, so
-    that no task ever sees all attempts at one answer, however many there are.
+    Attempts go by their step. Of those that share a step the failures come first, and
+    attempts without a step follow all others, as one step; so a step is a stretch that two
+    counts describe. Stretches of `CHUNK` steps are summed up on their own, then stretches of
+    stretches: no task ever sees all attempts at one answer, however many there are.
     """
-    failure = F.when(F.col("ok"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    stretches = attempts.select(
-        "answer_id", F.col("step").cast("bigint").alias("step"),
-        F.struct(
-            F.lit(1).cast("bigint").alias("n"), failure.alias("head"), failure.alias("tail"), failure.alias("best")
-        ).alias("stretch"),
+    bounds = (attempts.agg(F.max(F.abs(F.col("step").cast("bigint")))).first()[0] or 0) + 1
+    failures = F.col("n") - F.col("worked")
+    stretches = (
+        attempts.groupBy("answer_id", F.coalesce(F.col("step").cast("bigint"), F.lit(bounds)).alias("step"))
+        .agg(F.count("*").alias("n"), F.count_if("ok").alias("worked"))
+        .select("answer_id", "step", F.struct(
+            "n", failures.alias("head"), F.when(F.col("worked") == 0, F.col("n")).otherwise(0).alias("tail"), failures.alias("best")
+        ).alias("stretch"))
     )
-    bounds = attempts.agg(F.max(F.abs(F.col("step").cast("bigint")))).first()[0] or 0
     nothing = F.struct(*[F.lit(0).cast("bigint").alias(name) for name in ("n", "head", "tail", "best")])
     while True:
         parts = F.array_sort(F.collect_list(F.struct("step", "stretch")))
