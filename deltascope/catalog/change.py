@@ -14,7 +14,7 @@ from deltascope.catalog import query, rounded, table
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
 from deltascope.functions import fixed
 from deltascope.operators.dimensions import folded_counts
-from deltascope.operators.filters import values_present
+from deltascope.operators.filters import require_rows, values_present
 from deltascope.operators.normalize import merged_spellings, spelling_counts
 from deltascope.operators.periods import time_axis, valid_rows
 
@@ -161,6 +161,15 @@ query(
     "change_orders_ranked",
 )(both_pairs(_ranked))
 
+query(
+    " UNION ALL ".join(
+        f"SELECT *, '{f}' AS freq FROM ("
+        + crossing_sql(r, f"SELECT {SHOWN} FROM (SELECT *, {RANK} AS place FROM {ALL_SLICES} WHERE change * sign(delta) > 0) WHERE place = 1")
+        + ")" for f, r in (("Y", YEARS), ("M", MONTHS))
+    ),
+    "change_orders_leading",
+)(both_pairs(lambda a: shown(reduce(DataFrame.unionByName, [a.leading(d) for d in [*a.dimensions, a.intersection_name]]))))
+
 query(both_sql(f"SELECT {SHOWN} FROM {measured('segments')} WHERE change * sign(delta) < 0"), "change_orders_counter_movers")(
     both_pairs(lambda a: shown(reduce(DataFrame.unionByName, [a.counter_movers(d) for d in a.dimensions])))
 )
@@ -405,6 +414,22 @@ def filter_values_present(spark, folder):
     )
 
 
+GUARDED = [("o_orderpriority", "2-HIGH"), ("o_orderpriority", "none such"), ("o_orderstatus", "f"), ("o_custkey", "17")]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS filter_column, '{v}' AS filter_value, count(*) AS n FROM orders WHERE lower(trim(CAST({c} AS VARCHAR))) = '{v.lower()}'" for c, v in GUARDED))
+def filter_empty_guard(spark, folder):
+    """Rows that a filter leaves; a filter that leaves none is an error, counted as 0."""
+    found = []
+    for column, value in GUARDED:
+        try:
+            found.append((column, value, require_rows(table(spark, folder, "orders"), [(column, value)]).count()))
+        except ValueError:
+            found.append((column, value, 0))
+    return spark.createDataFrame(found, "filter_column string, filter_value string, n bigint")
+
+
 # ---------------------------------------------------------------- plans
 
 

@@ -114,6 +114,22 @@ def profile_duplicates(spark, folder):
     return spark.createDataFrame([(k, count_duplicates(v)) for k, v in tables.items()], "table_name string, duplicate_rows bigint")
 
 
+@query("""SELECT 'orders' AS table_name, 'o_orderdate' AS name, 'date' AS semantic_type, strftime(min(o_orderdate), '%Y-%m-%d') AS low, strftime(max(o_orderdate), '%Y-%m-%d') AS high FROM orders
+UNION ALL SELECT 'orders', 'order_year', 'year', min(year(o_orderdate))::VARCHAR, max(year(o_orderdate))::VARCHAR FROM orders
+UNION ALL SELECT 'lineitem', 'l_shipdate', 'date', strftime(min(l_shipdate), '%Y-%m-%d'), strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem""")
+def profile_ranges(spark, folder):
+    """First and last value of date and year columns."""
+    frames = {
+        "orders": table(spark, folder, "orders").select("o_orderdate", F.year("o_orderdate").alias("order_year")),
+        "lineitem": table(spark, folder, "lineitem").select("l_shipdate"),
+    }
+    rows = [
+        (name, c.name, c.semantic_type, c.min[:10], c.max[:10])
+        for name, frame in frames.items() for c in profile(frame, duplicates=False).columns
+    ]
+    return spark.createDataFrame(rows, "table_name string, name string, semantic_type string, low string, high string")
+
+
 # The kinds of columns follow from facts that the SQL works out: the share of values that
 # parse, distinct values against rows, and so on, with the thresholds spelled out.
 @query(f"""WITH {PARSED}, facts AS (

@@ -107,6 +107,15 @@ def snapshot_round_trip(spark, folder):
     )
 
 
-@query("SELECT least(1000, count(*)) AS n FROM lineitem")
+@query("""SELECT 'rows' AS fact, least(1000, count(*)) AS n FROM lineitem UNION ALL SELECT 'rows of the table', least(1000, count(*)) FROM lineitem
+UNION ALL SELECT 'rows of a short table', count(*) FROM nation""")
 def preview_rows(spark, folder):
-    return preview(table(spark, folder, "lineitem")).agg(F.count("*").alias("n"))
+    """As many rows as asked for or there are, and every one of them a row of the table."""
+    lineitem = table(spark, folder, "lineitem")
+    shown = preview(lineitem)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    found = [
+        ("rows", shown.count()), ("rows of the table", shown.join(lineitem.select(*keys).distinct(), keys, "left_semi").count()),
+        ("rows of a short table", preview(table(spark, folder, "nation")).count()),
+    ]
+    return spark.createDataFrame(found, "fact string, n bigint")
