@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltascope.llm.common import ship_package
 from deltascope.llm.jaccard import drop_near_duplicates
 from deltascope.llm.line_dedup import without_repeats
 from deltascope.llm.packing import pack
@@ -31,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 0.8 of their five-word shingles, the smallest id stays."""
+    ship_package(spark)
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
@@ -41,6 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece lies in the sequences of 2048 tokens."""
+    ship_package(spark)
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import shutil
 import string
+import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import deltascope
 from deltascope.sources.materialize import materialize, release
 
-__all__ = ["WORD", "fold_ascii", "keep_where", "let", "materialize", "pruned", "release"]
+__all__ = ["WORD", "fold_ascii", "keep_where", "let", "materialize", "pruned", "release", "ship_package"]
 
 # fixed value: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,3 +49,17 @@ def keep_where(df: DataFrame, flag: str) -> DataFrame:
     """
     counted = df.observe(f"{flag}-{uuid.uuid4().hex}", F.count_if(flag).alias("kept"), F.count("*").alias("rows"))
     return counted.where(flag)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, for sessions that were
+    started without it on their path."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        _shipped.add(application)
+        package = Path(deltascope.__file__).parent
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp()).resolve() / package.name), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)

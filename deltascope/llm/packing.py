@@ -98,7 +98,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece, and its ids if asked for."""
-    fields = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer), np.array([END], dtype="<u4").tobytes()

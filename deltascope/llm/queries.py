@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltascope.llm import jaccard, language, licenses, line_dedup, packing, pieces, quality as quality_rules, secrets, token_counts
+from deltascope.llm.common import ship_package
 from deltascope.llm.digest_index import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
