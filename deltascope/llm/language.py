@@ -138,10 +138,13 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     frequency[list(counted)] = list(counted.values())
     idf = np.log((1 + documents) / (1 + frequency)) + 1
 
-    # thinned by a hash first, so that ranking within a language meets a bounded number of rows
-    sizes = labelled.groupBy("label").agg(F.count("*").alias("rows"))
+    # thinned by a hash first, within the scan, so that ranking within a language meets a
+    # bounded number of rows; the model has a column a language, so their counts are few
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, 4.0 * per_language / n)]) if sizes else None
     hashed = labelled.select("_id", "label", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 40)).alias("_order"))
-    thinned = hashed.join(sizes, "label").where(F.col("_order") < F.lit(float(1 << 40)) * F.lit(4.0 * per_language) / F.col("rows"))
+    share = F.lit(0.0) if shares is None else shares[F.col("label")]
+    thinned = hashed.where(F.col("_order") < F.lit(float(1 << 40)) * share)
     ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy("_order", "_id")))
     chosen = materialize(ranked.where(F.col("_rank") <= per_language).select(F.col("_id").alias("_chosen"), "_order").distinct(), "language-sample")
 
