@@ -33,12 +33,16 @@ def either_case(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of `pattern`, leftmost and non-overlapping, whose `group` has at least `least` characters."""
+    """Matches of `pattern`, leftmost and non-overlapping, whose `group` has at least `least` characters.
+
+    `beyond` is what is masked together with a match that it follows directly.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    beyond: str = ""
 
 
 # fixed patterns of the base kinds; the last two have their least length in the pattern
@@ -48,6 +52,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# what follows a key's header: all up to its END line; where that is missing, header fields and
+# lines of base64 and one word more, since the last line may be short. Loops are possessive: Java
+# runs these without recursion, however long the key
+_GAP = r"(?:[\s\"'`,>#*|+]|\\[nrt]?)*+"
+_BASE64 = r"(?:[A-Za-z0-9+/]{16,}+={0,2}+|(?<=\n)[A-Za-z0-9+/]++={0,2}+(?=\s*+(?:\n|\z)))"
+_KEY_BODY = (
+    r"[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_GAP}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:{_GAP}{_BASE64})++(?:{_GAP}[A-Za-z0-9+/]++={{0,2}}+)?+"
+)
 #: Well-known shapes of keys, added to the base kinds.
 RULES = BASE_RULES + (
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36}"),
@@ -55,7 +68,7 @@ RULES = BASE_RULES + (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", beyond=_KEY_BODY),
 )
 
 # --- trigram queries: a trigram, ("and", parts), ("or", parts), or None for "any text"
@@ -203,9 +216,12 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def _masked(text: Column, rule: Rule) -> Column:
+    def rest(gap: Column, i: Column) -> Column:
+        return F.when(i > 0, F.regexp_replace(gap, rf"\A(?:{rule.beyond})", "")).otherwise(gap) if rule.beyond else gap
+
     def rebuilt(m: Column) -> Column:
         parts = F.transform(m["gaps"], lambda gap, i: F.concat(
-            gap, F.coalesce(F.when(F.length(F.get(m["groups"], i)) >= rule.least, F.lit(MASK)).otherwise(F.get(m["hits"], i)), F.lit(""))
+            rest(gap, i), F.coalesce(F.when(F.length(F.get(m["groups"], i)) >= rule.least, F.lit(MASK)).otherwise(F.get(m["hits"], i)), F.lit(""))
         ))
         return F.array_join(parts, "")
 
@@ -248,9 +264,13 @@ def _no_spans() -> Column:
 
 
 def redact_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with every secret replaced by `MASK`; null texts stay null, other columns as they are."""
+    """The documents with every secret replaced by `MASK`; null texts stay null, other columns as they are.
+
+    Of a private key the body goes too, up to its END line or as far as its base64 goes.
+    """
     rows = _with_candidates(docs, id_column, text_column, rules)
-    for rule in rules:
+    # first the rules that look beyond a match, before another mask splits what they look at
+    for rule in sorted(rules, key=lambda r: not r.beyond):
         rows = rows.withColumn("_text", F.when(_possible(rule), _masked(F.col("_text"), rule)).otherwise(F.col("_text")))
     original = F.col("_doc").getField(text_column)
     return rows.select(*[
