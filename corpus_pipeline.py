@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of repeated chunks go; a document that loses its last word by it goes too."""
+    """Lines of repeated chunks go; exact copies, and documents that lose their last word by it, go whole."""
     return without_repeats(docs)
 
 

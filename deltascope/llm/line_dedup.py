@@ -53,9 +53,23 @@ def _chunks(lines: Column) -> Column:
     return let(lines, lambda all_lines: let(_starts(all_lines), lambda starts: cut(all_lines, starts)))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(_id, _of, first, after): all lines of every text with a word that a smaller id has too, byte for byte by SHA-256."""
+    digests = materialize(keyed.where(F.col("_text").rlike(_WORDED)).select(
+        "_id", "_of", F.sha2(F.col("_text").cast("binary"), 256).alias("digest"), F.size(F.split("_text", "\n")).alias("after")
+    ), "text-digests")
+    place = F.struct("_id")
+    kept = digests.groupBy("digest").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = digests.join(kept.hint("merge"), "digest").where(~place.eqNullSafe(F.col("kept")))
+    return later.select("_id", "_of", F.lit(0).alias("first"), "after")
+
+
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", copies: bool = False) -> DataFrame:
     """Cut repeated chunks out of every text: one row per row of `docs`.
 
+    With `copies`, a text that repeats another one as a whole loses all its lines, also those
+    in no chunk that competes; the smallest id keeps the text.
+
     Returns the columns of `docs` in the struct `_doc`, `clean_text`, `n_lines` and
     `n_removed_lines`. Lines are split at line feeds and compared as they are.
 
@@ -80,9 +94,13 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     place = F.struct("_id", "first", "_of")
     kept = suspects.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeats = suspects.join(kept, ["hash", "body"]).where(~place.eqNullSafe(F.col("kept")))
-    cuts = materialize(
-        repeats.groupBy("_id", "_of").agg(F.collect_set(F.struct("first", "after")).alias("_cuts")), "chunk-cuts"
-    ).select(F.col("_id").alias("_cut_id"), F.col("_of").alias("_cut_of"), "_cuts")
+    span = F.struct("first", "after")
+    found = repeats.select("_id", "_of", "first", "after", F.lit(False).alias("whole"))
+    if copies:
+        found = found.unionAll(_copies(keyed).withColumn("whole", F.lit(True)))
+    cuts = materialize(found.groupBy("_id", "_of").agg(
+        F.coalesce(F.max(F.when(F.col("whole"), F.array(span))), F.collect_set(span)).alias("_cuts")
+    ), "chunk-cuts").select(F.col("_id").alias("_cut_id"), F.col("_of").alias("_cut_of"), "_cuts")
 
     joined = keyed.join(cuts.hint("merge"), keyed["_id"].eqNullSafe(cuts["_cut_id"]) & (keyed["_of"] == cuts["_cut_of"]), "left")
     removed = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["after"] - 1)))
@@ -100,8 +118,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents with repeated chunks cut out; those left without a word by it are gone."""
-    cleaned = dedup_lines(docs, id_column, text_column)
+    """The documents with repeated chunks cut out; exact copies and those left without a word by it are gone."""
+    cleaned = dedup_lines(docs, id_column, text_column, copies=True)
     emptied = (F.col("n_removed_lines") > 0) & ~F.coalesce(F.col("clean_text").rlike(_WORDED), F.lit(False))
     return keep_where(cleaned.withColumn("_left", ~emptied), "_left").select(*[
         F.col("clean_text").alias(c) if c == text_column else F.col("_doc").getField(c).alias(c) for c in docs.columns

@@ -128,6 +128,21 @@ def test_line_dedup_of_repeated_ids_and_empty_tables(make):
     assert line_dedup.without_repeats(docs).columns == docs.columns
 
 
+def test_exact_copies_leave_nothing(make):
+    rng = random.Random(6)
+    pool = [f"line {i} of a pool of lines" for i in range(400)]
+    texts = ["\n".join(rng.choice(pool[20 * k:20 * k + 20]) for _ in range(rng.randint(1, 20))) for k in range(20)]
+    texts += ["\n\n".join(f"paragraph {k} {i}" for i in range(12)) for k in range(10)]  # blank lines between
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, t) for i, t in enumerate(texts)]
+    rows += [(100, texts[0]), (300, None), (301, None), (302, "\n"), (303, "\n"), (304, texts[0] + " "), (400, "twice"), (400, "twice"), (None, "no id"), (401, "no id")]
+    left = line_dedup.without_repeats(make(rows, extra=True)).select("doc_id", "text").collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(map(str, [*range(30), 300, 301, 302, 303, 304, 400, 400, None]))
+    expected = brute_line_dedup([(i, t) for i, t in enumerate(texts)])
+    assert all(r["text"] == expected[r["doc_id"]][0] for r in left if r["doc_id"] is not None and r["doc_id"] < 100)
+    counted = line_dedup.dedup_lines(make(rows), copies=True).where("_doc.doc_id >= 100 and _doc.doc_id < 300").collect()
+    assert all(r["clean_text"] == "" and r["n_removed_lines"] == r["n_lines"] for r in counted)
+
+
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 
