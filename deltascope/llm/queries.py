@@ -192,7 +192,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder).select("doc_id", "text")
-    encoded = pieces.encode(documents, tokenizer_path("piece_bpe_32k.model"), decoded=True)
+    encoded = pieces.encode(documents, tokenizer_path("piece_bpe_32k.model"), verify_every=1, decoded=True)
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
         F.xxhash64("decoded").alias("decoded_hash"), "parity",

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from deltascope.llm import packing, piece_model as pm, pieces, token_counts
+from deltascope.llm import packing, piece_model as pm, pieces, queries, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -115,6 +115,11 @@ def test_pieces_agree_with_sentencepiece(make):
     assert pieces.encode(make([]), PIECES_PATH).count() == 0
 
 
+def test_the_query_verifies_every_document(spark, make, tmp_path):
+    make([(i, f"document {i} é of a few words") for i in range(40)] + [(40, None), (41, "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["parity"] for r in queries.QUERIES["op3_sentencepiece"](spark, str(tmp_path)).collect()] == [True] * 42
+
+
 def test_unigram_model_is_rebuilt_too():
     model = pm.PieceModel((("<unk>", 0.0, pm.UNKNOWN), ("▁", -2.0, 1), ("a", -1.0, 1), ("▁ab", -1.5, 1), ("b", -1.2, 1)), pm.UNIGRAM, False, b"", True, True)
     assert pieces.build(model).encode("  ab  a ").tokens == ["▁ab", "▁", "a"]
