@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import jaccard, language, licenses, line_dedup, packing, pieces, quality as quality_rules, secrets, token_counts
+from deltascope.llm import (
+    jaccard, language, licenses, line_dedup, packing, personal_data, pieces, quality as quality_rules, secrets, token_counts, vector_codes,
+)
 from deltascope.llm.common import ship_package
 from deltascope.llm.digest_index import DigestIndex
 
@@ -202,3 +204,107 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, folder).select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def _personal_sql() -> str:
+    """Spans of every kind, from the texts between and inside its matches."""
+    luhn = """list_sum(list_transform(range(1, length(d) + 1), lambda i:
+        CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0"""
+    turned = "replace(hit, ' ', '')[5:] || replace(hit, ' ', '')[:4]"
+    rest = f"""list_reduce(list_prepend(0, list_transform(range(1, length({turned}) + 1), lambda i: ascii(({turned})[i]))), lambda total, c:
+        CASE WHEN c < 58 THEN (total * 10 + c - 48) % 97 ELSE (total * 100 + c - 55) % 97 END)"""
+    checks = {
+        "ip": f"regexp_matches(hit, '{personal_data.ADDRESS_RANGE}')",
+        "card": f"CASE WHEN length(d) BETWEEN 14 AND 19 THEN {luhn} ELSE false END",
+        "phone": "length(d) BETWEEN 10 AND 15",
+        "iban": f"{rest} = 1",
+        "bank": "hit <> '000000000' AND list_sum(list_transform(range(1, 10), lambda i: hit[i]::INT * [3, 7, 1][(i - 1) % 3 + 1])) % 10 = 0",
+    }
+    parts = []
+    for order, kind in enumerate(personal_data.KINDS):
+        pattern = f"'{kind.pattern}'"
+        near = f"(regexp_matches(right(before, {personal_data.BEFORE}), '{kind.context()}') OR regexp_matches(left(after, {personal_data.AFTER}), '{kind.context()}'))"
+        fits = [checks.get(kind.name, "true")]
+        if kind.alone:
+            fits.append("NOT regexp_matches(right(before, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(after, 1), '[A-Za-z0-9]')")
+        if not kind.base and kind.score < personal_data.LEAST_SCORE:
+            fits.append(near)
+        parts.append(f"""
+        SELECT doc_id, {order} AS o, '{kind.name}' AS kind, start, length(hit) AS n,
+               CASE WHEN {near} THEN {min(100, kind.score + personal_data.BOOST)} ELSE {kind.score} END AS score
+        FROM (SELECT doc_id, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS d, gaps[i] AS before, gaps[i + 1] AS after,
+                     list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
+              FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+                  SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}, 0) AS hits
+                  FROM texts WHERE regexp_matches(t, {pattern}))))
+        WHERE {" AND ".join(f"({f})" for f in fits)}""")
+    name = "kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT"
+    base = [k.name for k in personal_data.KINDS if k.base]
+    counted = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS ({" UNION ALL ".join(parts)}),
+    joined AS (
+        SELECT doc_id, {counted}, string_agg({name}, ',' ORDER BY start, o) AS spans,
+               string_agg(score, ',' ORDER BY start, o) AS scores, string_agg({name}, ',' ORDER BY start, o) FILTER (o < {len(base)}) AS base
+        FROM spans GROUP BY doc_id)
+    SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)},
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+    FROM texts t LEFT JOIN joined j ON t.doc_id = j.doc_id"""
+
+
+@query(_personal_sql())
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find_personal_data(_documents(spark, folder).select("doc_id", "text"))
+    base = [k.name for k in personal_data.KINDS if k.base]
+
+    def result(spans):
+        def listed(some):
+            return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+        return F.struct(
+            *[F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+            F.sha2(listed(F.filter(spans, lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"),
+            listed(spans).alias("spans"), F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"),
+        )
+
+    return found.select("_doc.doc_id", F.inline(F.transform(F.array("spans"), result)))
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    distance = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+    a{turn} AS MATERIALIZED (
+        SELECT p.vec_id, p.a, min({distance}::BIGINT * {entries} + c.e) AS least FROM cut p JOIN c{turn} c ON p.a = c.a GROUP BY p.vec_id, p.a)""")
+        if turn < rounds:
+            steps.append(f"""
+    s{turn} AS (
+        SELECT a, e, i, sum(x) AS s, count(*) AS n FROM (
+            SELECT p.a, k.least % {entries} AS e, unnest(p.x) AS x, unnest(range(1, len(p.x) + 1)) AS i
+            FROM cut p JOIN a{turn} k ON p.vec_id = k.vec_id AND p.a = k.a)
+        GROUP BY a, e, i),
+    m{turn} AS (SELECT a, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{turn} GROUP BY a, e),
+    c{turn + 1} AS MATERIALIZED (SELECT c.a, c.e, coalesce(m.x, c.x) AS x FROM c{turn} c LEFT JOIN m{turn} m ON c.a = m.a AND c.e = m.e)""")
+    return f"""
+    WITH kept AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    cut AS MATERIALIZED (SELECT vec_id, a, v[a * len(v) // {parts} + 1:(a + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS r(a)),
+    first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+    c0 AS MATERIALIZED (SELECT cut.a, first.e, cut.x FROM cut JOIN first ON cut.vec_id = first.vec_id),
+    {",".join(steps)},
+    coded AS (
+        SELECT vec_id, string_agg(printf('%02x', (least % {entries})::INT), '' ORDER BY a) AS code, sum(least // {entries})::BIGINT AS error
+        FROM a{rounds} GROUP BY vec_id),
+    book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY a, e)) AS codebooks_sha256 FROM c{rounds})
+    SELECT k.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM kept k JOIN coded ON k.vec_id = coded.vec_id, book"""
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    found = vector_codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    return found.codes.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
