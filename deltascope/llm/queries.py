@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltascope.llm import (
-    jaccard, language, licenses, line_dedup, packing, personal_data, pieces, quality as quality_rules, secrets, token_counts, vector_codes,
+    jaccard, language, licenses, line_dedup, packing, personal_data, pieces, quality as quality_rules, ranked_search, secrets,
+    token_counts, vector_codes,
 )
 from deltascope.llm.common import ship_package
 from deltascope.llm.digest_index import DigestIndex
@@ -308,3 +309,32 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     found = vector_codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label"))
     return found.codes.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+@query(rf"""
+    WITH split AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents WHERE text IS NOT NULL),
+    lengths AS (SELECT doc_id, len(w)::BIGINT AS n FROM split WHERE len(w) > 0),
+    totals AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS length FROM lengths),
+    counted AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM split) GROUP BY doc_id, term),
+    asked AS (
+        SELECT item_id, term, count(*)::BIGINT AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals),
+    valued AS (
+        SELECT c.doc_id, c.term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // length)) AS value
+        FROM counted c JOIN lengths l ON c.doc_id = l.doc_id, totals),
+    scored AS (
+        SELECT item_id, doc_id, sum(times * w * value)::BIGINT AS score
+        FROM asked a JOIN weights t ON a.term = t.term JOIN valued v ON a.term = v.term GROUP BY item_id, doc_id)
+    SELECT item_id, rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+    WHERE rank <= {ranked_search.TOP}""")
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_documents(spark, folder).select("doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet"))
