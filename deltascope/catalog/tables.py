@@ -4,7 +4,9 @@ Spark frame and once as SQL, and queries that read and write tables."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from deltascope import export_csv, preview, scan, write_snapshot
@@ -88,23 +90,80 @@ def csv_round_trip(spark, folder):
     return scan(spark, path).drop("Unnamed: 9")
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+@query("""SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '", ' || c_nationkey || chr(10) || chr(10) AS note,
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || chr(10) ELSE c_mktsegment END AS segment, c_acctbal FROM customer""")
+def csv_quoted_breaks(spark, folder):
+    """Line breaks, quotes and delimiters inside quoted fields; the files are split all the same."""
+    path, segment = _scratch(spark, "quoted", ".csv"), F.col("c_mktsegment")
+    note = F.concat("c_name", F.lit('\n"'), segment, F.lit('", '), F.col("c_nationkey").cast("string"), F.lit("\n\n"))
+    export_csv(table(spark, folder, "customer").select(
+        "c_custkey", note.alias("note"), F.when(F.col("c_custkey") % 3 == 0, F.concat(segment, F.lit("\n"))).otherwise(segment).alias("segment"), "c_acctbal",
+    ), path)
+    return scan(spark, path)
+
+
+ORDER_JSON = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders"""
+
+
+def _dated(orders: DataFrame) -> DataFrame:
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query(ORDER_JSON)
 def json_round_trip(spark, folder):
     path = _scratch(spark, "export", ".jsonl")
-    table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").write.json(path)
-    return scan(spark, path).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    _dated(table(spark, folder, "orders")).write.json(path)
+    return scan(spark, path)
+
+
+@query(ORDER_JSON.replace(" FROM orders", ", '}' || o_orderkey || ' [\"' AS note, o_orderpriority || '|]' AS parts FROM orders"))
+def json_documents(spark, folder):
+    """Files that hold one JSON array each, without a line break between its objects."""
+    def as_array(batches):
+        opened = False
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_pydict({"value": ["," * (opened or i > 0) + "[" * (not opened and i == 0) + t for i, t in enumerate(texts)]})
+                opened = True
+        yield pa.RecordBatch.from_pydict({"value": ["]" if opened else "[]"]})
+
+    path = _scratch(spark, "documents", ".json")
+    extra = F.struct(
+        F.concat(F.lit("}"), F.col("o_orderkey").cast("string"), F.lit(' ["')).alias("note"), F.array("o_orderpriority", F.lit("]")).alias("parts")
+    )
+    orders = _dated(table(spark, folder, "orders")).withColumn("extra", extra)
+    orders.select(F.to_json(F.struct(*orders.columns)).alias("value")).mapInArrow(as_array, "value string").write.option("lineSep", " ").text(path)
+    found = scan(spark, path)
+    return found.withColumn("note", F.col("extra.note")).withColumn("parts", F.array_join("extra.parts", "|")).drop("extra")
 
 
-@query(f"""WITH {PARSED} SELECT count(*) AS n, round(sum(amount), 2) AS amount,
-  CAST(count(DISTINCT o_orderkey) AS BIGINT) AS keys FROM parsed""")
+@query(f"""WITH {PARSED} SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice, o_orderstatus,
+  priority, price, day, finished, round(amount, 2) AS amount FROM parsed""")
 def snapshot_round_trip(spark, folder):
     from deltascope import coerce_numeric
 
     messy = messy_orders(spark, folder)
     snapshot = write_snapshot(messy.withColumn("amount", coerce_numeric(F.col("price"))), _scratch(spark, "snapshot", ".parquet"))
-    return rounded(
-        snapshot.agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.count_distinct("o_orderkey").alias("keys")), 2, ["amount"]
-    )
+    return _dated(rounded(snapshot, 2, ["amount"])).drop("Unnamed: 9")
+
+
+@query("""SELECT c_custkey, c_name, c_mktsegment, 'tab' AS read_as FROM customer UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'bar' FROM customer
+UNION ALL SELECT NULL, 'Unsupported file type: .xml', NULL, 'error'""")
+def scan_by_suffix(spark, folder):
+    """Delimiters by suffix and by the header line; an unknown suffix is an error."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    tab, bar = _scratch(spark, "tabs", ".tsv"), _scratch(spark, "bars", ".txt")
+    customer.write.options(header=True, sep="\t").csv(tab)
+    customer.write.options(header=True, sep="|").csv(bar)
+    try:
+        scan(spark, f"{folder}/customer.xml")
+        message = "read"
+    except ValueError as error:
+        message = str(error)
+    failed = spark.createDataFrame([(None, message, None)], customer.schema)
+    frames = {"tab": scan(spark, tab), "bar": scan(spark, bar), "error": failed}
+    return reduce(DataFrame.unionByName, [f.withColumn("read_as", F.lit(name)) for name, f in frames.items()])
 
 
 @query("""SELECT 'rows' AS fact, least(1000, count(*)) AS n FROM lineitem UNION ALL SELECT 'rows of the table', least(1000, count(*)) FROM lineitem

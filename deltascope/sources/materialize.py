@@ -30,9 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder.name
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, under one subfolder per application."""
+    return f"{shared_folder(spark)}/deltascope-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/deltascope-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from deltascope.functions import fixed
 from deltascope.functions.text import plain_number, quoted
+from deltascope.sources.materialize import materialize, scratch
+from deltascope.sources.records import JSON, csv_grammar, open_field, read_records
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -29,28 +31,54 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """`.jsonl` is one document per line and splits; a `.json` document is read whole."""
-    whole = path.rstrip("/").lower().endswith(".json")
-    return spark.read.option("multiLine", whole).json(path)
+    """`.jsonl` has one document per line. A `.json` document is an array of objects, or one
+    object, laid out in any way; it is cut into lines by many tasks and written once."""
+    if not path.rstrip("/").lower().endswith(".json"):
+        return spark.read.json(path)
+    # a raw line break cannot be part of a JSON string, so it is mere layout
+    objects = read_records(spark, path, JSON).where(F.col("text").contains("{"))
+    line = F.regexp_replace(F.concat(F.regexp_replace("text", r"\A[^{]*+", ""), F.lit("}")), r"[\r\n]+", " ")
+    lines = scratch(spark, "json-lines")
+    objects.select(line.alias("value")).write.text(lines)
+    return spark.read.json(lines)
 
 
 def scan_csv(
-    spark: SparkSession, path: str, sep: str | None = None, infer_types: bool = True, multi_line: bool = False
+    spark: SparkSession, path: str, sep: str | None = None, infer_types: bool = True, multi_line: bool | None = None
 ) -> DataFrame:
     """Delimited text with a header line.
 
     Everything is read as text, the strings that stand for null become null, and a column
     whose remaining values are all plain numbers (or all true/false) is then read as such.
-    `multi_line` allows line breaks inside quotes, at the price of one task per file.
+
+    Quoted fields may hold line breaks. Whether any does is found out unless `multi_line`
+    says so; if so, the files are cut into records by many tasks and written once, and line
+    breaks inside quotes stay as they are in the file.
     """
     if sep is None:
         sep = "\t" if path.lower().endswith(".tsv") else sniff_delimiter(spark, path)
-    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line).csv(path)
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path, sep)
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+    raw = spark.read.options(header=True, **options).csv(path)
+    if multi_line:
+        # of the reader itself only the header is used, which takes the first record
+        names = raw.columns
+        record = F.when(F.col("text").endswith("\r"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+        cells = F.from_csv(record, ", ".join(f"c{i} string" for i in range(len(names))), options)
+        rows = read_records(spark, path, csv_grammar(sep)).where(~F.col("first")).select(cells.alias("cells"))
+        raw = materialize(rows.select("cells.*"), "csv-records").toDF(*names)
     raw = raw.toDF(*[name or f"Unnamed: {i}" for i, name in enumerate(_header(raw))])
     nulled = raw.select(*[_null_strings(F.col(quoted(c))).alias(c) for c in raw.columns])
     return _typed(nulled) if infer_types else nulled
 
 
+def has_quoted_breaks(spark: SparkSession, path: str, sep: str) -> bool:
+    """Does a line end inside quotes? While none does, every line begins outside."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.where(F.col("value").contains('"') & F.col("value").rlike(open_field(sep))).isEmpty()
+
+
 def _header(raw: DataFrame) -> list[str]:
     """A nameless header cell is called `_cN` by the reader; name it like a spreadsheet does."""
     return [None if name == f"_c{i}" else name for i, name in enumerate(raw.columns)]
