@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from deltascope import coerce_numeric, parse_dates, prepare, profile, quality_issues, time_axes
 from deltascope.catalog import query, rounded, table
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
-from deltascope.operators.profile import numeric_figures, rollup_levels, sample_values, top_values, value_counts
+from deltascope.operators.profile import rollup_levels, sample_values, top_values, value_counts
 from deltascope.operators.roles import dimension_candidates, granularity, metric_candidates, time_axis_candidates
 
 COLUMNS = {

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from deltascope.functions.text import as_text, coerce_numeric, quoted
 from deltascope.functions.time import parse_dates
 from deltascope.operators.duplicates import count_duplicates, deduplicate
 from deltascope.operators.profile import ColumnProfile, TableProfile, profile
+from deltascope.sources.materialize import materialize
 from deltascope.sources.sinks import write_snapshot
 
 
@@ -81,35 +82,46 @@ def prepare(
 ) -> PreparedData:
     """Parse text that holds numbers or dates, drop empty columns, then drop repeated rows.
 
-    The cleaned table is one projection over the source, plus a distinct when there is
-    anything to remove. With `snapshot`, the parsed table is written to that path and read
-    from there: worth it where parsing a large text source again for every use is not.
+    The source is read once for the profile, unless that is given, and once to be parsed. The
+    parsed table is written, to `snapshot` if that is given, and what could not be parsed is
+    counted on the way; repeated rows are looked for in what was written.
     """
     # the copies that matter are those left after parsing, so the raw ones are not counted
     prof = profile(df, duplicates=not drop_duplicate_rows) if prof is None else prof
     actions, parsed = [], conversions(df, prof)
-    failures = failed_conversions(df, parsed)
+    names = {name: f"_parsed{i}" for i, name in enumerate(parsed)}
+    # conversions are worked out first, under names of their own, so that counting what
+    # failed and writing what did not use the same values
+    worked = df.select("*", *[column.alias(names[name]) for name, (_, column) in parsed.items()])
+    seen = Observation()
+    if parsed:
+        worked = worked.observe(seen, *[
+            F.count_if(F.col(names[name]).isNull() & F.col(quoted(name)).isNotNull()).alias(names[name]) for name in parsed
+        ])
     keep = []
     for c in prof.columns:
         if c.name not in df.columns:
             continue
         if c.semantic_type == "empty":
-            actions.append(CleaningAction("drop_column", f"Dropped '{c.name}', which holds no value"))
+            actions.append((prof.names.index(c.name), CleaningAction("drop_column", f"Dropped '{c.name}', which holds no value")))
             continue
         if c.name in parsed:
-            target, column = parsed[c.name]
-            text = f"Read the text in '{c.name}' as {target}"
-            if failures[c.name] > 0:
-                text += f"; {failures[c.name]:,} value(s) did not parse and are now missing"
-            actions.append(CleaningAction(f"parse_{target}", text, prof.n_rows))
-            keep.append(column.alias(c.name))
+            keep.append(F.col(names[c.name]).alias(c.name))
         else:
             keep.append(F.col(quoted(c.name)))
     known = {c.name for c in prof.columns}
     keep += [F.col(quoted(c)) for c in df.columns if c not in known]
-    frame, removed = df.select(*keep), 0
-    if snapshot is not None:
-        frame = write_snapshot(frame, snapshot)
+    frame, removed = worked.select(*keep), 0
+    frame = materialize(frame, "prepared") if snapshot is None else write_snapshot(frame, snapshot)
+    failures = seen.get if parsed else {}
+    parses = []
+    for name, (target, _) in parsed.items():
+        text = f"Read the text in '{name}' as {target}"
+        if failures[names[name]]:
+            text += f"; {failures[names[name]]:,} value(s) did not parse and are now missing"
+        parses.append((prof.names.index(name), CleaningAction(f"parse_{target}", text, prof.n_rows)))
+    # as the columns stand in the table
+    actions = [a for _, a in sorted([*actions, *parses], key=lambda a: a[0])]
     if drop_duplicate_rows:
         frame, removed = deduplicate(frame)
         if removed:
@@ -125,15 +137,3 @@ def prepare(
                 CleaningAction("keep_duplicates", f"Kept {repeated:,} repeated row(s), which totals count more than once")
             )
     return PreparedData(frame, actions, prof.n_rows, prof.n_rows - removed)
-
-
-def failed_conversions(df: DataFrame, parsed: dict[str, tuple[str, Column]]) -> dict[str, int]:
-    """Values that were there before a conversion and are not after it, for all columns in
-    one aggregate."""
-    if not parsed:
-        return {}
-    row = df.agg(*[
-        F.count_if(column.isNull() & F.col(quoted(name)).isNotNull()).alias(f"f{i}")
-        for i, (name, (_, column)) in enumerate(parsed.items())
-    ]).first()
-    return {name: row[f"f{i}"] for i, name in enumerate(parsed)}

@@ -1,8 +1,10 @@
 """Profiling: what kind of column each one is, and what is wrong with it.
 
-The kinds follow from a table of distinct values with their row counts, built per family of
-types: numbers and times are grouped as eight-byte values, and rules that look at text run
-once per distinct value rather than once per row.
+Everything follows from a table of cells: the distinct values of all columns with their row
+counts, and what the rules ask of each value, worked out once per distinct value rather than
+once per row. It is written by one scan of the source; facts, commonest and smallest values,
+means, deviations and medians are aggregates of it. The source is read again only for long
+texts, of which a cell has no more than a digest, and to look for repeated rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from deltascope.functions import fixed
 from deltascope.functions.text import as_text, clean_text, is_datetime, is_floating, plain_number, present, quoted, strip
 from deltascope.functions.time import parse_trimmed_dates
 from deltascope.operators.duplicates import count_duplicates
-from deltascope.operators.quantiles import SORT_AT_MOST, few_valued_medians, medians
+from deltascope.operators.quantiles import group_medians
+from deltascope.sources.materialize import materialize
 
 NOTES = {
     "empty": "no value at all",
@@ -320,44 +323,50 @@ def smallest_values(df: DataFrame, columns: list[str], n: int = fixed.SAMPLE_VAL
 # ---------------------------------------------------------------- kinds of columns
 
 
-def _distinct_cells(df: DataFrame, exact: bool) -> DataFrame:
-    """`(position, rows, instant, number, characters, is_date, is_amount, is_flag, present, mark)`:
-    one row per distinct value and column, null being a value, or one per cell when counts
-    need not be exact.
+FACTS = ("number", "characters", "is_date", "is_amount", "is_flag")
 
-    A long text is grouped by its digest, so its facts are worked out before the digest takes
-    its place; those of a short one afterwards, once per distinct value. The rules are the
-    same for both.
+
+def _cells(df: DataFrame, exact: bool) -> DataFrame:
+    """`(position, rows, instant, number, text, long, characters, is_date, is_amount, is_flag,
+    present, mark)`: one row per distinct value and column, null being a value, or one per
+    cell when counts need not be exact.
+
+    Each family of types is grouped by itself, so that numbers and times stay eight bytes;
+    together they read every column once. A long text is grouped by its digest, so its facts
+    are worked out before the digest takes its place; those of a short one afterwards, once
+    per distinct value. The rules are the same for both. Of a long text `text` has the first
+    characters only.
     """
     cell, parts = F.col("cell"), []
-    names = ("number", "characters", "is_date", "is_amount", "is_flag")
     for family, types, flat in _families(df, df.columns):
+        key, carried = ["position", "cell"], []
         if family == "text":
-            is_long = F.length(cell) > DIGEST_ABOVE
-            facts = _text_facts(cell, types)
+            is_long, facts = F.length(cell) > DIGEST_ABOVE, _text_facts(cell, types)
+            # a short text could look like a digest, so which it is belongs to the key
+            key, carried = [*key, "long"], ["begins", *FACTS]
             flat = flat.select(
                 "position", F.when(is_long, F.sha2(cell, 256)).otherwise(cell).alias("cell"),
-                F.coalesce(is_long, F.lit(False)).alias("long"), *[F.when(is_long, facts[n]).alias(n) for n in names],
+                F.coalesce(is_long, F.lit(False)).alias("long"), F.when(is_long, F.substring(cell, 1, BOUND_CHARACTERS)).alias("begins"),
+                *[F.when(is_long, facts[n]).alias(n) for n in FACTS],
             )
-            if exact:
-                # a short text could look like a digest, so which it is belongs to the key
-                flat = flat.groupBy("position", "cell", "long").agg(F.count("*").alias("rows"), *[F.max(n).alias(n) for n in names])
-            facts = [F.when(F.col("long"), F.col(n)).otherwise(facts[n]).alias(n) for n in names]
+        if exact:
+            flat = flat.groupBy(*key).agg(F.count("*").alias("rows"), *[F.max(n).alias(n) for n in carried])
         else:
-            if exact:
-                flat = flat.groupBy("position", "cell").agg(F.count("*").alias("rows"))
-            no, none = F.lit(False), F.lit(None)
-            facts = [
-                c.alias(n) for n, c in
-                zip(names, (_by_type(types, lambda t: _number_of(t, cell)), none.cast("int"), no, none.cast("boolean"), none.cast("boolean")))
-            ]
-        if not exact:
             flat = flat.withColumn("rows", F.lit(1).cast("bigint"))
+        if family == "text":
+            facts = [F.when(F.col("long"), F.col(n)).otherwise(facts[n]).alias(n) for n in FACTS]
+            text, long = F.when(F.col("long"), F.col("begins")).otherwise(cell), F.col("long")
+        else:
+            no, none = F.lit(False), F.lit(None)
+            typed = (_by_type(types, lambda t: _number_of(t, cell)), none.cast("int"), no, none.cast("boolean"), none.cast("boolean"))
+            facts = [c.alias(n) for n, c in zip(FACTS, typed)]
+            text, long = none.cast("string"), no
         parts.append(flat.select(
-            "position", "rows", (cell if family == "whole" else F.lit(None).cast("bigint")).alias("instant"), *facts,
-            cell.isNotNull().alias("present"), F.xxhash64(cell).alias("mark"),
+            "position", "rows", (cell if family == "whole" else F.lit(None).cast("bigint")).alias("instant"), text.alias("text"),
+            long.alias("long"), *facts, cell.isNotNull().alias("present"), F.xxhash64(cell).alias("mark"),
         ))
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts)
+    return materialize(found, "cells") if exact else found
 
 
 def _text_facts(cell: Column, types: dict[int, T.DataType]) -> dict[str, Column]:
@@ -372,11 +381,10 @@ def _text_facts(cell: Column, types: dict[int, T.DataType]) -> dict[str, Column]
     }
 
 
-def _facts(df: DataFrame, exact: bool) -> DataFrame:
+def _facts(cells: DataFrame, exact: bool) -> DataFrame:
     """Facts about the values of each column, weighted by rows: one row per column.
 
-    All of these are hash aggregates on fixed-width buffers, so distinct values are shuffled
-    once and never sorted.
+    All of these are hash aggregates on fixed-width buffers, combined before anything moves.
     """
     rows = F.col("rows")
 
@@ -387,7 +395,7 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
         unique = F.count_if("present")
     else:
         unique = F.approx_count_distinct(F.when(F.col("present"), F.col("mark")), 0.01)
-    return _distinct_cells(df, exact).groupBy("position").agg(
+    return cells.groupBy("position").agg(
         F.sum("rows").alias("n_rows"),
         weigh(F.col("present")).alias("non_null"),
         unique.alias("unique_count"),
@@ -402,6 +410,10 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
         weigh(F.col("is_amount")).alias("n_amounts"),
         F.coalesce(F.bool_and("is_flag"), F.lit(False)).alias("all_flags"),
         F.sum(F.col("characters") * rows).alias("characters"),
+        F.sum(F.col("number") * rows).alias("total"),
+        weigh(F.col("number") == 0).alias("zero_count"),
+        F.coalesce(F.max(F.col("number") < 0), F.lit(False)).alias("has_negatives"),
+        F.bool_or("long").alias("has_long"),
     )
 
 
@@ -444,10 +456,10 @@ def semantic_type() -> Column:
     )
 
 
-def _note(row: Row) -> str | None:
+def _note(row: Row, samples: list[str]) -> str | None:
     semantic, kind = row["semantic_type"], row["kind"]
     if semantic == "constant":
-        return f"single value: {row['samples'][0]['value']}"
+        return f"single value: {samples[0]}"
     if semantic == "identifier" and kind == "number":
         return NOTES["identifier_number"]
     if semantic == "numeric" and row["code_named"]:
@@ -476,8 +488,10 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
         ],
         "position int, name string, dtype string, kind string, code_named boolean, year_named boolean",
     )
-    facts = _facts(df, exact)
-    columns = meta.join(facts, "position", "left").fillna(0, ["n_rows", "non_null", "unique_count", "n_clean"])
+    if not fields:
+        return TableProfile(spark, 0, [], None, exact)
+    cells = _cells(df, exact)
+    columns = meta.join(_facts(cells, exact), "position", "left").fillna(0, ["n_rows", "non_null", "unique_count", "n_clean"])
     columns = columns.withColumn("semantic_type", semantic_type())
     for end in ("min", "max"):
         instant = F.col(f"{end}_instant")
@@ -485,12 +499,14 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
             f"{end}_time",
             F.when(F.col("dtype") == "date", _text_of(T.DateType(), instant)).otherwise(_text_of(T.TimestampType(), instant)),
         )
-    rows = _with_values(df, columns.orderBy("position").collect())
+    rows = columns.orderBy("position").collect()
+    numeric = [r for r in rows if r["semantic_type"] == "numeric"]
+    if exact:
+        values, figures = _values(df, cells, rows), _figures(cells, numeric)
+    else:
+        values, figures = _screened_values(df, rows), estimated_figures(df, [r["name"] for r in numeric])
     n_rows = max((r["n_rows"] for r in rows), default=0)
-    numeric = {r["name"] for r in rows if r["semantic_type"] == "numeric"}
-    distinct = {r["name"]: r["unique_count"] for r in rows}
-    figures = numeric_figures(df, [f.name for f in fields if f.name in numeric], exact, distinct)
-    profiles = [_column(r, n_rows, figures.get(r["name"], {})) for r in rows]
+    profiles = [_column(r, n_rows, values, figures.get(r["name"], {})) for r in rows]
     table = TableProfile(spark, n_rows, profiles, None, exact)
     if duplicates and exact:
         # a table with a key cannot hold two equal rows
@@ -498,79 +514,116 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
     return table
 
 
-def _with_values(df: DataFrame, rows: list[Row]) -> list[Row]:
-    """Add the commonest and the smallest values.
+Values = dict[tuple[str, int], list[Row]]  # the commonest ("top") and smallest ("samples") values by position
+
+
+def _gathered(top: DataFrame | None, samples: DataFrame | None) -> Values:
+    """A handful of rows per column, in order."""
+    parts = [frame.withColumn("part", F.lit(name)) for name, frame in (("top", top), ("samples", samples)) if frame is not None]
+    found: Values = {}
+    if parts:
+        for v in sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda v: v["rank"]):
+            found.setdefault((v["part"], v["position"]), []).append(v)
+    return found
+
+
+def _values(df: DataFrame, cells: DataFrame, rows: list[Row]) -> Values:
+    """The commonest values of categories and the smallest of all columns, from the cells.
+
+    Columns that hold long texts take one more scan, for all of them together: their smallest
+    values cannot begin later than the smallest cells do.
+    """
+    types = {r["position"]: df.schema[r["name"]].dataType for r in rows}
+
+    def value(data_type: T.DataType) -> Column:
+        family = _family(data_type)
+        return F.col("text") if family == "text" else _text_of(data_type, F.col("instant" if family == "whole" else "number"))
+
+    place = F.when(F.col("position").isin([i for i, t in types.items() if not isinstance(t, T.StringType)]), F.coalesce(F.col("instant").cast("double"), "number"))
+    counts = cells.select("position", _by_type(types, value).alias("value"), place.alias("place"), "rows")
+    ranked = [r["position"] for r in rows if r["semantic_type"] in RANKED]
+    long = [r for r in rows if r["has_long"]]
+    brief = [i for i in ranked if i not in {r["position"] for r in long}]
+    found = _gathered(top_values(counts.where(F.col("position").isin(brief))) if brief else None, sample_values(counts))
+    if not long:
+        return found
+    limited = []
+    for r in long:
+        column, smallest = as_text(df, r["name"]), found.get(("samples", r["position"]), [])
+        if r["position"] not in ranked and len(smallest) == fixed.SAMPLE_VALUES:
+            bound = smallest[-1]["value"][:BOUND_CHARACTERS]
+            column = F.when(F.substring(column, 1, BOUND_CHARACTERS) <= F.lit(bound), column)
+        limited.append(column.alias(r["name"]))
+    whole = materialize(value_counts(df.select(*limited)), "long-values")
+    home = F.create_map(*[F.lit(x) for i, r in enumerate(long) for x in (i, r["position"])])
+    whole = whole.withColumn("position", home[F.col("position")])
+    top = [i for i in ranked if i not in brief]
+    return found | _gathered(top_values(whole.where(F.col("position").isin(top))) if top else None, sample_values(whole))
+
+
+def _screened_values(df: DataFrame, rows: list[Row]) -> Values:
+    """The same without a table of cells.
 
     Commonest values are counted only for columns that are categories, and the smallest ones
     of long columns come from a search that does not sort them.
     """
     listed = [r["name"] for r in rows if 0 < r["unique_count"] <= LISTED_DISTINCT]
     long = [r["name"] for r in rows if r["unique_count"] > LISTED_DISTINCT]
-    ranked = [r["name"] for r in rows if r["name"] in long and r["semantic_type"] in ("categorical", "boolean")]
-    found: dict[str, dict[int, list]] = {"top": {}, "samples": {}}
-
-    def collect(name: str, frame: DataFrame) -> DataFrame:
-        return frame.withColumn("part", F.lit(name))
-
-    parts = []
-    if listed:
-        counts = value_counts(df, listed)
-        parts += [collect("top", top_values(counts)), collect("samples", sample_values(counts))]
-    if ranked:
-        parts.append(collect("top", top_values(value_counts(df, ranked))))
-    if long:
-        parts.append(collect("samples", smallest_values(df, long)))
-    if parts:
-        # a handful of rows per column
-        for v in reduce(DataFrame.unionByName, parts).collect():
-            found[v["part"]].setdefault(v["position"], []).append(v)
-    return [
-        Row(**r.asDict(), **{
-            name: sorted(values.get(r["position"], []), key=lambda v: v["rank"])
-            for name, values in (("top_values", found["top"]), ("samples", found["samples"]))
-        })
-        for r in rows
-    ]
+    ranked = [r["name"] for r in rows if r["semantic_type"] in RANKED]
+    counts = value_counts(df, listed) if listed else None
+    samples = [f for f in (sample_values(counts) if listed else None, smallest_values(df, long) if long else None) if f is not None]
+    top = [top_values(c) for c in (counts, value_counts(df, [c for c in ranked if c in long]) if set(ranked) & set(long) else None) if c is not None]
+    return _gathered(reduce(DataFrame.unionByName, top) if top else None, reduce(DataFrame.unionByName, samples) if samples else None)
+
+
+RANKED = ("categorical", "boolean")
 
 
-def numeric_figures(df: DataFrame, columns: list[str], exact: bool = True, distinct: dict[str, int] | None = None) -> dict[str, dict]:
-    """Min, max, mean, median, standard deviation, zeros and negatives of numeric columns, in
-    one aggregate without a shuffle of rows. The median of a column known to have few
-    distinct values is part of it; that of any other takes a search of its own."""
+def _figures(cells: DataFrame, numeric: list[Row]) -> dict[str, dict]:
+    """Figures of numeric columns: most are facts already, deviations and medians follow from the cells."""
+    if not numeric:
+        return {}
+    means = {r["position"]: r["total"] / r["n_numbers"] for r in numeric}
+    mean = F.create_map(*[F.lit(x) for p, m in means.items() for x in (p, m)])[F.col("position")]
+    numbers = cells.where(F.col("position").isin(list(means)) & F.col("number").isNotNull()).select("position", "number", "rows")
+    squares = numbers.groupBy("position").agg(F.sum(F.pow(F.col("number") - mean, 2) * F.col("rows")).alias("squares"))
+    medians = group_medians(numbers.select(F.col("position").alias("group"), F.col("number").alias("value"), "rows"))
+    spread = {r["position"]: r["squares"] for r in squares.collect()}
+    middle = {r["group"]: r["median"] for r in medians.collect()}
+    return {
+        r["name"]: {
+            "min": r["min_number"], "max": r["max_number"], "mean": means[r["position"]], "median": middle[r["position"]],
+            "std": (spread[r["position"]] / (r["n_numbers"] - 1)) ** 0.5 if r["n_numbers"] > 1 else None,
+            "zero_count": r["zero_count"], "has_negatives": r["has_negatives"],
+        }
+        for r in numeric
+    }
+
+
+def estimated_figures(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Figures of numeric columns in one aggregate without a shuffle of rows; the median is estimated."""
     if not columns:
         return {}
-    distinct = distinct or {}
-    few = [c for c in columns if distinct.get(c, SORT_AT_MOST + 1) <= SORT_AT_MOST]
     aggregates = []
     for i, name in enumerate(columns):
         value = F.when(present(df, name), F.col(quoted(name)).cast("double"))
         aggregates += [
             F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}"), F.avg(value).alias(f"mean_{i}"),
-            F.stddev_samp(value).alias(f"std_{i}"), F.count_if(value == 0).alias(f"zeros_{i}"),
-            F.coalesce(F.max(value < 0), F.lit(False)).alias(f"negative_{i}"),
+            F.stddev_samp(value).alias(f"std_{i}"), F.count_if(value == 0).alias(f"zero_count_{i}"),
+            F.coalesce(F.max(value < 0), F.lit(False)).alias(f"has_negatives_{i}"), F.percentile_approx(value, 0.5).alias(f"median_{i}"),
         ]
-        if not exact:
-            aggregates.append(F.percentile_approx(value, 0.5).alias(f"median_{i}"))
     row = df.agg(*aggregates).first()
-    if exact:
-        middle = {**few_valued_medians(df, few), **medians(df, [c for c in columns if c not in few])}
-    else:
-        middle = {c: row[f"median_{i}"] for i, c in enumerate(columns)}
-    return {
-        name: {
-            "min": row[f"min_{i}"], "max": row[f"max_{i}"], "mean": row[f"mean_{i}"], "std": row[f"std_{i}"],
-            "median": middle[name], "zero_count": row[f"zeros_{i}"], "has_negatives": row[f"negative_{i}"],
-        }
-        for i, name in enumerate(columns)
-    }
+    names = ("min", "max", "mean", "std", "median", "zero_count", "has_negatives")
+    return {column: {n: row[f"{n}_{i}"] for n in names} for i, column in enumerate(columns)}
 
 
 def _rounded(value) -> float | None:
     return None if value is None else round(float(value), 4)
 
 
-def _column(row: Row, n_rows: int, figures: dict) -> ColumnProfile:
+def _column(row: Row, n_rows: int, values: Values, figures: dict) -> ColumnProfile:
     semantic = row["semantic_type"]
+    samples = [v["value"] for v in values.get(("samples", row["position"]), [])]
     low = high = None
     if semantic == "numeric":
         low, high = (None if figures[k] is None else repr(_rounded(figures[k])) for k in ("min", "max"))
@@ -579,12 +632,12 @@ def _column(row: Row, n_rows: int, figures: dict) -> ColumnProfile:
     elif semantic == "year":
         low, high = str(int(row["min_number"])), str(int(row["max_number"]))
     nulls = n_rows - row["non_null"]
-    top = [(v["value"], v["rows"]) for v in row["top_values"]] if semantic in ("categorical", "boolean") else []
+    top = [(v["value"], v["rows"]) for v in values.get(("top", row["position"]), [])] if semantic in RANKED else []
     return ColumnProfile(
         position=row["position"], name=row["name"], dtype=row["dtype"], semantic_type=semantic,
         null_count=nulls, null_pct=round(100 * nulls / n_rows, 2) if n_rows else 0.0,
-        unique_count=row["unique_count"], samples=[v["value"] for v in row["samples"]], top_values=top,
+        unique_count=row["unique_count"], samples=samples, top_values=top,
         min=low, max=high, mean=_rounded(figures.get("mean")), median=_rounded(figures.get("median")),
         std=_rounded(figures.get("std")),
-        has_negatives=figures.get("has_negatives", False), zero_count=figures.get("zero_count", 0), note=_note(row),
+        has_negatives=figures.get("has_negatives", False), zero_count=figures.get("zero_count", 0), note=_note(row, samples),
     )

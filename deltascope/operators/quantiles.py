@@ -1,18 +1,23 @@
-"""Exact medians without bringing a column together in one place.
+"""Exact medians without bringing a column, or a group, together in one place.
 
-A sketch proposes cut points around the wanted rank, an exact count says between which of
-them the rank lies, and the search goes on inside that interval. Each round narrows the
-interval by a factor of some thousands; when few enough rows are left, they are sorted.
-Values that fill much of the column become cut points themselves and end the search.
+For a few columns of a table: a sketch proposes cut points around the wanted rank, an exact
+count says between which of them the rank lies, and the search goes on inside that interval.
+Each round narrows the interval by a factor of some thousands; when few enough rows are
+left, they are sorted. Values that fill much of the column become cut points themselves and
+end the search.
+
+For any number of groups: their values are dealt out by ranges, and the rows of a group in
+earlier ranges say in which range its middle lies and how far into it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltascope.functions.text import present, quoted
+from deltascope.sources.materialize import materialize
 
 SORT_AT_MOST = 100_000
 ACCURACY = 10_000
@@ -69,7 +74,7 @@ def medians(df: DataFrame, columns: list[str], sort_at_most: int = SORT_AT_MOST)
     ]
     open_ = searches
     while open_:
-        _finish(df, [s for s in open_ if s.rows <= sort_at_most])
+        _finish(df, [s for s in open_ if s.rows <= sort_at_most], sort_at_most)
         _narrow(df, [s for s in open_ if s.lower is None])
         open_ = [s for s in open_ if s.lower is None]
     out: dict[str, float | None] = dict.fromkeys(columns)
@@ -78,31 +83,67 @@ def medians(df: DataFrame, columns: list[str], sort_at_most: int = SORT_AT_MOST)
     return out
 
 
-def few_valued_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Medians of columns known to have at most `SORT_AT_MOST` distinct values, in one
-    aggregate: its state is a count per distinct value."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.percentile(_number(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+def group_medians(counts: DataFrame) -> DataFrame:
+    """`(group, median)` of `(group, value, rows)`, exact, for any number of groups of any size."""
+    return values_at(counts).select("group", ((F.col("lower") + F.col("upper")) / 2).alias("median"))
 
 
-def _finish(df: DataFrame, searches: list[_Search]) -> None:
-    """Few enough values left: sort them."""
+def values_at(counts: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """`(group, lower, upper)`: the values at two ranks of every group of `(group, value, rows)`.
+
+    `ranks` has `(group, low, high)`, counted from 1; without it they are the middle ones.
+    A rank beyond the end has no value. Values are dealt out by ranges of group and value and
+    written; a group has one subtotal for each range it reaches into, and only ranges that
+    hold a wanted rank are read again. Rows without a group are a group.
+    """
+    placed = materialize(counts.repartitionByRange("group", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    in_group = Window.partitionBy("group")
+    earlier = in_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    reached = placed.groupBy("group", "part").agg(F.sum("rows").alias("here")).select(
+        "group", "part", "here", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"), F.sum("here").over(in_group).alias("all")
+    )
+    if ranks is None:
+        reached = reached.withColumn("low", F.floor((F.col("all") + 1) / 2)).withColumn("high", F.floor(F.col("all") / 2) + 1)
+    else:
+        named = ranks.withColumnRenamed("group", "_group")
+        reached = reached.join(named, reached["group"].eqNullSafe(named["_group"])).drop("_group")
+    wanted = reached.where((F.col("before") < F.col("high")) & (F.col("before") + F.col("here") >= F.col("low"))).select(
+        F.col("group").alias("_group"), F.col("part").alias("_part"), "before", "low", "high"
+    )
+    near = placed.join(wanted, (placed["part"] == wanted["_part"]) & placed["group"].eqNullSafe(wanted["_group"]))
+    upto = Window.partitionBy("group", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.col("before") + F.sum("rows").over(upto)
+    return near.withColumn("seen", seen).groupBy("group").agg(
+        F.min(F.when(F.col("seen") >= F.col("low"), F.col("value"))).alias("lower"),
+        F.min(F.when(F.col("seen") >= F.col("high"), F.col("value"))).alias("upper"),
+    )
+
+
+def _finish(df: DataFrame, searches: list[_Search], sort_at_most: int) -> None:
+    """Few enough values left: sort them, in one row if all of them together are few."""
     if not searches:
         return
-    aggregates = []
-    for i, s in enumerate(searches):
-        left = F.array_sort(F.collect_list(s.inside(df)))
-        aggregates += [F.get(left, F.lit(s.rank)).alias(f"lower{i}"), F.get(left, F.lit(s.rank + 1)).alias(f"upper{i}")]
-        if s.high is not None:
-            value = s.value(df)
-            aggregates.append(F.min(F.when(value >= F.lit(s.high), value)).alias(f"beyond{i}"))
-    row = df.agg(*aggregates).first()
-    for i, s in enumerate(searches):
-        s.lower, s.upper = row[f"lower{i}"], row[f"upper{i}"]
-        if s.upper is None and s.high is not None:
-            s.upper = row[f"beyond{i}"]
+    if sum(s.rows for s in searches) <= sort_at_most:
+        lists = [F.array_sort(F.collect_list(s.inside(df))) for s in searches]
+        row = df.agg(*[
+            F.get(left, F.lit(s.rank + k)).alias(f"{end}{i}")
+            for i, (left, s) in enumerate(zip(lists, searches)) for k, end in enumerate(("lower", "upper"))
+        ]).first()
+        for i, s in enumerate(searches):
+            s.lower, s.upper = row[f"lower{i}"], row[f"upper{i}"]
+    else:
+        names = [str(i) for i in range(len(searches))]
+        left = df.select(*[s.inside(df).alias(n) for n, s in zip(names, searches)]).unpivot([], names, "group", "value")
+        ranks = df.sparkSession.createDataFrame([(n, s.rank + 1, s.rank + 2) for n, s in zip(names, searches)], "group string, low long, high long")
+        counts = left.where(F.col("value").isNotNull()).groupBy("group", "value").agg(F.count("*").alias("rows"))
+        for row in values_at(counts, ranks).collect():
+            searches[int(row["group"])].lower, searches[int(row["group"])].upper = row["lower"], row["upper"]
+    # where the wanted rank is the last one inside, the value after it lies beyond
+    ends = [s for s in searches if s.upper is None and s.high is not None]
+    if ends:
+        row = df.agg(*[F.min(F.when(s.value(df) >= F.lit(s.high), s.value(df))).alias(f"e{i}") for i, s in enumerate(ends)]).first()
+        for i, s in enumerate(ends):
+            s.upper = row[f"e{i}"]
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:

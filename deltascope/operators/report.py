@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope.functions import fixed
-from deltascope.operators.quantiles import medians
+from deltascope.operators.quantiles import group_medians
 
 FAMILIES = ("routing", "interpretation", "correctness", "communication")
 
@@ -30,22 +30,20 @@ def completed(results: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _median_seconds(runs: DataFrame) -> DataFrame:
-    """Exact median per model; one column each, so all models are searched in the same passes."""
-    models = [r["model"] for r in runs.select("model").distinct().collect()]
-    wide = runs.select(*[
-        F.when(F.col("model").eqNullSafe(F.lit(m)) & F.col("error").isNull(), F.col("seconds")).cast("double").alias(f"m{i}")
-        for i, m in enumerate(models)
-    ])
-    found = medians(wide, wide.columns)
-    return runs.sparkSession.createDataFrame(
-        [(m, found[f"m{i}"]) for i, m in enumerate(models)], "model string, median_seconds double"
-    )
+    """Exact median per model, however many models there are; none for a model without a completed run."""
+    timed = runs.filter(F.col("error").isNull() & F.col("seconds").isNotNull())
+    counts = timed.groupBy(F.col("model").alias("group"), F.col("seconds").cast("double").alias("value")).agg(F.count("*").alias("rows"))
+    medians = group_medians(counts).withColumnRenamed("group", "_model")
+    models = runs.select("model").distinct()
+    return models.join(medians, models["model"].eqNullSafe(medians["_model"]), "left").select("model", F.col("median").alias("median_seconds"))
 
 
 def score_by_model(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Assertions passed and median seconds per model, runs that ended in an error aside."""
     scores = completed(results, runs).groupBy("model").agg(_passed().alias("passed"), F.count("*").alias("total"))
-    return _median_seconds(runs).join(scores, "model", "left").select(
+    scores = scores.withColumnRenamed("model", "_model")
+    timed = _median_seconds(runs)
+    return timed.join(scores, timed["model"].eqNullSafe(scores["_model"]), "left").select(
         "model", "passed", "total", _pct(F.col("passed"), F.col("total")).alias("pct"), "median_seconds"
     )
 
