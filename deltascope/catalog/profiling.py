@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from deltascope import coerce_numeric, parse_dates, prepare, profile, quality_issues, time_axes
 from deltascope.catalog import query, rounded, table
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
-from deltascope.operators.profile import rollup_levels, sample_values, top_values, value_counts
+from deltascope.functions import fixed
+from deltascope.operators.profile import NOTES, rollup_levels
 from deltascope.operators.roles import dimension_candidates, granularity, metric_candidates, time_axis_candidates
 
 COLUMNS = {
@@ -35,33 +36,125 @@ def counts_sql(name: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _counts(spark, folder, name: str) -> DataFrame:
-    prof = profile(table(spark, folder, name), duplicates=False)
-    keys = prof.candidate_keys
-    return prof.to_frame().select("name", "null_count", "null_pct", "unique_count", F.col("name").isin(keys).alias("is_key") if keys else F.lit(False).alias("is_key"))
+# how the columns are stored; all others are text
+DTYPES = {
+    "bigint": [*COLUMNS["lineitem"][:3], "o_orderkey", "o_custkey", "c_custkey", "doc_id", "n_chars", "event_id", "user_id"],
+    "int": ["l_linenumber", "c_nationkey"],
+    "double": ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "c_acctbal", "value"],
+    "timestamp_ntz": ["o_orderdate", "l_shipdate", "ts"],
+}
+
+
+def _listed(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def four(value: str) -> str:
+    """Rounded to four digits from the exact binary value, as Python rounds."""
+    return f"format('{{:.4f}}', ({value})::DOUBLE)::DOUBLE"
+
+
+def _cells_sql(source: str, position: int, name: str, dtype: str) -> str:
+    white = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    c, stripped = f'"{name}"', f"trim(\"{name}\", {white})"
+    kind = {"string": "text", "timestamp_ntz": "datetime"}.get(dtype, "number")
+    shown, place, number, clean = f"{c}::VARCHAR", f"{c}::DOUBLE", f"{c}::DOUBLE", "NULL::VARCHAR"
+    if kind == "text":
+        place = "NULL::DOUBLE"
+        number = f"TRY_CAST(regexp_extract({stripped}, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$', 0) AS DOUBLE)"
+        clean = f"CASE WHEN lower({stripped}) NOT IN ({_listed(fixed.NULL_TOKENS)}) THEN {stripped} END"
+    elif kind == "datetime":
+        place, number = f"epoch({c})::DOUBLE", "NULL::DOUBLE"
+    return f"""
+    SELECT {position} AS position, '{name}' AS name, '{dtype}' AS dtype, '{kind}' AS kind, value, place, number, clean, count(*) AS rows
+    FROM (SELECT {shown} AS value, {place} AS place, {number} AS number, {clean} AS clean FROM {source}) GROUP BY value, place, number, clean"""
+
+
+def profile_sql(source: str, columns: dict[str, str], prefix: str = "") -> str:
+    """All fields of a profile: facts are counted, and the rules and limits spelled out over them.
+
+    `columns` has the stored type of each column; `prefix` holds common tables that `source` needs.
+    """
+    parts = [_cells_sql(source, i, name, dtype) for i, (name, dtype) in enumerate(columns.items())]
+    code, year = (f"regexp_matches(name, '{p}')" for p in (fixed.CODE_NAME_PATTERN, fixed.YEAR_NAME_PATTERN))
+    many = f"uniq > {fixed.KEY_MIN_RATIO} * present"
+    return f"""
+    WITH {prefix} cells AS ({" UNION ALL ".join(parts)}),
+    judged AS (SELECT *, try_strptime(clean, ['%m/%d/%Y', '%Y-%m-%d', '%Y-%m-%dT%H:%M:%SZ']) IS NOT NULL AS is_date,
+        regexp_matches(clean, '{fixed.AMOUNT_PATTERN}') AS is_amount, lower(clean) IN ({_listed(fixed.BOOLEAN_WORDS)}) AS is_flag FROM cells),
+    spread AS (SELECT position, sum(number * rows) / sum(rows) AS mean FROM cells WHERE number IS NOT NULL GROUP BY position),
+    running AS (SELECT position, number, sum(rows) OVER (PARTITION BY position ORDER BY number, value) AS seen, sum(rows) OVER (PARTITION BY position) AS every
+        FROM cells WHERE number IS NOT NULL AND kind = 'number'),
+    middle AS (SELECT position, (min(number) FILTER (seen >= (every + 1) // 2) + min(number) FILTER (seen >= every // 2 + 1)) / 2 AS median FROM running GROUP BY position),
+    facts AS (
+        SELECT j.position, name, dtype, kind, sum(rows) AS n, coalesce(sum(rows) FILTER (value IS NOT NULL), 0) AS present,
+            count(*) FILTER (value IS NOT NULL) AS uniq, min(number) AS low, max(number) AS high, coalesce(sum(rows) FILTER (number IS NOT NULL), 0) AS numbers,
+            coalesce(bool_and(number % 1 = 0), false) AS whole, coalesce(sum(rows) FILTER (clean IS NOT NULL), 0) AS clean,
+            coalesce(sum(rows) FILTER (is_date), 0) AS days, coalesce(sum(rows) FILTER (is_amount), 0) AS amounts, coalesce(bool_and(is_flag), false) AS flags,
+            sum(length(clean) * rows) AS characters, min(value) AS first, max(value) AS last, coalesce(sum(rows) FILTER (number = 0), 0) AS zeros,
+            coalesce(bool_or(number < 0), false) AS negatives, any_value(mean) AS mean,
+            sqrt(sum((number - mean) * (number - mean) * rows) / nullif(coalesce(sum(rows) FILTER (number IS NOT NULL), 0) - 1, 0)) AS std
+        FROM judged j LEFT JOIN spread s ON j.position = s.position GROUP BY j.position, name, dtype, kind),
+    typed AS (SELECT *, CASE WHEN present = 0 THEN 'empty' WHEN uniq = 1 THEN 'constant' WHEN kind = 'datetime' THEN 'date'
+        WHEN uniq BETWEEN 2 AND {fixed.YEAR_MAX_DISTINCT} AND numbers >= 0.99 * present AND whole AND low >= {fixed.YEAR_MIN} AND high <= {fixed.YEAR_MAX}
+            AND ({year} OR (uniq >= 3 AND high - low + 1 <= 2 * uniq)) THEN 'year'
+        WHEN kind = 'number' AND {code} AND {many} THEN 'identifier' WHEN kind = 'number' THEN 'numeric'
+        WHEN clean > 0 AND days >= {fixed.TYPE_SHARE} * clean THEN 'date_as_string'
+        WHEN clean > 0 AND amounts >= {fixed.TYPE_SHARE} * clean THEN 'numeric_as_string' WHEN flags THEN 'boolean'
+        WHEN {many} AND ({code} OR uniq > {fixed.KEY_MIN_DISTINCT}) THEN 'identifier'
+        WHEN characters >= {fixed.FREE_TEXT_MIN_LENGTH} * clean THEN CASE WHEN clean > 0 THEN 'free_text' ELSE 'categorical' END
+        WHEN uniq <= {fixed.CATEGORY_MAX_DISTINCT} OR uniq <= {fixed.CATEGORY_MAX_RATIO} * present THEN 'categorical' ELSE 'free_text' END AS semantic FROM facts),
+    smallest AS (SELECT position, string_agg(value, ' | ' ORDER BY r) AS samples, min(value) AS one FROM (
+        SELECT position, value, row_number() OVER (PARTITION BY position ORDER BY place, value) AS r FROM cells WHERE value IS NOT NULL)
+        WHERE r <= {fixed.SAMPLE_VALUES} GROUP BY position),
+    commonest AS (SELECT position, string_agg(value || '=' || rows, ' | ' ORDER BY r) AS top FROM (
+        SELECT position, value, rows, row_number() OVER (PARTITION BY position ORDER BY rows DESC, value) AS r FROM cells WHERE value IS NOT NULL)
+        WHERE r <= {fixed.TOP_VALUES} GROUP BY position)
+    SELECT t.position, name, dtype, semantic AS semantic_type, (n - present)::BIGINT AS null_count, round(100.0 * (n - present) / n, 2) AS null_pct, uniq AS unique_count,
+        coalesce(samples, '') AS samples, CASE WHEN semantic IN ('categorical', 'boolean') THEN coalesce(top, '') ELSE '' END AS top_values,
+        CASE semantic WHEN 'numeric' THEN {four('low')}::VARCHAR WHEN 'date' THEN first WHEN 'year' THEN low::BIGINT::VARCHAR END AS low,
+        CASE semantic WHEN 'numeric' THEN {four('high')}::VARCHAR WHEN 'date' THEN last WHEN 'year' THEN high::BIGINT::VARCHAR END AS high,
+        CASE semantic WHEN 'numeric' THEN {four('mean')} END AS mean, CASE semantic WHEN 'numeric' THEN {four('median')} END AS median,
+        CASE semantic WHEN 'numeric' THEN {four('std')} END AS std, semantic = 'numeric' AND negatives AS has_negatives,
+        CASE semantic WHEN 'numeric' THEN zeros::BIGINT ELSE 0 END AS zero_count,
+        CASE WHEN semantic = 'constant' THEN 'single value: ' || one WHEN semantic = 'identifier' AND kind = 'number' THEN '{NOTES["identifier_number"]}'
+            WHEN semantic = 'numeric' AND {code} THEN 'a code by its name, with ' || format('{{:,}}', uniq) || ' distinct values: rather a category, not a quantity to sum'
+            WHEN semantic = 'boolean' AND kind = 'text' THEN '{NOTES["boolean_text"]}' WHEN semantic = 'empty' THEN '{NOTES["empty"]}'
+            WHEN semantic = 'year' THEN '{NOTES["year"]}' WHEN semantic = 'date_as_string' THEN '{NOTES["date_as_string"]}'
+            WHEN semantic = 'numeric_as_string' THEN '{NOTES["numeric_as_string"]}' END AS note
+    FROM typed t LEFT JOIN smallest s ON t.position = s.position LEFT JOIN commonest c ON t.position = c.position LEFT JOIN middle m ON t.position = m.position"""
+
+
+def dtype_of(column: str) -> str:
+    return next((t for t, names in DTYPES.items() if column in names), "string")
+
+
+def _every_field(prof) -> DataFrame:
+    """All fields of a profile, lists as text."""
+    frame = prof.to_frame().withColumnsRenamed({"min": "low", "max": "high"})
+    top = F.transform("top_values", lambda v: F.concat_ws("=", v["value"], v["n"]))
+    return frame.withColumn("samples", F.array_join("samples", " | ")).withColumn("top_values", F.array_join(top, " | "))
 
 
 for _name in COLUMNS:
-    query(counts_sql(_name), f"profile_{_name}")(lambda spark, folder, name=_name: _counts(spark, folder, name))
+    query(profile_sql(_name, {c: dtype_of(c) for c in COLUMNS[_name]}), f"profile_{_name}")(
+        lambda spark, folder, name=_name: _every_field(profile(table(spark, folder, name), duplicates=False))
+    )
 
 
 def figures_sql(name: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS name, round(min({c}), 4) AS low, round(max({c}), 4) AS high, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median,"
-        f" round(stddev_samp({c}), 4) AS std, count(*) FILTER ({c} = 0) AS zero_count, coalesce(bool_or({c} < 0), false) AS has_negatives FROM {name}"
+        f"SELECT '{c}' AS name, {four(f'min({c})')} AS low, {four(f'max({c})')} AS high, {four(f'avg({c})')} AS mean, {four(f'median({c})')} AS median,"
+        f" {four(f'stddev_samp({c})')} AS std, count(*) FILTER ({c} = 0) AS zero_count, coalesce(bool_or({c} < 0), false) AS has_negatives FROM {name}"
         for c in NUMERIC[name]
     )
 
 
 def _figures(spark, folder, name: str) -> DataFrame:
-    df = table(spark, folder, name)
-    prof = profile(df, duplicates=False)
-    found = numeric_figures(df, prof.of_type("numeric"), distinct={c.name: c.unique_count for c in prof.columns})
-    frame = spark.createDataFrame(
-        [(c, f["min"], f["max"], f["mean"], f["median"], f["std"], f["zero_count"], f["has_negatives"]) for c, f in found.items()],
-        "name string, low double, high double, mean double, median double, std double, zero_count bigint, has_negatives boolean",
+    found = profile(table(spark, folder, name), duplicates=False).to_frame().where("semantic_type = 'numeric'")
+    return found.select(
+        "name", F.col("min").cast("double").alias("low"), F.col("max").cast("double").alias("high"), "mean", "median", "std", "zero_count", "has_negatives"
     )
-    return rounded(frame, 4, ["low", "high", "mean", "median", "std"])
 
 
 for _name in NUMERIC:
@@ -73,23 +166,22 @@ TEXT_COLUMNS = ["o_orderstatus", "o_orderpriority"]
 @query(" UNION ALL ".join(
     f"SELECT * FROM (SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, count(*) AS rows,"
     f" CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 6"
-    for c in [*TEXT_COLUMNS, "o_custkey"]))
+    for c in TEXT_COLUMNS) + " UNION ALL SELECT * FROM (SELECT 'o_custkey' AS name, 'c' || o_custkey AS value, count(*) AS rows,"
+    " CAST(row_number() OVER (ORDER BY count(*) DESC, 'c' || o_custkey) AS INTEGER) AS rank FROM orders GROUP BY o_custkey) WHERE rank <= 6")
 def profile_top_values(spark, folder):
-    orders = table(spark, folder, "orders").select(*TEXT_COLUMNS, F.col("o_custkey").cast("string").alias("o_custkey"))
-    return _named(orders, top_values(value_counts(orders)))
-
-
-def _named(df, ranked) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (i, c)])
-    return ranked.select(names[F.col("position")].alias("name"), "value", "rows", "rank")
+    """Commonest values as the profile has them, also of a column with thousands."""
+    orders = table(spark, folder, "orders").select(*TEXT_COLUMNS, F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("o_custkey"))
+    found = profile(orders, duplicates=False).to_frame().select("name", F.posexplode("top_values").alias("rank", "v"))
+    return found.select("name", "v.value", F.col("v.n").alias("rows"), (F.col("rank") + 1).alias("rank"))
 
 
 @query(" UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{c}' AS name, {c} AS value, count(*) AS rows, CAST(row_number() OVER (ORDER BY {c}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 4"
+    f"SELECT * FROM (SELECT '{c}' AS name, {c} AS value, CAST(row_number() OVER (ORDER BY {c}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 4"
     for c in ["text", "lang", "source"]))
 def profile_sample_values(spark, folder):
-    documents = table(spark, folder, "documents").select("text", "lang", "source")
-    return _named(documents, sample_values(value_counts(documents)))
+    """The smallest values as the profile has them, of whole documents too."""
+    found = profile(table(spark, folder, "documents"), duplicates=False).to_frame().where("dtype = 'string'")
+    return found.select("name", F.posexplode("samples").alias("rank", "value")).select("name", "value", (F.col("rank") + 1).alias("rank"))
 
 
 @query(" UNION ALL ".join(
@@ -130,30 +222,27 @@ def profile_ranges(spark, folder):
     return spark.createDataFrame(rows, "table_name string, name string, semantic_type string, low string, high string")
 
 
-# The kinds of columns follow from facts that the SQL works out: the share of values that
-# parse, distinct values against rows, and so on, with the thresholds spelled out.
-@query(f"""WITH {PARSED}, facts AS (
-  SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(DISTINCT o_custkey) AS customers,
-    count(price) FILTER (price <> 'pending') AS prices, count(parsed_day) AS days, count(*) FILTER (day <> 'unknown') AS clean_days,
-    count(finished) AS flags, count(DISTINCT priority) AS priorities FROM parsed)
-SELECT 'o_orderkey' AS name, 'numeric' AS semantic_type FROM facts
-UNION ALL SELECT 'o_custkey', 'numeric' FROM facts
-UNION ALL SELECT 'o_orderdate', 'date' FROM facts
-UNION ALL SELECT 'o_totalprice', 'numeric' FROM facts
-UNION ALL SELECT 'o_orderstatus', 'categorical' FROM facts
-UNION ALL SELECT 'priority', CASE WHEN priorities <= 25 THEN 'categorical' ELSE 'free_text' END FROM facts
-UNION ALL SELECT 'price', CASE WHEN prices >= 0.9 * n THEN 'numeric_as_string' ELSE 'categorical' END FROM facts
-UNION ALL SELECT 'day', CASE WHEN days >= 0.9 * clean_days THEN 'date_as_string' ELSE 'categorical' END FROM facts
-UNION ALL SELECT 'finished', CASE WHEN flags > 0 THEN 'boolean' ELSE 'empty' END FROM facts
-UNION ALL SELECT 'Unnamed: 9', 'empty' FROM facts""")
+MESSY_COLUMNS = {
+    **{c: dtype_of(c) for c in ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")},
+    **dict.fromkeys(("priority", "price", "day", "finished", "Unnamed: 9"), "string"),
+}
+MESSY_PROFILE = profile_sql("messy", MESSY_COLUMNS, f"{MESSY},")
+
+
+@query(f"SELECT name, semantic_type, note, samples, top_values FROM ({MESSY_PROFILE})")
 def profile_semantic_types(spark, folder):
-    return profile(messy_orders(spark, folder), duplicates=False).to_frame().select("name", "semantic_type")
+    return _every_field(profile(messy_orders(spark, folder), duplicates=False)).select("name", "semantic_type", "note", "samples", "top_values")
 
 
-@query(f"""WITH {MESSY}, d AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS n)
-SELECT 'duplicates' AS kind, format('{{:,}}', n) || ' repeated rows, ' || format('{{:.1f}}', 100.0 * n / (SELECT count(*) FROM messy)) || '% of all' AS warning FROM d WHERE n > 0
-UNION ALL SELECT 'all_null', '''Unnamed: 9'' is entirely null' UNION ALL SELECT 'stored_as_text', '''price'' holds numbers as text'
-UNION ALL SELECT 'stored_as_text', '''day'' holds dates as text' UNION ALL SELECT 'unnamed', '1 column(s) without a name, probably left over from a spreadsheet'""")
+SURPLUS = f"(WITH {MESSY} SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS surplus, (SELECT count(*) FROM messy) AS n)"
+
+
+@query(f"""SELECT 'duplicates' AS kind, format('{{:,}}', surplus) || ' repeated rows, ' || format('{{:.1f}}', 100.0 * surplus / n) || '% of all' AS warning FROM {SURPLUS} WHERE surplus > 0
+UNION ALL SELECT 'unnamed', count(*) || ' column(s) without a name, probably left over from a spreadsheet' FROM ({MESSY_PROFILE}) WHERE name ILIKE 'unnamed:%' HAVING count(*) > 0
+UNION ALL SELECT 'all_null', format('''{{}}'' is entirely null', name) FROM ({MESSY_PROFILE}) WHERE semantic_type = 'empty'
+UNION ALL SELECT 'mostly_null', format('''{{}}'' is {{}}% null', name, null_pct) FROM ({MESSY_PROFILE}) WHERE semantic_type <> 'empty' AND null_pct > 50
+UNION ALL SELECT 'stored_as_text', format('''{{}}'' holds {{}} as text', name, CASE semantic_type WHEN 'date_as_string' THEN 'dates' ELSE 'numbers' END)
+FROM ({MESSY_PROFILE}) WHERE semantic_type IN ('date_as_string', 'numeric_as_string')""")
 def profile_warnings(spark, folder):
     return profile(messy_orders(spark, folder)).warnings_frame().select("kind", "warning")
 
@@ -212,19 +301,63 @@ def profile_screening(spark, folder):
     return spark.createDataFrame(rows, "part string, value string, rank int")
 
 
-@query(f"""WITH {MESSY}, n AS (SELECT count(*) AS n FROM messy), gone AS (
-  SELECT n.n AS n, n.n - (SELECT count(priority) FROM messy) AS p, n.n - (SELECT count(finished) FROM messy) AS f,
-    n.n - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS d FROM n)
-SELECT 'missing' AS kind, '''priority'': ' || format('{{:,}}', p) || ' missing values' AS issue FROM gone WHERE p > 0
-UNION ALL SELECT 'missing', '''finished'': ' || format('{{:,}}', f) || ' missing values' FROM gone WHERE f > 0
-UNION ALL SELECT 'missing', '''Unnamed: 9'': ' || format('{{:,}}', n) || ' missing values' FROM gone
-UNION ALL SELECT 'duplicates', format('{{:,}}', d) || ' duplicate rows removed' FROM gone WHERE d > 0
-UNION ALL SELECT 'stored_as', '''price'': numbers stored as text' UNION ALL SELECT 'stored_as', '''day'': dates stored as text'
-UNION ALL SELECT 'stored_as', '''Unnamed: 9'': no values'""")
+@query(f"""SELECT 'duplicates' AS kind, format('{{:,}}', surplus) || ' duplicate rows removed' AS issue FROM {SURPLUS} WHERE surplus > 0
+UNION ALL SELECT 'missing', format('''{{}}'': {{:,}} missing values, {{}}% of the rows', name, null_count, null_pct) FROM ({MESSY_PROFILE}) WHERE null_count > 0
+UNION ALL SELECT 'stored_as', format('''{{}}'': {{}}', name, CASE semantic_type WHEN 'empty' THEN 'no values' WHEN 'date_as_string' THEN 'dates stored as text' ELSE 'numbers stored as text' END)
+FROM ({MESSY_PROFILE}) WHERE semantic_type IN ('empty', 'date_as_string', 'numeric_as_string')""")
 def quality_issues_messy(spark, folder):
     prof = profile(messy_orders(spark, folder))
-    found = [(kind, text.split(", ")[0]) for kind, text in quality_issues(prof, prof.duplicate_rows)]
-    return spark.createDataFrame(found, "kind string, issue string")
+    return spark.createDataFrame(quality_issues(prof, prof.duplicate_rows), "kind string, issue string")
+
+
+def lines_sql(profiled: str) -> str:
+    """The profile as text: up to five lines a column."""
+    figures = ", ".join(f"'{name} ' || {column}" for name, column in (("min", "low"), ("max", "high"), ("mean", "mean"), ("median", "median"), ("std", "std")))
+    return f"""SELECT position * 10 AS line, format('  {{}} [{{}}, {{}}] nulls {{}} ({{}}%), {{:,}} distinct', name, semantic_type, dtype, null_count, null_pct, unique_count) AS text FROM ({profiled})
+UNION ALL SELECT position * 10 + 1, '    top: ' || array_to_string(list_transform(string_split(top_values, ' | '),
+    lambda v: format('{{}} ({{:,}})', string_split(v, '=')[1], string_split(v, '=')[2]::BIGINT)), ', ') FROM ({profiled}) WHERE top_values <> ''
+UNION ALL SELECT position * 10 + 2, '    ' || array_to_string(list_filter([{figures}], lambda x: x IS NOT NULL), ', ') FROM ({profiled}) WHERE low IS NOT NULL
+UNION ALL SELECT position * 10 + 3, '    e.g. ' || samples FROM ({profiled}) WHERE samples <> ''
+UNION ALL SELECT position * 10 + 4, '    note: ' || note FROM ({profiled}) WHERE note IS NOT NULL"""
+
+
+@query(f"""SELECT -1 AS line, 'customer: ' || format('{{:,}}', count(*)) || ' rows, {len(COLUMNS["customer"])} columns, duplicates not counted' AS text FROM customer
+UNION ALL {lines_sql(profile_sql("customer", {c: dtype_of(c) for c in COLUMNS["customer"]}))}""")
+def profile_summary(spark, folder):
+    """The profile as text, line by line; keys and warnings have queries of their own."""
+    prof = profile(table(spark, folder, "customer"), duplicates=False)
+    first, *others = prof.summary("customer").split("\n")
+    lines, line = [(-1, first)], -10
+    kinds = {"top": 1, "min": 2, "e.g": 3, "not": 4}
+    for text in others:
+        if text.startswith(("keys: ", "warning: ")):
+            continue
+        if text.startswith("    "):
+            lines.append((line + kinds[text.strip()[:3]], text))
+        else:
+            line += 10
+            lines.append((line, text))
+    return spark.createDataFrame(lines, "line int, text string")
+
+
+# Words about as long as the limit for free text: the mean length over the values that are there decides.
+LENGTHS = """lengths AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE repeat('x', 36 + (o_orderkey % 9)::INT) END AS above,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE repeat('y', 35 + (o_orderkey % 9)::INT) END AS below,
+  CASE WHEN o_orderkey % 7 = 0 THEN '  -  ' ELSE '  ' || repeat('z', 36 + (o_orderkey % 8)::INT) || '  ' END AS padded FROM orders)"""
+
+
+@query(f"""SELECT name, semantic_type FROM ({profile_sql("lengths", dict.fromkeys(("above", "below", "padded"), "string"), LENGTHS + ",")})""")
+def profile_text_lengths(spark, folder):
+    key = F.col("o_orderkey")
+
+    def words(letter, least, spread, missing, pad=""):
+        text = F.concat(F.lit(pad), F.repeat(F.lit(letter), least + (key % spread).cast("int")), F.lit(pad))
+        return F.when(key % 7 == 0, missing).otherwise(text)
+
+    lengths = table(spark, folder, "orders").select(
+        words("x", 36, 9, "n/a").alias("above"), words("y", 35, 9, "").alias("below"), words("z", 36, 8, "  -  ", "  ").alias("padded")
+    )
+    return profile(lengths, duplicates=False).to_frame().select("name", "semantic_type")
 
 
 @query(" UNION ALL ".join(
