@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -234,3 +235,29 @@ def test_nothing_of_a_private_key_is_left(make):
     ]
     got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(make([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
     assert got == {i: t for i, (_, t) in enumerate(cases)}
+
+
+def test_quality_verdicts_can_be_filtered_on(make):
+    """A filter on the verdict costs no more than the verdict."""
+
+
+
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"the w{rng.randint(0, 10**6)}" for _ in range(3000))) for i in range(40)]
+    started = time.time()
+    judged = quality.quality(make(rows, extra=True))
+    assert judged.where("kept").count() == judged.where("n_words > 50 AND NOT base_failed").where("kept").count() > 0
+    assert time.time() - started < 60
+
+
+def test_quality_knows_the_languages_it_lists(make):
+
+
+    texts = {
+        "it": "il gatto non mangia che pesce e la volpe corre per il bosco della valle con gli altri ",
+        "ru": "и вот он пришёл в дом на горе но не увидел что там было для него так как это из сказки ",
+        "tr": "bu ev çok büyük ve bir bahçe daha var ama kapı gibi duran ağaç sonra düştü olarak kaldı ",
+    }
+    rows = [(i, t + " ".join(f"слово{k}" if n == "ru" else f"parola{k}" for k in range(60))) for i, (n, t) in enumerate(texts.items())]
+    assert quality.quality(make(rows)).where("kept").count() == 3
