@@ -3,14 +3,17 @@
 The model's protobuf is read and its parts are rebuilt: the normaliser (character map, extra
 white space, dummy prefix, marker for white space), the scores of a unigram model or the
 merges that a BPE model's scores stand for, byte fallback for what the vocabulary lacks, and
-the decoder. Batches of documents are encoded on several threads. Parity is verified: a
-documented share of the rows, chosen by a checksum of the text, is encoded by the
-sentencepiece library too, and its verdict is returned with the row.
+the decoder. Batches are encoded on several threads. Where no piece of a BPE model goes on
+past a marker, merges never cross from one word to the next: then the words of a batch that
+were not met before are encoded, once each, and texts are put together from them. Parity is
+verified: every whole text is encoded by the sentencepiece library too, and the verdict is
+returned with the row.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +29,10 @@ THREADS = 2  # per task
 BATCH_CHARS = 200_000  # characters encoded at once: bounds memory, not results
 LONG_TEXT = 50_000  # longer texts are encoded from one white space to another
 ROWS = 256  # rows handled at once: bounds memory, not results
-VERIFY_EVERY = 8  # one row in so many is encoded by both libraries
+VERIFY_EVERY = 1  # one row in so many is encoded by both libraries
+WORDS_HELD = 200_000  # encoded words that a worker remembers
+LONGEST_WORD = 64  # longer ones are not remembered
+WORDS_AT_ONCE = 20_000  # characters of new words encoded as one text
 
 
 def _merges(model: pm.PieceModel) -> list[tuple[str, str]]:
@@ -76,6 +82,12 @@ class Codec:
         self.can_cut = model.add_dummy_prefix and not model.remove_extra_whitespaces and not model.charsmap and not any(
             pm.MARKER in p.lstrip(pm.MARKER) for p, _, kind in model.pieces if kind == pm.NORMAL
         )
+        marker = self.tokenizer.token_to_id(pm.MARKER)
+        self.by_words = self.can_cut and model.kind == pm.BPE and marker is not None
+        self.begins = np.array([p.startswith(pm.MARKER) for p, _, _ in model.pieces])
+        self.between = re.compile(f"(?<=[^ {pm.MARKER}]) ")
+        # ids of words as 32-bit integers; nothing after a white space is the marker alone
+        self.words: dict[str, bytes] = {"": np.array([marker or 0], np.int32).tobytes()}
         self.opening = " " if model.add_dummy_prefix else ""
         self.bytes = [
             bytes([int(p[3:5], 16)]) if kind == pm.BYTE else p.replace(pm.MARKER, " ").encode() for p, _, kind in model.pieces
@@ -91,7 +103,41 @@ class Codec:
             text = text[at + 1:]
         return [*parts, text] if text or not parts else [*parts, ""]
 
+    def _units(self, text: str) -> list[str]:
+        """A text cut at the first white space of every run; what was cut at is the marker that opens the next."""
+        if not text:
+            return []
+        if "  " in text or pm.MARKER in text or text[0] == " ":
+            return self.between.split(text)
+        return text.split(" ")
+
+    def _from_words(self, texts: list[str]) -> list[np.ndarray]:
+        units = [self._units(t) for t in texts]
+        met = set().union(*units)
+        if len(self.words) > WORDS_HELD:
+            self.words = {"": self.words[""]}
+        known, new, odd = self.words, [], []
+        for word in met:
+            if word not in known:
+                (odd if " " in word or pm.MARKER in word else new).append(word)
+        # plain words are encoded as texts of many, in which each begins with the next marker
+        portions = list(_portions(new, WORDS_AT_ONCE))
+        for portion, found in zip(portions, self.tokenizer.encode_batch_fast([" ".join(p) for p in portions], add_special_tokens=False)):
+            ids = np.array(found.ids, np.int32)
+            starts, held = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+            for word, start, end in zip(portion, starts, [*starts[1:], len(held)], strict=True):
+                known[word] = held[start:end]
+        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            known[word] = np.array(found.ids, np.int32).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32) for own in units]
+        for word in (*new, *odd):
+            if len(word) > LONGEST_WORD:
+                del known[word]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.by_words:
+            return self._from_words(texts)
         parts = [self._cut(t) for t in texts]
         found: list[np.ndarray] = []
         for portion in _portions([p for own in parts for p in own]):
@@ -124,11 +170,11 @@ def _original(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
-    """Neighbouring texts, about `BATCH_CHARS` characters at a time; a longer text by itself."""
+def _portions(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """Neighbouring texts, about `most` characters at a time; a longer text by itself."""
     portion, size = [], 0
     for text in texts:
-        if portion and size + len(text) > BATCH_CHARS:
+        if portion and size + len(text) > most:
             yield portion
             portion, size = [], 0
         portion.append(text)
@@ -137,6 +183,19 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield portion
 
 
+def _portions_of_rows(texts: list[str], rows: list[int]) -> Iterator[list[int]]:
+    """Row numbers whose texts come to about `BATCH_CHARS` characters together."""
+    portion, size = [], 0
+    for i in rows:
+        portion.append(i)
+        size += len(texts[i])
+        if size >= BATCH_CHARS:
+            yield portion
+            portion, size = [], 0
+    if portion:
+        yield portion
+
+
 def encode(
     docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text",
     threads: int = THREADS, verify_every: int = VERIFY_EVERY, decoded: bool = False,
@@ -159,10 +218,11 @@ def encode(
                 part = batch.iloc[start:start + ROWS]
                 texts = part["text"].fillna("").tolist()
                 ids = codec.encode(texts)
-                parity = []
-                for text, own in zip(texts, ids):
-                    chosen = verify_every and zlib.crc32(text.encode("utf-8", "surrogatepass")) % verify_every == 0
-                    parity.append(_original(model_path).encode(text) == own.tolist() if chosen else None)
+                chosen = [bool(verify_every) and (verify_every == 1 or zlib.crc32(t.encode("utf-8", "surrogatepass")) % verify_every == 0) for t in texts]
+                parity: list[bool | None] = [None] * len(texts)
+                for portion in _portions_of_rows(texts, [i for i, c in enumerate(chosen) if c]):
+                    for i, expected in zip(portion, _original(model_path).encode([texts[i] for i in portion], num_threads=1)):
+                        parity[i] = len(expected) == len(ids[i]) and bool((np.array(expected, np.int32) == ids[i]).all())
                 out = pd.DataFrame({"doc_id": part["doc_id"].tolist(), "ids": ids, "parity": pd.array(parity, dtype="boolean")})
                 out["doc_id"] = out["doc_id"].astype(part["doc_id"].dtype)
                 if decoded:
