@@ -12,10 +12,11 @@ Links. Sets that are equal become one node first. Only signatures met at least t
 looked at further. Every member of such a signature is compared with one hub of it; members
 that stay in different components are compared with another hub, and last with each other,
 so no link is lost while a group of thousands of linked copies never becomes all pairs.
-Every node has a sketch, the parities of its shingles in some three buckets per allowed
+Every node has a sketch, the parities of its shingles in some eight buckets per allowed
 difference. Two sets differ in at least as many shingles as their sketches differ in bits,
-so a join passes on only pairs that may be linked, and is still exact; a finer sketch sorts
-out more of them. What passes is verified on the whole sets. A set is handled as its 64-bit shingle hashes.
+so a join passes on only pairs that may be linked, and is still exact; of unlinked pairs
+hardly any passes that is not at the limit itself. What passes is verified on the whole
+sets. A set is handled as its 64-bit shingle hashes.
 
 Hot signatures: counted map-side, then met in a join whose skewed partitions adaptive
 execution splits; no task holds the members of a signature as a list.
@@ -39,8 +40,7 @@ LARGEST = 2**26  # shingles; bands beyond it aren't needed, larger sets share th
 VERIFY_COST = 40  # comparing a pair, in rows of signatures
 MOST_EXTRA = 16  # extra segments the allocation may consider
 HUB_ROUNDS = 2  # comparisons with single hubs before members are compared with each other
-SKETCH_BITS = 3  # per shingle of allowed difference, rounded to a power of two; goes with every signature
-FINE_BITS = 16  # the same for the sketch that goes with pairs only
+SKETCH_BITS = 8  # per shingle of allowed difference, rounded to a power of two
 SPARE_BITS = 6  # of a signature's prefix, beyond what tells all signatures apart on average
 
 # --- sets
@@ -170,9 +170,9 @@ def signatures(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> np.nda
     return np.unique(np.concatenate(found))
 
 
-def sketch(own: np.ndarray, percent: int, bits: int) -> np.ndarray:
+def sketch(own: np.ndarray, percent: int) -> np.ndarray:
     """Parity of the number of shingles in each of a power of two of buckets, 64 to a word."""
-    words = 1 << max(0, round(math.log2(max(1, difference(2 * len(own), percent) * bits / 64))))
+    words = 1 << max(0, round(math.log2(max(1, difference(2 * len(own), percent) * SKETCH_BITS / 64))))
     bucket = (_mix(own + np.uint64(0x1234567)) % np.uint64(words * 64)).astype(np.int64)
     odd = (np.bincount(bucket, minlength=words * 64) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view("<u8")
@@ -214,26 +214,25 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view("i8")))
 
 
-_SIGNED = "doc_id long, n long, low long, high long, signatures array<long>, sketch array<long>, fine array<long>"
+_SIGNED = "doc_id long, n long, low long, high long, signatures array<long>, sketch array<long>"
 
 
 def _signed(docs: DataFrame, bands: tuple[Band, ...], words: int, percent: int) -> DataFrame:
     """Size, 128-bit digest, signatures and sketch of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches):
-            ids, sizes, digests, signed, sketches, fine = [], [], [], [], [], []
+            ids, sizes, digests, signed, sketches = [], [], [], [], []
             for doc_id, text in rows:
                 own = shingles(text, words)
                 ids.append(doc_id)
                 sizes.append(len(own))
                 digests.append((_mix(own + np.uint64(1)).sum(dtype="u8"), _mix(own + np.uint64(2)).sum(dtype="u8")))
                 signed.append(signatures(own, bands, percent) if len(own) else own)
-                sketches.append(sketch(own, percent, SKETCH_BITS))
-                fine.append(sketch(own, percent, FINE_BITS))
+                sketches.append(sketch(own, percent))
             pairs = np.array(digests, dtype="u8").reshape(-1, 2).view("i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), _lists(signed), _lists(sketches), _lists(fine)],
-                ["doc_id", "n", "low", "high", "signatures", "sketch", "fine"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), _lists(signed), _lists(sketches)],
+                ["doc_id", "n", "low", "high", "signatures", "sketch"],
             )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -249,13 +248,6 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, own array<long>")
 
 
-def _fitting(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that may be linked by their fine sketches."""
-    fine = F.struct("n", F.col("fine").alias("sketch"))
-    one, two = nodes.select(F.col("node").alias("a"), fine.alias("one")), nodes.select(F.col("node").alias("b"), fine.alias("two"))
-    return pairs.join(one, "a").join(two, "b").where(_may_link("one", "two", percent)).select("a", "b")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("_a"))
@@ -326,7 +318,7 @@ def near_duplicates(
 
     # equal sets are one node, named by their smallest id
     digest = ["n", "low", "high"]
-    rows = materialize(signed.select("doc_id", *digest, "sketch", "fine"), "set-digests")
+    rows = materialize(signed.select("doc_id", *digest, "sketch"), "set-digests")
     nodes = materialize(
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes"
     )
@@ -345,9 +337,9 @@ def near_duplicates(
     release(signed)
 
     involved = members.select("node").distinct()
-    known = rows.select(F.col("doc_id").alias("node"), "n", "sketch", "fine").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    known = rows.select(F.col("doc_id").alias("node"), "n", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
     known = materialize(known, "involved")
-    members = materialize(members.join(known.drop("fine"), "node").withColumn("component", F.col("node")), "placed-members")
+    members = materialize(members.join(known, "node").withColumn("component", F.col("node")), "placed-members")
 
     links = None
     for round_ in range(HUB_ROUNDS + 1):
@@ -367,7 +359,7 @@ def near_duplicates(
         apart = ordered & (F.col("one.component") != F.col("two.component"))
         met = rest.alias("x").join(other.alias("y"), (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("one", "two", percent))
         pairs = met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
-        pairs = materialize(_fitting(materialize(pairs, "possible-pairs"), known, percent), "pairs")
+        pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             continue
         met_nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

@@ -105,3 +105,27 @@ def test_allocation_grows_with_collisions():
     few, many = (jaccard.allocate(10, 11, 90, n) for n in (1e3, 1e9))
     assert few.exact + 2 * few.deletion >= 2 and many.exact + 2 * many.deletion >= 2
     assert many.deletion >= few.deletion
+
+
+def test_unlinked_group_passes_on_few_pairs(make, monkeypatch):
+    """Hundreds of texts that share signatures and most shingles without being linked: hardly a pair of them moves its sets."""
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        own = common.copy()
+        for at in rng.sample(range(0, 120, 4), 9):  # each change touches three shingles of its own
+            own[at] = f"u{i}x{at}"
+        rows.append((i, " ".join(own)))
+    passed, whole = [], jaccard.materialize
+
+    def counting(df, label="table"):
+        table = whole(df, label)
+        if label == "pairs":
+            passed.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "materialize", counting)
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(make(rows), 3, 90).collect()}
+    assert found == {i: c for i, (_, c) in brute(rows, 3, 90).items()} and len(set(found.values())) > 200
+    assert sum(passed) < 240 * 239 / 2 / 20
