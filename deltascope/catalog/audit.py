@@ -314,7 +314,38 @@ def eval_gate(spark, folder):
 @query(f"""WITH {RESULTS} SELECT model, count(*) AS calls, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(seconds), 2) AS seconds, round(sum(cost_usd), 3) AS cost_usd,
   round(sum(output_tokens) / sum(seconds), 6) AS tokens_per_second FROM runs GROUP BY model""")
 def eval_usage(spark, folder):
-    return rounded(rounded(eval_report(_results(spark, folder), _runs(spark, folder))["usage"], 2, ["seconds"]).transform(lambda d: rounded(d, 3, ["cost_usd"])), 6, ["tokens_per_second"])
+    found = eval_report(_results(spark, folder), _runs(spark, folder))["usage"].drop("runs", "input_tokens")
+    return rounded(rounded(rounded(found, 2, ["seconds"]), 3, ["cost_usd"]), 6, ["tokens_per_second"])
+
+
+# one run per order, its line items as calls; every seventh order made none
+CALLS = """called AS (SELECT o_orderstatus AS model, o_orderkey, l_orderkey, l_partkey AS input_tokens, CAST(l_quantity AS BIGINT) AS output_tokens,
+  l_extendedprice / 1000 AS seconds, l_tax AS cost_usd FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderkey % 7 <> 0)"""
+
+
+def _runs_with_calls(spark, folder) -> DataFrame:
+    runs = table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("case_id"), F.col("o_orderstatus").alias("model"), F.col("o_orderkey").alias("attempt")
+    )
+    calls = table(spark, folder, "lineitem").where("l_orderkey % 7 <> 0").join(runs, F.col("l_orderkey") == F.col("attempt")).select(
+        "case_id", "model", "attempt", F.col("l_partkey").alias("input_tokens"), F.col("l_quantity").cast("bigint").alias("output_tokens"),
+        (F.col("l_extendedprice") / 1000).alias("seconds"), F.col("l_tax").alias("cost_usd"),
+    )
+    return r.with_calls(runs, calls)
+
+
+@query(f"""WITH {CALLS} SELECT model, count(DISTINCT o_orderkey) AS runs, count(l_orderkey) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(seconds), 2) AS seconds, round(sum(cost_usd), 3) AS cost_usd,
+  round(sum(output_tokens) / sum(seconds), 6) AS tokens_per_second FROM called GROUP BY model""")
+def eval_usage_calls(spark, folder):
+    """Several calls a run, or none."""
+    return rounded(rounded(rounded(r.usage(_runs_with_calls(spark, folder)), 2, ["seconds"]), 3, ["cost_usd"]), 6, ["tokens_per_second"])
+
+
+@query(f"""WITH {CALLS} SELECT model, format('{{:,}}', count(l_orderkey)) || ' call(s) in ' || format('{{:,}}', count(DISTINCT o_orderkey)) || ' run(s), '
+  || format('{{:,}}', sum(output_tokens)::BIGINT) || ' tokens out, ' || format('{{:.1f}} s, $', sum(seconds)) || format('{{:.4f}}', sum(cost_usd)) AS usage FROM called GROUP BY model""")
+def eval_usage_text(spark, folder):
+    return r.usage_text(_runs_with_calls(spark, folder))
 
 
 @query("""SELECT o_orderpriority AS "case", o_orderstatus AS model, o_orderkey AS attempt, 'change' AS route, count(*) FILTER (l_quantity > 10) AS passed, count(l_orderkey) AS total,

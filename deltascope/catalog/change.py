@@ -351,6 +351,30 @@ def period_totals_orders(spark, folder):
     return rounded(reduce(DataFrame.unionByName, frames), 2, ["total"])
 
 
+# years and quarters that end elsewhere, weeks that end on another day, and parts of an hour
+ANCHORED_LABELS = {
+    "Y-JUN": "strftime(o_orderdate + INTERVAL 6 MONTH, '%Y')",
+    "Q-JAN": "strftime(date_trunc('month', o_orderdate) + INTERVAL 11 MONTH, '%Y') || 'Q' || quarter(date_trunc('month', o_orderdate) + INTERVAL 11 MONTH)",
+    "W-SAT": "strftime(o_orderdate - INTERVAL (dayofweek(o_orderdate)) DAY, '%Y-%m-%d') || '/' || strftime(o_orderdate + INTERVAL (6 - dayofweek(o_orderdate)) DAY, '%Y-%m-%d')",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS freq, {label} AS period, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL" for f, label in ANCHORED_LABELS.items())
+       + " UNION ALL SELECT '15min', strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M'), round(sum(value), 2) FROM events GROUP BY ALL")
+def period_totals_anchored(spark, folder):
+    orders, events = table(spark, folder, "orders"), table(spark, folder, "events")
+    frames = [period_totals(orders, "o_totalprice", "o_orderdate", f).withColumn("freq", F.lit(f)) for f in ANCHORED_LABELS]
+    frames.append(period_totals(events, "value", "ts", "15min").withColumn("freq", F.lit("15min")))
+    return rounded(reduce(DataFrame.unionByName, frames), 2, ["total"])
+
+
+@query(f"WITH {rows_sql('orders', 'o_totalprice', 'o_orderdate', ('1998-07-01', '1999-07-01'), ('1999-07-01', '2000-07-01'), SOURCE)},"
+       f" {segments_sql(ORDER_DIMENSIONS)} SELECT {SHOWN} FROM {measured('segments')}")
+def change_fiscal_years(spark, folder):
+    orders = table(spark, folder, "orders")
+    return shown(analyze_change(orders, "o_totalprice", "o_orderdate", "2000", dimensions=ORDER_DIMENSIONS, freq="Y-JUN").slices)
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d %H:00') AS period, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def period_totals_events_hourly(spark, folder):
     return rounded(period_totals(table(spark, folder, "events"), "value", "ts", "H"), 2, ["total"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -86,39 +88,103 @@ def _seconds(clock: Column) -> Column:
     return F.when(clock["h"] == "", 0).when(fits, 3600 * hour + 60 * minute + second).cast("decimal(18, 6)")
 
 
-FREQUENCIES = {
-    # frequency: unit to truncate to, format of the label
-    "Y": ("YEAR", "yyyy"),
-    "Q": ("QUARTER", "yyyy'Q'q"),
-    "M": ("MONTH", "yyyy-MM"),
-    "W": ("WEEK", "yyyy-MM-dd"),
-    "D": ("DAY", "yyyy-MM-dd"),
-    "H": ("HOUR", "yyyy-MM-dd HH:00"),
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+# unit: format of the label, seconds of units shorter than a day
+UNITS = {
+    "Y": ("yyyy", 0),
+    "Q": ("yyyy'Q'q", 0),
+    "M": ("yyyy-MM", 0),
+    "W": ("yyyy-MM-dd", 0),
+    "D": ("yyyy-MM-dd", 0),
+    "H": ("yyyy-MM-dd HH:00", 3600),
+    "MIN": ("yyyy-MM-dd HH:mm", 60),
+    "S": ("yyyy-MM-dd HH:mm:ss", 1),
 }
-ALIASES = {"A": "Y", "YE": "Y", "QE": "Q", "ME": "M"}
+PARSE = {"H": "%Y-%m-%d %H:00", "MIN": "%Y-%m-%d %H:%M", "S": "%Y-%m-%d %H:%M:%S"}
+ALIASES = {"A": "Y", "YE": "Y", "QE": "Q", "ME": "M", "T": "MIN"}
+
+
+@dataclass(frozen=True)
+class Frequency:
+    """A unit of time, how many of them make a period, and where the calendar is anchored.
+
+    `last` is the month that ends the year (`Y`, `Q`), from 1, or the weekday that ends the
+    week (`W`), from 0 for Monday. Periods of hours and less count from the Unix epoch, so
+    those that divide a day begin at midnight.
+    """
+
+    unit: str
+    count: int = 1
+    last: int = 12
+
+    @property
+    def ahead(self) -> int:
+        """Months from a date to the one whose calendar year is its fiscal year."""
+        return 12 - self.last
+
+    @property
+    def shift(self) -> int:
+        """How much later than the calendar's a period begins: months, or days of a week."""
+        return {"Y": self.last % 12, "Q": self.last % 3, "W": (self.last + 1) % 7}.get(self.unit, 0)
+
+    @property
+    def seconds(self) -> int:
+        return UNITS[self.unit][1] * self.count
+
+    def __str__(self) -> str:
+        anchor = ""
+        if self.unit in "YQ" and self.last != 12:
+            anchor = "-" + MONTHS[self.last - 1]
+        elif self.unit == "W" and self.last != 6:
+            anchor = "-" + WEEKDAYS[self.last]
+        return f"{self.count if self.count > 1 else ''}{self.unit}{anchor}"
+
+
+@lru_cache(maxsize=64)
+def parse_frequency(freq: str) -> Frequency:
+    """`M`, `W-SAT` (weeks that end on Saturday), `Y-JUN` and `Q-JUN` (years that end in June),
+    `15min`, `2H` and the like."""
+    found = re.fullmatch(r"(\d*)([A-Z]+)(?:-([A-Z]{3}))?", freq.upper())
+    count, unit, anchor = (found[1] or "1", ALIASES.get(found[2], found[2]), found[3]) if found else ("1", "", None)
+    anchors = MONTHS if unit in ("Y", "Q") else WEEKDAYS if unit == "W" else ()
+    if unit not in UNITS or int(count) < 1 or (int(count) > 1 and not UNITS[unit][1]) or (anchor and anchor not in anchors):
+        raise ValueError(
+            f"Unknown frequency {freq!r}; use one of {', '.join(UNITS)}, a year or quarter with its last month (Y-JUN),"
+            " a week with its last day (W-SAT), or a number of hours, minutes or seconds (15MIN)."
+        )
+    last = (anchors.index(anchor) if anchor else len(anchors) - 1) + (anchors is MONTHS) if anchors else 12
+    return Frequency(unit, int(count), last)
 
 
 def frequency(freq: str) -> str:
-    name = ALIASES.get(freq.upper(), freq.upper())
-    if name not in FREQUENCIES:
-        raise ValueError(f"Unknown frequency {freq!r}; use one of {', '.join(FREQUENCIES)}.")
-    return name
+    """The one spelling of a frequency."""
+    return str(parse_frequency(freq))
 
 
 def period_start(column: Column, freq: str) -> Column:
-    """First day (or hour) of the period. A plain date is a four-byte grouping key, so
+    """First day (or instant) of the period. A plain date is a four-byte grouping key, so
     aggregates group on this and labels are formatted once per period, not once per row."""
-    freq = frequency(freq)
-    if freq == "H":
-        return F.date_trunc("HOUR", column)
+    f = parse_frequency(freq)
+    if f.seconds:
+        if f.count == 1 and f.unit == "H":
+            return F.date_trunc("HOUR", column)
+        return F.timestamp_seconds(F.floor(F.unix_seconds(column.cast("timestamp")) / f.seconds) * f.seconds)
     day = column.cast("date")
-    return day if freq == "D" else F.trunc(day, FREQUENCIES[freq][0])
+    if f.unit == "D":
+        return day
+    if f.unit == "W":
+        return F.date_add(F.trunc(F.date_sub(day, f.shift), "WEEK"), f.shift) if f.shift else F.trunc(day, "WEEK")
+    name = {"Y": "YEAR", "Q": "QUARTER", "M": "MONTH"}[f.unit]
+    return F.add_months(F.trunc(F.add_months(day, -f.shift), name), f.shift) if f.shift else F.trunc(day, name)
 
 
 def period_label(start: Column, freq: str) -> Column:
-    freq = frequency(freq)
-    label = F.date_format(start, FREQUENCIES[freq][1])
-    if freq == "W":
+    """A fiscal year is named by the calendar year it ends in."""
+    f = parse_frequency(freq)
+    named = F.add_months(start, f.ahead) if f.unit in ("Y", "Q") and f.ahead else start
+    label = F.date_format(named, UNITS[f.unit][0])
+    if f.unit == "W":
         return F.concat_ws("/", label, F.date_format(F.date_add(start, 6), "yyyy-MM-dd"))
     return label
 
@@ -139,33 +205,35 @@ def period_bounds(label: str, freq: str) -> tuple[dt.datetime, dt.datetime] | No
     Comparing a raw column with these two values is what lets a period filter reach the
     file scan; a comparison on the label itself would not.
     """
-    freq = frequency(freq)
+    f = parse_frequency(freq)
     try:
-        if freq == "Y":
-            if not re.fullmatch(r"\d{4}", label):
-                return None
-            return dt.datetime(int(label), 1, 1), dt.datetime(int(label) + 1, 1, 1)
-        if freq == "Q":
+        if f.unit == "Y":
+            return _months(int(label), 1 - f.ahead, 12) if re.fullmatch(r"\d{4}", label) else None
+        if f.unit == "Q":
             match = re.fullmatch(r"(\d{4})Q([1-4])", label)
-            return match and _months(int(match[1]), 3 * int(match[2]) - 2, 3)
-        if freq == "M":
+            return match and _months(int(match[1]), 3 * int(match[2]) - 2 - f.ahead, 3)
+        if f.unit == "M":
             match = re.fullmatch(r"(\d{4})-(\d{2})", label)
-            return match and _months(int(match[1]), int(match[2]), 1)
-        if freq == "W":
+            return match and 1 <= int(match[2]) <= 12 and _months(int(match[1]), int(match[2]), 1) or None
+        if f.unit == "W":
             match = re.fullmatch(r"(\d{4}-\d{2}-\d{2})/\d{4}-\d{2}-\d{2}", label)
             if match is None:
                 return None
-            monday = dt.datetime.fromisoformat(match[1])
-            return monday, monday + dt.timedelta(days=7)
-        if freq == "D":
+            first = dt.datetime.fromisoformat(match[1])
+            return (first, first + dt.timedelta(days=7)) if first.weekday() == f.shift else None
+        if f.unit == "D":
             day = dt.datetime.strptime(label, "%Y-%m-%d")
             return day, day + dt.timedelta(days=1)
-        hour = dt.datetime.strptime(label, "%Y-%m-%d %H:00")
-        return hour, hour + dt.timedelta(hours=1)
+        instant = dt.datetime.strptime(label, PARSE[f.unit])
+        if (instant - dt.datetime(1970, 1, 1)) % dt.timedelta(seconds=f.seconds):
+            return None
+        return instant, instant + dt.timedelta(seconds=f.seconds)
     except ValueError:
         return None
 
 
 def _months(year: int, month: int, count: int) -> tuple[dt.datetime, dt.datetime]:
-    after = year * 12 + month - 1 + count
-    return dt.datetime(year, month, 1), dt.datetime(after // 12, after % 12 + 1, 1)
+    """From the first of a month, counted on from January of a year, for so many months."""
+    ends = [year * 12 + month - 1 + k for k in (0, count)]
+    first, after = (dt.datetime(n // 12, n % 12 + 1, 1) for n in ends)
+    return first, after

@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from deltascope.functions import fixed
 from deltascope.functions.text import as_text, is_datetime, strip
 
-# How far an approximate count may exceed the limit before a column is ruled out without an
-# exact count. At the standard error used here that is more than fifty deviations, so no
-# column within the limit is lost.
-SCREEN_FACTOR = 2
-SCREEN_ERROR = 0.02
+
+def over_limit(df: DataFrame, values: dict[str, Column], limit: int) -> set[str]:
+    """The names whose values are certainly more than `limit` different ones.
+
+    Every task keeps a set of hashes per column until it has one too many; then the column is
+    decided and no longer looked at. Sets of tasks are united, at most `limit` rows a column
+    and task. Equal values have equal hashes, so a column over the limit by its hashes is over
+    it by its values; the few that are not are for an exact count.
+    """
+    names = list(values)
+    hashed = df.select(*[F.when(v.isNotNull(), F.xxhash64(v)).alias(f"h{i}") for i, v in enumerate(values.values())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set | None] = [set() for _ in names]
+        for batch in batches:
+            for i, own in enumerate(seen):
+                if own is not None:
+                    own.update(pc.unique(batch.column(i)).drop_null().to_pylist())
+                    if len(own) > limit:
+                        seen[i] = None
+        rows = [(i, h) for i, own in enumerate(seen) for h in ([None] if own is None else own)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.int64())], names=["position", "hash"]
+        )
+
+    distinct = hashed.mapInArrow(run, "position int, hash bigint").distinct()
+    found = distinct.groupBy("position").agg(F.count("*").alias("n"), F.bool_or(F.col("hash").isNull()).alias("over"))
+    return {names[r["position"]] for r in found.collect() if r["over"] or r["n"] > limit}
 
 
 def folded_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,8 +61,8 @@ def auto_dimensions(
 ) -> list[str]:
     """Text columns with 2 to `max_unique` distinct values, spelling variants counted once.
 
-    Columns of names or keys are ruled out by a sketch that needs no shuffle; only the rest
-    is counted exactly, and those are too few values to make a shuffle of any size.
+    Columns of names or keys are ruled out by sets that stop at the limit; only the rest is
+    counted exactly, and those are too few values to make a shuffle of any size.
     """
     text = [
         f.name for f in df.schema.fields
@@ -43,10 +70,8 @@ def auto_dimensions(
     ]
     if not text:
         return []
-    sketch = df.agg(*[
-        F.approx_count_distinct(F.lower(strip(as_text(df, c))), SCREEN_ERROR).alias(f"n{i}") for i, c in enumerate(text)
-    ]).first()
-    few = [c for i, c in enumerate(text) if sketch[f"n{i}"] <= SCREEN_FACTOR * max_unique]
+    many = over_limit(df, {c: F.lower(strip(as_text(df, c))) for c in text}, max_unique)
+    few = [c for c in text if c not in many]
     if not few:
         return []
     counts = {r["dimension"]: r["distinct_values"] for r in folded_counts(df, few).collect()}

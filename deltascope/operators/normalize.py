@@ -8,8 +8,8 @@ from deltascope.functions import fixed
 from deltascope.functions.text import as_text, category_key, quoted, strip
 from deltascope.sources.materialize import materialize
 
-
-# How many variants of a category a note spells out.
+# Into how many parts the rows of one category are dealt for a lookup that is not broadcast.
+PARTS = 16
 
 
 def spelling_counts(df: DataFrame, columns: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
@@ -62,17 +62,20 @@ def normalize_categorical(df: DataFrame, column: str) -> tuple[DataFrame, DataFr
 
     Only categories written in more than one way need a lookup; every other row keeps its
     own trimmed text. The lookup is therefore small in practice, its size is known from its
-    files, and the optimizer broadcasts it when it fits. When it does not, adaptive
-    execution splits a hot category across tasks.
+    files, and the optimizer broadcasts it when it fits. When it does not, no category meets
+    in one place: labels are repeated for each of `PARTS` parts that their rows are dealt
+    into, and rows that are missing a value, which have no label, go by their own number.
     """
     spellings = materialize(spelling_counts(df, [column]), "spellings")
     labels = (
         fold(spellings)
         .filter((F.col("spellings") > 1) & (F.col("key") != fixed.MISSING))
-        .select(F.col("key").alias("__key"), F.col("segment").alias("__label"))
+        .select(F.col("key").alias("__key"), F.col("segment").alias("__label"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(PARTS)])).alias("__part"))
     )
-    text = strip(as_text(df, column))
-    joined = df.withColumn("__key", category_key(text)).join(materialize(labels, "labels"), "__key", "left")
+    text, number = strip(as_text(df, column)), F.monotonically_increasing_id()
+    keyed = df.withColumn("__key", category_key(text))
+    keyed = keyed.withColumn("__part", F.when(F.col("__key") == fixed.MISSING, -1 - number).otherwise(F.pmod(number, F.lit(PARTS))))
+    joined = keyed.join(materialize(labels, "labels"), ["__key", "__part"], "left")
     folded = F.when(F.col("__key") == fixed.MISSING, F.lit(fixed.MISSING)).otherwise(F.coalesce("__label", text))
     return joined.withColumn(column, folded).select(*[quoted(c) for c in df.columns]), report(spellings)
 

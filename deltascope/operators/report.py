@@ -99,17 +99,58 @@ def gate(results: DataFrame, minimum: float = fixed.GATE_MIN_SCORE) -> DataFrame
     return totals.withColumn("score", score).withColumn("ok", F.col("score") >= minimum)
 
 
+CALL_FIELDS = {"input_tokens": "bigint", "output_tokens": "bigint", "seconds": "double", "cost_usd": "double"}
+
+
+def with_calls(runs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Runs with their calls nested as `calls`; a run without any has an empty list.
+
+    Calls are `case_id, model, attempt` and the figures of `CALL_FIELDS`, of which any may be
+    missing. The calls of one run are few, since a run is one answer.
+    """
+    key = ["case_id", "model", "attempt"]
+    figures = [F.col(n).cast(t).alias(n) if n in calls.columns else F.lit(None).cast(t).alias(n) for n, t in CALL_FIELDS.items()]
+    nested = calls.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.collect_list(F.struct(*figures)).alias("calls"))
+    joined = runs.join(nested, [runs[k].eqNullSafe(nested[f"_{k}"]) for k in key], "left")
+    empty = F.array().cast(nested.schema["calls"].dataType)
+    return joined.withColumn("calls", F.coalesce("calls", empty)).drop(*[f"_{k}" for k in key])
+
+
 def usage(runs: DataFrame) -> DataFrame:
-    """Calls, tokens, seconds, cost and speed per model."""
-    cost = F.sum("cost_usd") if "cost_usd" in runs.columns else F.lit(0.0)
-    return runs.groupBy("model").agg(
-        F.count("*").alias("calls"), F.sum("output_tokens").alias("output_tokens"),
-        F.sum("seconds").alias("seconds"), cost.alias("cost_usd"),
+    """Runs, calls, tokens, seconds, cost and speed per model.
+
+    With a nested `calls` column, as `with_calls` makes it, every call counts; each run is
+    added up by itself before anything moves. Without one a run is a call.
+    """
+    if "calls" in runs.columns:
+        def total(name: str) -> Column:
+            kind = CALL_FIELDS[name]
+            return F.aggregate("calls", F.lit(0).cast(kind), lambda t, c: t + F.coalesce(c[name], F.lit(0).cast(kind)))
+
+        figures = {"calls": F.size("calls").cast("bigint"), **{n: total(n) for n in CALL_FIELDS}}
+    else:
+        figures = {"calls": F.lit(1).cast("bigint")} | {
+            n: F.col(n) if n in runs.columns else F.lit(0).cast(t) for n, t in CALL_FIELDS.items()
+        }
+    per_run = runs.select("model", *[value.alias(n) for n, value in figures.items()])
+    return per_run.groupBy("model").agg(
+        F.count("*").alias("runs"), *[F.sum(n).alias(n) for n in figures]
     ).withColumn(
         "tokens_per_second", F.when(F.col("seconds") != 0, F.col("output_tokens") / F.col("seconds")).otherwise(0.0)
     )
 
 
+def usage_text(runs: DataFrame) -> DataFrame:
+    """`(model, usage)`: one line a model."""
+    c = F.col
+    cost = F.when(c("cost_usd") > 0, F.format_string("$%.4f", "cost_usd")).otherwise("no cost")
+    line = F.concat(
+        F.format_number("calls", 0), F.lit(" call(s) in "), F.format_number("runs", 0), F.lit(" run(s), "),
+        F.format_number(F.coalesce("output_tokens", F.lit(0)), 0), F.lit(" tokens out, "), F.format_string("%.1f s", F.coalesce("seconds", F.lit(0.0))), F.lit(", "), cost,
+    )
+    return usage(runs).select("model", F.when(c("calls") == 0, "no calls").otherwise(line).alias("usage"))
+
+
 def eval_report(results: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
     return {
         "scores": score_by_model(results, runs),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltascope.functions import fixed
 from deltascope.functions.text import as_text, category_key, present, quoted, strip
+from deltascope.functions.time import parse_frequency
 from deltascope.operators.periods import TimeAxis, amount, time_axis
 from deltascope.operators.quantiles import medians
 from deltascope.sources.materialize import materialize
@@ -169,9 +170,10 @@ def series(df: DataFrame, metrics: list[str], date_column: str, freq: str = "M")
 def _year_later(axis: TimeAxis, start: Column) -> Column:
     if not axis.dated:
         return start + 1
-    if axis.freq == "H":
+    freq = parse_frequency(axis.freq)
+    if freq.seconds:
         return start + F.expr("INTERVAL '1' YEAR")
-    if axis.freq == "W":
+    if freq.unit == "W":
         return F.date_add(start, 364)  # the same weekday, 52 weeks on
     return F.add_months(start, 12)
 

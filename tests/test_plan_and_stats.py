@@ -124,3 +124,16 @@ def test_queries_are_complete():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+@pytest.mark.parametrize("distinct", [50, 51])
+def test_dimensions_at_the_limit(spark, distinct):
+    """Fifty spellings are a dimension and fifty-one are not, wherever the values lie and however often they come."""
+    values = [f"v{i % distinct}" for i in range(4000)]
+    spread = spark.createDataFrame([(v, v.upper() + " ", "x") for v in sorted(values)] + [("v0", "V0", "y")] * 5000, "sorted string, spelled string, two string")
+    expected = ["sorted", "spelled", "two"] if distinct == 50 else ["two"]
+    for parts in (1, 7):
+        assert ds.auto_dimensions(spread.repartition(parts), max_unique=50) == expected
+    # all values in one task, and one more in another
+    late = spread.coalesce(1).unionByName(spark.createDataFrame([("late", None, None)], spread.schema))
+    assert ds.auto_dimensions(late, max_unique=50) == (["spelled", "two"] if distinct == 50 else ["two"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltascope import clean_text, coerce_numeric, normalization_report, normalize_categorical, parse_dates, period_of, strip
-from deltascope.functions.time import period_bounds
+from deltascope.functions.time import frequency, period_bounds
 from deltascope.operators.normalize import describe, merged_spellings, spelling_counts
 
 
@@ -51,6 +51,56 @@ def test_labels_and_bounds_agree(spark, freq, label):
     assert period_bounds("nonsense", freq) is None
 
 
+@pytest.mark.parametrize("freq,named", [
+    ("Y-JUN", "Y-JUN"), ("A-JAN", "Y-JAN"), ("Q-JAN", "Q-JAN"), ("Q-NOV", "Q-NOV"), ("Q-DEC", "Q"), ("W-SAT", "W-SAT"), ("W-SUN", "W"), ("W-WED", "W-WED"),
+])
+def test_anchored_calendars_agree_with_pandas(spark, freq, named):
+    import pandas as pd
+
+    assert frequency(freq) == named
+    days = [dt.datetime(2019, 12, 20) + dt.timedelta(days=17 * i, hours=5) for i in range(60)]
+    rows = spark.createDataFrame([(d,) for d in days], "t timestamp").select("t", period_of(F.col("t"), freq).alias("p")).collect()
+    for r in rows:
+        assert r.p == str(pd.Period(r.t, freq.replace("A-", "Y-")))
+        start, end = period_bounds(r.p, freq)
+        assert start <= r.t < end
+        assert period_bounds(r.p, freq) == (pd.Period(r.t, freq.replace("A-", "Y-")).start_time, (pd.Period(r.t, freq.replace("A-", "Y-")) + 1).start_time)
+
+
+@pytest.mark.parametrize("freq,label", [("15min", "2026-03-18 05:00"), ("2T", "2026-03-18 05:06"), ("6H", "2026-03-18 00:00"), ("30S", "2026-03-18 05:07:30")])
+def test_parts_of_a_day(spark, freq, label):
+    moment = dt.datetime(2026, 3, 18, 5, 7, 44)
+    assert spark.createDataFrame([(moment,)], "t timestamp").select(period_of(F.col("t"), freq)).first()[0] == label
+    start, end = period_bounds(label, freq)
+    assert start <= moment < end and period_bounds("2026-03-18 05:01" if "S" not in freq else "2026-03-18 05:07:01", freq) is None
+
+
+@pytest.mark.parametrize("freq", ["X", "2M", "Y-XXX", "W-JAN", "0H", "", "M-JAN"])
+def test_unknown_frequencies(freq):
+    with pytest.raises(ValueError, match="frequency"):
+        frequency(freq)
+
+
+def test_hot_categories_do_not_meet_in_one_task(spark):
+    """Half of the rows without a value and a third of one category, labels not broadcast."""
+    n = 12_000
+    hot = F.when(F.col("id") % 6 < 3, F.lit(None)).when(F.col("id") % 6 < 5, F.when(F.col("id") % 2 == 0, "West").otherwise("west ")).otherwise(F.concat(F.lit("c"), F.col("id") % 50))
+    df = spark.range(0, n, 1, 8).select("id", hot.alias("region"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        folded, _ = normalize_categorical(df, "region")
+        sizes = [r["count"] for r in folded.groupBy(F.spark_partition_id()).count().collect()]
+        found = {r.region: r["count"] for r in folded.groupBy("region").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) < 4 * n / 16
+    assert found["(missing)"] == n / 2 and found["West"] + found.get("west", 0) == n / 3 and "west" not in found
+
+
 def test_normalize(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["West", "west", " West ", "East", "N/A", None])], "i int, region string")
     folded, report = normalize_categorical(df, "region")
