@@ -179,26 +179,41 @@ ATTEMPTS = """attempts AS (SELECT user_id AS answer_id, event_id AS step, event_
   event_type <> 'error' AS ok, CASE WHEN value > 5 THEN props ELSE ' ' END AS output FROM events)"""
 
 
+def _signed(value: str, digits: int) -> str:
+    return f"printf('%+.{digits}f', round({value}, {digits}))"
+
+
 def _graded_sql() -> str:
+    change, code = "has_change", "successful IS NOT NULL"
+    numbers = f"array_to_string(list_transform(list_sort({numbers_sql('narrative')}), lambda n: n::VARCHAR), ', ')"
+    lead = "split_part(narrative, '.', 1)"
+    invented = f"coalesce('invented [' || array_to_string(list_transform(list_sort(CASE WHEN source_text IS NOT NULL THEN {INVENTED} END), lambda n: n::VARCHAR), ', ') || ']', 'no source to trace figures to')"
+    lacking = "array_to_string(list_filter(['Customer', '1'], lambda t: NOT contains(lower(narrative), lower(t))), ', ')"
+    # family, assertion, when there is something to compare, whether it holds, what is said about it
     tests = [
-        ("routing", "route change", "route = 'change'"), ("routing", "verified 1.0", "verified"),
-        ("interpretation", "metric o_totalprice", "has_change"), ("interpretation", "period 1999", "has_change AND year(o_orderdate) = 1999"),
-        ("interpretation", "dimensions status, priority", "has_change AND o_custkey % 2 = 0"),
-        ("correctness", "total_change 5.0", "has_change AND abs(o_totalprice / 50000 - 5.0) <= 2.5"),
-        ("correctness", "top_slice A, F", "has_change AND o_custkey % 3 = 0"),
-        ("correctness", "contribution F, A 50.0", "has_change AND coalesce(abs(100 * af / total - 50.0) <= 10.0, false)"),
-        ("correctness", "decoy O, N", "has_change AND coalesce(n_o >= 25, false)"),
-        ("correctness", "checks_pass", "has_change AND coalesce(n_checks = n_passed, false)"),
-        ("correctness", "executed 1.0", "coalesce(successful >= 1, false)"), ("correctness", "repairs_at_most 2.0", "coalesce(failed <= 2, false)"),
-        ("correctness", "reports_value 17.0", f"len(list_filter({numbers_sql('narrative')}, lambda n: abs(n - 17.0) <= 0.01)) > 0"),
-        ("communication", "mentions Customer, 1", "contains(lower(narrative), 'customer') AND contains(narrative, '1')"),
-        ("communication", "leads_with customer", "contains(lower(split_part(narrative, '.', 1)), 'customer')"),
-        ("communication", "no_invented_numbers", f"coalesce(source_text IS NOT NULL AND len({INVENTED}) = 0, false)"),
-        ("communication", "no_causal_claim", f"NOT regexp_matches(narrative, '{fixed.CAUSAL_PATTERN}')"),
-        ("communication", "no_summed_contributions", f"NOT regexp_matches(narrative, '{SUMMED}')"),
+        ("routing", "route change", "true", "route = 'change'", "'routed to ' || route"),
+        ("routing", "verified 1.0", "true", "verified", "'verified=' || verified"),
+        ("interpretation", "metric o_totalprice", change, "true", "'chose o_totalprice'"),
+        ("interpretation", "period 1999", change, "year(o_orderdate) = 1999", "'compared into ' || year(o_orderdate)"),
+        ("interpretation", "dimensions status, priority", change, "o_custkey % 2 = 0", "CASE WHEN o_custkey % 2 = 0 THEN 'missing []' ELSE 'missing [priority]' END"),
+        ("correctness", "total_change 5.0", change, "abs(o_totalprice / 50000 - 5.0) <= 2.5", f"{_signed('o_totalprice / 50000', 2)} || '% against +5.00%'"),
+        ("correctness", "top_slice A, F", change, "o_custkey % 3 = 0", "'top contributor was ' || CASE WHEN o_custkey % 3 = 0 THEN 'F x A' ELSE 'A x O' END"),
+        ("correctness", "contribution F, A 50.0", change, "abs(100 * af / total - 50.0) <= 10.0", f"coalesce({_signed('100 * af / total', 2)} || ' pp against +50.00 pp', 'no such slice')"),
+        ("correctness", "decoy O, N", change, "n_o >= 25", f"coalesce('own ' || {_signed('n_o', 1)} || '%, contributes ' || {_signed('100 * n_o / total', 2)} || ' pp', 'no such slice')"),
+        ("correctness", "checks_pass", change, "n_checks = n_passed", "coalesce(n_passed || ' of ' || n_checks || ' passed', 'no checks')"),
+        ("correctness", "executed 1.0", code, "successful >= 1", "successful || ' successful attempt(s)'"),
+        ("correctness", "repairs_at_most 2.0", code, "failed <= 2", "failed || ' failed attempt(s)'"),
+        ("correctness", "reports_value 17.0", "true", f"len(list_filter({numbers_sql('narrative')}, lambda n: abs(n - 17.0) <= 0.01)) > 0", f"'found [' || {numbers} || ']'"),
+        ("communication", "mentions Customer, 1", "true", "contains(lower(narrative), 'customer') AND contains(narrative, '1')", f"'missing [' || {lacking} || ']'"),
+        ("communication", "leads_with customer", "true", f"contains(lower({lead}), 'customer')", f"'first sentence: ' || left({lead}, {g.LEAD_SHOWN})"),
+        ("communication", "no_invented_numbers", "true", f"source_text IS NOT NULL AND len({INVENTED}) = 0", invented),
+        ("communication", "no_causal_claim", "true", f"NOT regexp_matches(narrative, '{fixed.CAUSAL_PATTERN}')", f"coalesce(nullif(regexp_extract(narrative, '{fixed.CAUSAL_PATTERN}', 0), ''), 'none')"),
+        ("communication", "no_summed_contributions", "true", f"NOT regexp_matches(narrative, '{SUMMED}')", f"coalesce(nullif(regexp_extract(narrative, '{SUMMED}', 0), ''), 'none')"),
     ]
     rows = " UNION ALL ".join(
-        f"SELECT answer_id, case_id, model, attempt, '{family}' AS family, '{name}' AS assertion, {test} AS passed FROM joined" for family, name, test in tests
+        f"SELECT answer_id, case_id, model, attempt, '{family}' AS family, '{name}' AS assertion, ({possible}) AND coalesce({test}, false) AS passed,"
+        f" CASE WHEN {possible} THEN {detail} ELSE format('routed to ''{{}}'', so there is nothing to compare', route) END AS detail FROM joined"
+        for family, name, possible, test, detail in tests
     )
     return f"""{ANSWERS}, {ATTEMPTS}, line AS (SELECT l_orderkey AS answer_id, sum(l_quantity) AS total,
     sum(l_quantity) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS af, sum(l_quantity) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS n_o,
@@ -212,9 +227,9 @@ def _graded_sql() -> str:
 GRADED = _graded_sql()
 
 
-@query(f"WITH {GRADED} SELECT answer_id, family, assertion, passed FROM results")
+@query(f"WITH {GRADED} SELECT answer_id, family, assertion, passed, detail FROM results")
 def audit_results(spark, folder):
-    return graded(spark, folder).select("answer_id", "family", "assertion", "passed")
+    return graded(spark, folder).select("answer_id", "family", "assertion", "passed", "detail")
 
 
 @query(f"""WITH {ATTEMPTS}, islands AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY answer_id ORDER BY step) AS island FROM attempts),
