@@ -115,10 +115,8 @@ def both_sql(body) -> str:
 
 
 # the more concentrated dimension comes first; which one that is follows from the data
-def crossing_sql(ranges, select: str) -> str:
+def crossing(base: str, dims: list[str], select: str) -> str:
     """`select` over `crossed`, crossed in the order of concentration."""
-    base = order_sql(ranges)
-    dims = ORDER_DIMENSIONS
     spread = (
         f"spread AS (SELECT dimension, max(abs(pp)) AS most FROM {measured('segments')} GROUP BY dimension),"
         " ordered AS (SELECT (SELECT most FROM spread WHERE dimension = '%s') >= (SELECT most FROM spread WHERE dimension = '%s') AS given)"
@@ -132,6 +130,10 @@ def crossing_sql(ranges, select: str) -> str:
     )
 
 
+def crossing_sql(ranges, select: str) -> str:
+    return crossing(order_sql(ranges), ORDER_DIMENSIONS, select)
+
+
 # ---------------------------------------------------------------- breakdowns
 
 query(both_sql(f"SELECT {SHOWN} FROM {measured('segments')}"), "change_orders_by_dim")(both_pairs(lambda a: shown(a.slices)))
@@ -224,6 +226,14 @@ query(both_sql("SELECT round(tb, 2) AS total_before, round(ta, 2) AS total_after
 )
 
 
+def _drift_sql(ranges) -> str:
+    """How far the totals are from those of the rows by their period's name, not by a range."""
+    named = "strftime(o_orderdate, '%Y')" if ranges is YEARS else "strftime(o_orderdate, '%Y-%m')"
+    before, after = (first[:4] if ranges is YEARS else first[:7] for first, _ in ranges)
+    raw = ", ".join(f"sum(o_totalprice) FILTER ({named} = '{p}') AS {n}" for n, p in (("rb", before), ("ra", after)))
+    return f"SELECT abs(rb - tb) + abs(ra - ta) AS drift FROM (SELECT {raw} FROM orders), totals"
+
+
 def _checks_sql(ranges) -> str:
     against = f"SELECT dimension, coalesce(sum(CASE WHEN change * sign(delta) < 0 THEN abs(pp) END), 0) AS counter FROM {measured('segments')} GROUP BY dimension"
     top = f"SELECT dimension, abs(pp) AS pp FROM {measured('segments')} WHERE change * sign(delta) > 0 ORDER BY abs(pp) DESC LIMIT 1"
@@ -231,7 +241,7 @@ def _checks_sql(ranges) -> str:
     return crossing_sql(
         ranges,
         f"SELECT 'reconcile' AS kind, dimension AS subject, abs(min(delta) - sum(change)) <= 0.01 AS passed, 0.0 AS value FROM {ALL_SLICES} GROUP BY dimension"
-        " UNION ALL SELECT 'recompute', 'o_totalprice', TRUE, 0.0"
+        f" UNION ALL SELECT 'recompute', 'o_totalprice', drift <= 0.01, round(drift, 2) FROM ({_drift_sql(ranges)})"
         f" UNION ALL SELECT 'concentrated', dimension, pp / abs(100 * delta / tb) >= 0.35, round(pp / abs(100 * delta / tb), 6) FROM ({top}), totals"
         f" UNION ALL SELECT 'offsetting', dimension, {ratio} <= 0.5, round({ratio}, 6) FROM (SELECT * FROM ({against}) ORDER BY counter DESC LIMIT 1), totals",
     )
@@ -271,11 +281,56 @@ query(
 )(both_pairs(lambda a: a._raw.sparkSession.createDataFrame([(a.passed,)], "passed boolean")))
 
 
-@query(f"WITH {order_sql(YEARS)} SELECT 'total' AS section, round(pp, 6) AS contribution_pp, segment FROM (SELECT CAST(NULL AS DOUBLE) AS pp, CAST(NULL AS VARCHAR) AS segment)"
-       f" UNION ALL SELECT 'alternative_view', round(pp, 6), segment FROM (SELECT * FROM {measured('segments')} WHERE change * sign(delta) > 0 ORDER BY abs(pp) DESC LIMIT 3)")
-def change_orders_facts(spark, folder):
-    facts = order_pair(spark, folder).facts().filter(F.col("section").isin("total", "alternative_view"))
-    return rounded(facts, 6, ["contribution_pp"]).select("section", "contribution_pp", "segment")
+def facts_sql(base: str, dims: list[str], periods: tuple[str, str]) -> str:
+    """All sections of the fact table with their texts."""
+    spans = f"SELECT *, {RANK} AS place FROM {{}} WHERE change * sign(delta) > 0"
+    figures = "dimension, segment, round(pp, 6) AS contribution_pp, round(own, 6) AS own_pct_change, round(base_share, 6) AS share_of_total_before"
+    none = "NULL::VARCHAR AS dimension, NULL::VARCHAR AS segment, NULL::DOUBLE AS contribution_pp, NULL::DOUBLE AS own_pct_change, NULL::DOUBLE AS share_of_total_before"
+    pct, counter = "100 * delta / tb", "coalesce(sum(CASE WHEN change * sign(delta) < 0 THEN abs(pp) END), 0)"
+    crossed, segments = measured("crossed"), measured("segments")
+    return crossing(base, dims, f"""
+    SELECT 'total' AS section, 1 AS rank, {none}, format('o_totalprice {{}} from {{:,.2f}} in {periods[0]} to {{:,.2f}} in {periods[1]}, a change of {{:,.2f}} (',
+        CASE WHEN delta < 0 THEN 'fell' ELSE 'rose' END, tb, ta, delta) || printf('%+.1f%%)', {pct}) AS text FROM totals
+    UNION ALL SELECT 'headline', 1, {figures}, segment || ' (' || dimension || printf('): %+.2f percentage points of the %+.1f%% change; its own change was %+.1f%% and it made up %.1f%% of the starting total',
+        pp, {pct}, own, base_share) FROM (SELECT * FROM ({spans.format(crossed)}) WHERE place = 1), (SELECT tb FROM totals)
+    UNION ALL SELECT 'supporting', (place - 1)::INT, {figures}, segment || printf(': %+.2f pp (own change %+.1f%%)', pp, own) FROM ({spans.format(crossed)}) WHERE place IN (2, 3)
+    UNION ALL SELECT 'alternative_view', place::INT, {figures}, 'by ' || dimension || ': ' || segment || printf(' %+.2f pp; overlaps with the headline', pp)
+        FROM (SELECT *, row_number() OVER (ORDER BY abs(pp) DESC) AS place FROM {segments} WHERE change * sign(delta) > 0) WHERE place <= 3
+    UNION ALL SELECT 'decoy', 1, {figures}, segment || printf(' moved %+.1f%% on its own but accounts for only %+.2f pp of the %+.1f%% change: it was %.1f%% of the starting o_totalprice',
+        own, pp, {pct}, base_share) FROM (SELECT * FROM {crossed} WHERE change * sign(delta) > 0 AND abs(own) >= 25 AND abs(move_share) < 0.1
+            ORDER BY abs(pp) DESC, change, segment LIMIT 1), (SELECT tb FROM totals)
+    UNION ALL SELECT 'failed_check', (row_number() OVER (ORDER BY o))::INT, {none}, text FROM (
+        SELECT 1 AS o, printf('one contributor accounts for enough of the change: the largest contributor accounts for %.0f%% of the move: broad, not one segment', 100 * share) AS text
+        FROM (SELECT max(abs(pp)) / max(abs({pct})) AS share FROM {segments}, (SELECT tb FROM totals) WHERE change * sign(delta) > 0) WHERE share < 0.35
+        UNION ALL SELECT 2, 'little moved against the change: segments of ''' || dimension || printf(''' that moved the other way come to %.0f%% of the net %+.1f%% (', 100 * ratio, pct)
+            || (SELECT string_agg(segment || printf(' %+.2f pp', pp), ', ' ORDER BY place) FROM (SELECT *, {RANK} AS place FROM {segments} WHERE change * sign(delta) < 0) z
+                WHERE z.dimension = w.dimension AND place <= 2) || '), so the net hides movement on both sides'
+        FROM (SELECT dimension, {counter} / max(abs({pct})) AS ratio, max({pct}) AS pct FROM {segments}, (SELECT tb FROM totals) GROUP BY dimension ORDER BY ratio DESC LIMIT 1) w WHERE ratio > 0.5)""")
+
+
+def _facts(a) -> DataFrame:
+    return rounded(a.facts().drop("position"), 6, ["contribution_pp", "own_pct_change", "share_of_total_before"])
+
+
+query(facts_sql(order_sql(YEARS), ORDER_DIMENSIONS, ("1999", "2000")), "change_orders_facts")(lambda spark, folder: _facts(order_pair(spark, folder)))
+
+# many small groups: some of their crossings move a lot on their own and explain little
+GROUPED = {"o_orderpriority": "o_orderpriority", "grp": "'g' || (o_custkey % 13)"}
+
+
+def grouped_pair(spark, folder):
+    orders = table(spark, folder, "orders").withColumn("grp", F.concat(F.lit("g"), (F.col("o_custkey") % 13).cast("string")))
+    return analyze_change(orders, "o_totalprice", "o_orderdate", "1999-02", "1999-01", list(GROUPED))
+
+
+GROUPED_BASE = f"{rows_sql('orders', 'o_totalprice', 'o_orderdate', *MONTHS, GROUPED)}, {segments_sql(list(GROUPED))}"
+query(facts_sql(GROUPED_BASE, list(GROUPED), ("1999-01", "1999-02")), "change_grouped_facts")(lambda spark, folder: _facts(grouped_pair(spark, folder)))
+
+query(
+    crossing(GROUPED_BASE, list(GROUPED), "SELECT dimension, segment, round(pp, 6) AS contribution_pp, round(own, 6) AS own_pct_change FROM " + measured("crossed")
+             + " WHERE change * sign(delta) > 0 AND abs(own) >= 25 AND abs(move_share) < 0.1 ORDER BY abs(pp) DESC, change, segment LIMIT 3"),
+    "change_grouped_decoys",
+)(lambda spark, folder: rounded(grouped_pair(spark, folder).decoys(), 6, ["contribution_pp", "own_pct_change"]).select("dimension", "segment", "contribution_pp", "own_pct_change"))
 
 
 LINE = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}
