@@ -43,19 +43,17 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     WITH lines AS (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
         FROM documents WHERE text IS NOT NULL),
-    hashed AS (SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS h FROM lines),
-    starts AS (
-        SELECT *, CASE WHEN i = 0 OR ({line_dedup.BASE} * lag(h) OVER d + h) % {line_dedup.EVERY} = 0 THEN 1 ELSE 0 END AS s
-        FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-    numbered AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM starts),
+    worded AS (
+        SELECT doc_id, i, line, lead(i) OVER d AS next_i, lead(line) OVER d AS next_line FROM lines
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
     chunks AS (
-        SELECT doc_id, chunk, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS body
-        FROM numbered GROUP BY doc_id, chunk HAVING count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) >= 2),
+        SELECT doc_id, i AS first, next_i AS last, line || chr(10) || next_line AS body FROM worded WHERE next_i IS NOT NULL
+        UNION ALL SELECT doc_id, i, i, line FROM worded WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {line_dedup.LONG_LINE}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS r FROM chunks),
+    cut AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM ranked WHERE r > 1),
     rest AS (
-        SELECT n.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (r IS NULL OR r = 1) AS clean_text, count(*) AS n_lines,
-               count(*) FILTER (r > 1) AS n_removed_lines
-        FROM numbered n LEFT JOIN ranked k ON n.doc_id = k.doc_id AND n.chunk = k.chunk GROUP BY n.doc_id)
+        SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (c.i IS NULL) AS clean_text, count(*) AS n_lines, count(c.i) AS n_removed_lines
+        FROM lines l LEFT JOIN cut c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id)
     SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(clean_text, '') END AS clean_text,
            coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines
     FROM documents d LEFT JOIN rest ON d.doc_id = rest.doc_id""")
