@@ -158,7 +158,10 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     out.append((order, label, where.astype("<i4").tobytes(), counts[where].astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["order", "label", "buckets", "counts"])
 
-    sample = labelled.join(chosen, labelled["_id"] == chosen["_chosen"]).select("_order", "label", "text")
+    # an id that repeats brings all its rows back: the bound is on rows, ties by a hash of the text
+    met = labelled.join(chosen, labelled["_id"] == chosen["_chosen"]).select("_order", "label", "text", F.xxhash64("text").alias("_tie"))
+    of_label = Window.partitionBy("label").orderBy("_order", "_tie")
+    sample = met.withColumn("_rank", F.row_number().over(of_label)).where(F.col("_rank") <= per_language).select("_order", "label", "text")
     rows = sample.mapInPandas(vectors, "order long, label string, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r["order"], r["label"], bytes(r["buckets"])))
     languages = sorted({r["label"] for r in rows})

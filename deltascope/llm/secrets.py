@@ -35,14 +35,14 @@ def either_case(word: str) -> str:
 class Rule:
     """Matches of `pattern`, leftmost and non-overlapping, whose `group` has at least `least` characters.
 
-    `beyond` is what is masked together with a match that it follows directly.
+    `fast` matches the same with possessive loops: no recursion, however long the match.
     """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    beyond: str = ""
+    fast: str = ""
 
 
 # fixed patterns of the base kinds; the last two have their least length in the pattern
@@ -52,15 +52,25 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
-# what follows a key's header: all up to its END line; where that is missing, header fields and
-# lines of base64 and one word more, since the last line may be short. Loops are possessive: Java
-# runs these without recursion, however long the key
-_GAP = r"(?:[\s\"'`,>#*|+]|\\[nrt]?)*+"
-_BASE64 = r"(?:[A-Za-z0-9+/]{16,}+={0,2}+|(?<=\n)[A-Za-z0-9+/]++={0,2}+(?=\s*+(?:\n|\z)))"
-_KEY_BODY = (
-    r"[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?:{_GAP}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:{_GAP}{_BASE64})++(?:{_GAP}[A-Za-z0-9+/]++={{0,2}}+)?+"
-)
+
+
+def _private_key(p: str) -> str:
+    """A whole private key: from its header to its END line, or, where that is missing, as far as
+    header fields and runs of base64 go and one word more, since the last line may be short.
+
+    `p` makes loops possessive where the engine has that."""
+    gap = rf"(?:[ \t\r\n\"'`,>#*|]|\\[nrt]?)*{p}"
+    ended = rf"[^-]*{p}(?:-{{1,4}}{p}[^-]+{p})*{p}-----END [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----"
+    fields = rf"(?:{gap}[A-Za-z][A-Za-z0-9-]*{p}:[^\r\n\\]*{p})*{p}"
+    runs = rf"(?:{gap}[A-Za-z0-9+/]{{16,}}{p}={{0,2}}{p})+{p}(?:{gap}[A-Za-z0-9+/]+{p}={{0,2}}{p})?{p}"
+    return rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----(?:{ended}|(?:{fields}{runs})?)"
+
+
+_WORDS = [
+    "secret[_-]access[_-]key", "access[_-]secret", "secret[_-]key", "private[_-]key", "access[_-]key", "client[_-]secret",
+    "access[_-]token", "auth[_-]token", "encryption[_-]key",
+]
+_KEY_NAMES = "|".join("[_-]".join(map(either_case, w.split("[_-]"))) for w in _WORDS) + "|secretAccessKey|secretKey|privateKey|accessKey|encryptionKey"
 #: Well-known shapes of keys, added to the base kinds.
 RULES = BASE_RULES + (
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36}"),
@@ -68,7 +78,9 @@ RULES = BASE_RULES + (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", beyond=_KEY_BODY),
+    Rule("private_key", _private_key(""), fast=_private_key("+")),
+    Rule("temporary", r"ASIA[A-Z0-9]{14,}"),
+    Rule("key_assign", rf"({_KEY_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
 )
 
 # --- trigram queries: a trigram, ("and", parts), ("or", parts), or None for "any text"
@@ -194,9 +206,10 @@ def _before(lengths: Column) -> Column:
 
 def _matches(text: Column, rule: Rule) -> Column:
     """Gaps and matches of a rule: the text is gap, match, gap, match, ..., gap."""
-    groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)) if rule.group else groups
-    return F.struct(F.split(text, rule.pattern, -1).alias("gaps"), whole.alias("hits"), groups.alias("groups"))
+    pattern = rule.fast or rule.pattern
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if rule.group else groups
+    return F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("hits"), groups.alias("groups"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -212,20 +225,17 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
             lambda span: span.isNotNull(),
         ))
 
-    return F.when(text.rlike(rule.pattern), let(_matches(text, rule), located))
+    return F.when(text.rlike(rule.fast or rule.pattern), let(_matches(text, rule), located))
 
 
 def _masked(text: Column, rule: Rule) -> Column:
-    def rest(gap: Column, i: Column) -> Column:
-        return F.when(i > 0, F.regexp_replace(gap, rf"\A(?:{rule.beyond})", "")).otherwise(gap) if rule.beyond else gap
-
     def rebuilt(m: Column) -> Column:
         parts = F.transform(m["gaps"], lambda gap, i: F.concat(
-            rest(gap, i), F.coalesce(F.when(F.length(F.get(m["groups"], i)) >= rule.least, F.lit(MASK)).otherwise(F.get(m["hits"], i)), F.lit(""))
+            gap, F.coalesce(F.when(F.length(F.get(m["groups"], i)) >= rule.least, F.lit(MASK)).otherwise(F.get(m["hits"], i)), F.lit(""))
         ))
         return F.array_join(parts, "")
 
-    return F.when(text.rlike(rule.pattern), let(_matches(text, rule), rebuilt)).otherwise(text)
+    return F.when(text.rlike(rule.fast or rule.pattern), let(_matches(text, rule), rebuilt)).otherwise(text)
 
 
 def _with_candidates(docs: DataFrame, id_column: str, text_column: str, rules: tuple[Rule, ...]) -> DataFrame:
@@ -266,11 +276,11 @@ def _no_spans() -> Column:
 def redact_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret replaced by `MASK`; null texts stay null, other columns as they are.
 
-    Of a private key the body goes too, up to its END line or as far as its base64 goes.
+    A private key goes whole, up to its END line or as far as its base64 goes.
     """
     rows = _with_candidates(docs, id_column, text_column, rules)
-    # first the rules that look beyond a match, before another mask splits what they look at
-    for rule in sorted(rules, key=lambda r: not r.beyond):
+    # whole keys first, before a mask inside them splits what they are told by
+    for rule in sorted(rules, key=lambda r: not r.fast):
         rows = rows.withColumn("_text", F.when(_possible(rule), _masked(F.col("_text"), rule)).otherwise(F.col("_text")))
     original = F.col("_doc").getField(text_column)
     return rows.select(*[
