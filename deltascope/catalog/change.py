@@ -11,6 +11,7 @@ from deltascope import (
     period_totals, profile, resolve_plan, run_plan, summability_guard, trend,
 )
 from deltascope.catalog import query, rounded, table
+from deltascope.catalog.profiling import COLUMNS, dtype_of, profile_sql
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
 from deltascope.functions import fixed
 from deltascope.operators.dimensions import folded_counts
@@ -534,6 +535,39 @@ def plan_resolved_and_run(spark, folder):
     return shown(run_plan(plan, orders).slices)
 
 
+ORDER_TYPES = {c: dtype_of(c) for c in COLUMNS["orders"]}
+TAGGED = "tagged AS (SELECT *, 'tag ' || o_orderkey AS tag FROM orders),"
+TAGGED_PROFILE = profile_sql("tagged", ORDER_TYPES | {"tag": "string"}, TAGGED)
+
+
+@query(f"""SELECT 1 AS position, 'The table has no column ''turnover'' to serve as metric; ''' || name || ''' takes its place.' AS warning
+  FROM (SELECT name FROM ({TAGGED_PROFILE}) WHERE semantic_type = 'numeric' ORDER BY regexp_matches(name, '{fixed.CODE_NAME_PATTERN}'), position LIMIT 1)
+UNION ALL SELECT 2, 'The table has no column ''when'' to serve as date column; ''' || name || ''' takes its place.'
+  FROM (SELECT name FROM ({TAGGED_PROFILE}) WHERE semantic_type = 'date' ORDER BY position LIMIT 1)
+UNION ALL SELECT 3, 'Not in the table and left out of the grouping: nowhere.'
+UNION ALL SELECT 4, 'Left out of the grouping, since almost every row has its own value: tag (' || format('{{:,}}', unique_count) || ' values).'
+  FROM ({TAGGED_PROFILE}), (SELECT count(*) AS n FROM orders) WHERE name = 'tag' AND unique_count > {fixed.GRANULAR_MIN_DISTINCT} AND unique_count > {fixed.GRANULAR_MIN_RATIO} * n
+UNION ALL SELECT 5, '''last spring'' is no period; the latest one is analysed.'
+UNION ALL SELECT 6, 'The filter o_orderpriority = ''none such'' is dropped, no row has that value.' WHERE NOT EXISTS (SELECT * FROM orders WHERE lower(trim(o_orderpriority)) = 'none such')
+UNION ALL SELECT 7, 'The filter o_orderstatus = ''f'' is dropped, no row has that value.' WHERE NOT EXISTS (SELECT * FROM orders WHERE lower(trim(o_orderstatus)) = 'f')
+UNION ALL SELECT 8, 'The filter on ''nowhere'' is dropped, there is no such column.'
+UNION ALL SELECT 9, 'grouped by ' || string_agg(name, ', ' ORDER BY position) FROM ({TAGGED_PROFILE}) WHERE name = 'o_orderpriority'""")
+def plan_warnings(spark, folder):
+    """A plan with an unknown metric and date, a column that names every row, an unknown one,
+    and filters on nothing: every verdict as a sentence, and what is left of the grouping."""
+    orders = table(spark, folder, "orders")
+    tagged = orders.withColumn("tag", F.concat(F.lit("tag "), F.col("o_orderkey").cast("string")))
+    wanted = Plan(
+        metric="turnover", date_column="when", period_after="last spring", dimensions=("nowhere", "tag", "o_orderpriority", "o_orderstatus"),
+        filters=(("o_orderpriority", "none such"), ("o_orderstatus", "f"), ("nowhere", "x")),
+    )
+    plan, warnings = resolve_plan(wanted, profile(tagged, duplicates=False), tagged)
+    kinds = ("metric;", "date column;", "Not in", "Left out", "no period", "'none such'", "'f'", "'nowhere' is dropped")
+    places = [next(i for i, k in enumerate(kinds, 1) if k in w) for w in warnings]
+    rows = [*zip(places, warnings), (len(kinds) + 1, "grouped by " + ", ".join(plan.dimensions))]
+    return spark.createDataFrame(rows, "position int, warning string")
+
+
 WORDS = fixed.NOT_A_SUM_PATTERN
 
 

@@ -222,10 +222,9 @@ def effect_size(df: DataFrame, group: str, metric: str) -> DataFrame:
 
 def bins(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """Mean of `y` per bin of `x`, with the rows behind it: a bin of few rows says little."""
-    pairs = _pairs(df, x, y)
-    n = pairs.count()
-    return (
-        pairs.groupBy((F.floor(F.col("x") / F.lit(float(width))) * F.lit(float(width))).alias("bin"))
-        .agg(F.avg("y").alias("mean"), F.count("*").alias("n"))
-        .withColumn("share", F.col("n") / F.lit(float(n)) if n else F.lit(0.0))
+    binned = materialize(
+        _pairs(df, x, y).groupBy((F.floor(F.col("x") / F.lit(float(width))) * F.lit(float(width))).alias("bin"))
+        .agg(F.avg("y").alias("mean"), F.count("*").alias("n")), "bins"
     )
+    rows = binned.agg(F.sum("n")).first()[0] or 1
+    return binned.withColumn("share", F.col("n") / F.lit(float(rows)))
