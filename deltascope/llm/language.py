@@ -116,7 +116,13 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from the labelled documents that are not held out; rows without id, text or label are passed over."""
+    """Learn from the labelled documents that are not held out; rows without id, text or label are passed over.
+
+    At most `per_language` rows a label are fitted on, by a hash of their ids; of rows that
+    share an id, and of ties, by a hash of their texts. Empty texts and texts without a
+    letter count for nothing, very long ones are read whole, an empty table gives a model
+    that knows no language. Other columns are not read.
+    """
     labelled = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{label_column}`").cast("string").alias("label"))
     labelled = labelled.where("_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("_id")))
 

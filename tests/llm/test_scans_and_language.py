@@ -87,3 +87,13 @@ def test_nothing_to_learn_from(spark):
     model = language.train(docs)
     assert {(r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()} == {("und", 0.0)}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_sample_is_bounded_whatever_ids_repeat(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(language, "fit", lambda found, labels, languages, idf: fitted.append(len(labels)))
+    own = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(own, f"the house of number {k} and more", "en") for k in range(900)] + [(own, f"das haus nummer {k} und mehr", "de") for k in range(30)]
+    rows += [(i, "una casa y más", "es") for i in range(60)] + [(own, "una casa y más", "es")] * 200
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert fitted and fitted[0] <= 150
