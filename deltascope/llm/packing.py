@@ -205,7 +205,9 @@ def complete_bins(counts: dict[int, int], capacity: int, steps: int = SEARCH_STE
     Depth-first: for the largest piece left, fillings in order of waste; each is repeated as
     often as the counts allow. A branch is cut when the waste so far exceeds what one
     sequence fewer than the incumbent would leave. The search ends at the lower bound, which
-    proves the plan optimal, or after `steps` nodes.
+    proves the plan optimal, or after `steps` nodes. A node tries at most 32 fillings, found
+    within one five-hundredth of the steps and no further than the first without waste: so
+    the search may end without a proof, and fewer sequences may then be possible.
     """
     incumbent = best_fit(counts, capacity)
     best, bound = sum(n for _, n in incumbent), sequences_needed(counts, capacity)
