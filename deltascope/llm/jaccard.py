@@ -248,6 +248,13 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, own array<long>")
 
 
+def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`(a, b, one, two)`: pairs with size and sketch of both nodes."""
+    shown = F.struct("n", "sketch")
+    one, two = nodes.select(F.col("node").alias("a"), shown.alias("one")), nodes.select(F.col("node").alias("b"), shown.alias("two"))
+    return pairs.join(one, "a").join(two, "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("_a"))
@@ -339,26 +346,30 @@ def near_duplicates(
     involved = members.select("node").distinct()
     known = rows.select(F.col("doc_id").alias("node"), "n", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
     known = materialize(known, "involved")
-    members = materialize(members.join(known, "node").withColumn("component", F.col("node")), "placed-members")
+    placed = materialize(members.withColumn("component", F.col("node")), "placed-members")
+    release(members)
+    members = placed
 
     links = None
     for round_ in range(HUB_ROUNDS + 1):
         # signatures whose members are not yet all in one component
         open_ = members.groupBy("signature").agg(F.min("component").alias("_from"), F.max("component").alias("_to")).where("_from != _to")
-        rest = members.join(open_.select("signature"), "signature", "left_semi").select(
-            "signature", F.struct("node", "component", "n", "sketch").alias("one"))
+        rest = members.join(open_.select("signature"), "signature", "left_semi")
         if round_ < HUB_ROUNDS:
-            # each round takes another hub, and every member elsewhere is compared with it
-            order = F.xxhash64("one.node", F.lit(round_)) if round_ else F.col("one.node")
-            other = rest.groupBy("signature").agg(F.min_by("one", order).alias("two"))
-            ordered = F.lit(True)
+            # each round takes another hub, and every member elsewhere is compared with it:
+            # no more pairs than members, so sketches meet the pairs and not the signatures
+            order = F.xxhash64("node", F.lit(round_)) if round_ else F.col("node")
+            hubs = rest.groupBy("signature").agg(F.min_by(F.struct("node", "component"), order).alias("hub"))
+            met = rest.join(hubs, "signature").where("component != hub.component")
+            pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            pairs = _with_sketches(pairs, known).where(_may_link("one", "two", percent)).select("a", "b")
         else:
-            rest = materialize(rest, "open-members")
-            other = rest.select("signature", F.col("one").alias("two"))
-            ordered = F.col("one.node") < F.col("two.node")
-        apart = ordered & (F.col("one.component") != F.col("two.component"))
-        met = rest.alias("x").join(other.alias("y"), (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("one", "two", percent))
-        pairs = met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
+            # of the pairs that are left none is passed on before its sketches are compared
+            one = rest.join(known, "node").select("signature", F.struct("node", "component", "n", "sketch").alias("one"))
+            two = one.select("signature", F.col("one").alias("two"))
+            apart = (F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component"))
+            met = one.alias("x").join(two.alias("y"), (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("one", "two", percent))
+            pairs = met.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             continue
