@@ -335,26 +335,34 @@ def _cells(df: DataFrame, exact: bool) -> DataFrame:
     together they read every column once. A long text is grouped by its digest, so its facts
     are worked out before the digest takes its place; those of a short one afterwards, once
     per distinct value. The rules are the same for both. Of a long text `text` has the first
-    characters only.
+    characters only. The rules read a text trimmed, so a long text that is short once trimmed,
+    such as a padded cell, carries its trimmed text instead and has its facts worked out once
+    per distinct value as well.
     """
     cell, parts = F.col("cell"), []
     for family, types, flat in _families(df, df.columns):
         key, carried = ["position", "cell"], []
         if family == "text":
-            is_long, facts = F.length(cell) > DIGEST_ABOVE, _text_facts(cell, types)
+            is_long, facts, trimmed = F.length(cell) > DIGEST_ABOVE, _text_facts(cell, types), strip(cell)
+            padded = is_long & (F.length(trimmed) <= DIGEST_ABOVE)
             # a short text could look like a digest, so which it is belongs to the key
-            key, carried = [*key, "long"], ["begins", *FACTS]
+            key, carried = [*key, "long"], ["begins", "trimmed", *FACTS]
             flat = flat.select(
                 "position", F.when(is_long, F.sha2(cell, 256)).otherwise(cell).alias("cell"),
                 F.coalesce(is_long, F.lit(False)).alias("long"), F.when(is_long, F.substring(cell, 1, BOUND_CHARACTERS)).alias("begins"),
-                *[F.when(is_long, facts[n]).alias(n) for n in FACTS],
+                F.when(padded, trimmed).alias("trimmed"), *[F.when(is_long & ~padded, facts[n]).alias(n) for n in FACTS],
             )
         if exact:
             flat = flat.groupBy(*key).agg(F.count("*").alias("rows"), *[F.max(n).alias(n) for n in carried])
         else:
             flat = flat.withColumn("rows", F.lit(1).cast("bigint"))
         if family == "text":
-            facts = [F.when(F.col("long"), F.col(n)).otherwise(facts[n]).alias(n) for n in FACTS]
+            # the facts of a text are those of its trimmed text
+            of_trimmed = _text_facts(F.col("trimmed"), types)
+            facts = [
+                F.when(F.col("trimmed").isNotNull(), of_trimmed[n]).when(F.col("long"), F.col(n)).otherwise(facts[n]).alias(n)
+                for n in FACTS
+            ]
             text, long = F.when(F.col("long"), F.col("begins")).otherwise(cell), F.col("long")
         else:
             no, none = F.lit(False), F.lit(None)
