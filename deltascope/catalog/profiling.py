@@ -176,12 +176,17 @@ def profile_top_values(spark, folder):
 
 
 @query(" UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{c}' AS name, {c} AS value, CAST(row_number() OVER (ORDER BY {c}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 4"
+    f"SELECT * FROM (SELECT '{c}' AS name, {c} AS value, count(*) AS rows, CAST(row_number() OVER (ORDER BY {c}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 4"
     for c in ["text", "lang", "source"]))
 def profile_sample_values(spark, folder):
-    """The smallest values as the profile has them, of whole documents too."""
-    found = profile(table(spark, folder, "documents"), duplicates=False).to_frame().where("dtype = 'string'")
-    return found.select("name", F.posexplode("samples").alias("rank", "value")).select("name", "value", (F.col("rank") + 1).alias("rank"))
+    """The smallest values as the profile has them, of whole documents too, with the rows that hold each."""
+    documents = table(spark, folder, "documents")
+    found = profile(documents, duplicates=False).to_frame().where("dtype = 'string'")
+    samples = found.select("name", F.posexplode("samples").alias("rank", "value"))
+    names = [r["name"] for r in found.select("name").collect()]
+    cells = documents.select(*names).unpivot([], names, "name", "value")
+    rows = cells.join(F.broadcast(samples.select("name", "value")), ["name", "value"], "left_semi").groupBy("name", "value").agg(F.count("*").alias("rows"))
+    return samples.join(rows, ["name", "value"]).select("name", "value", "rows", (F.col("rank") + 1).alias("rank"))
 
 
 @query(" UNION ALL ".join(
