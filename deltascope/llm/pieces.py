@@ -92,6 +92,10 @@ class Codec:
         self.bytes = [
             bytes([int(p[3:5], 16)]) if kind == pm.BYTE else p.replace(pm.MARKER, " ").encode() for p, _, kind in model.pieces
         ]
+        # the bytes of all pieces end to end, and where each piece's begin and how long they are
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def _cut(self, text: str) -> list[str]:
         parts = []
@@ -121,12 +125,16 @@ class Codec:
             if word not in known:
                 (odd if " " in word or pm.MARKER in word else new).append(word)
         # plain words are encoded as texts of many, in which each begins with the next marker
-        portions = list(_portions(new, WORDS_AT_ONCE))
+        # plain words do not merge with their neighbours, so where portions are cut does not matter
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        cuts = np.unique(np.searchsorted(ends, np.arange(WORDS_AT_ONCE, ends[-1], WORDS_AT_ONCE) if len(new) else [], "right")).tolist()
+        portions = [new[a:b] for a, b in zip([0, *cuts], [*cuts, len(new)]) if a < b]
         for portion, found in zip(portions, self.tokenizer.encode_batch_fast([" ".join(p) for p in portions], add_special_tokens=False)):
             ids = np.array(found.ids, np.int32)
             starts, held = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
-            for word, start, end in zip(portion, starts, [*starts[1:], len(held)], strict=True):
-                known[word] = held[start:end]
+            if len(starts) != len(portion):
+                raise ValueError("a plain word did not begin with the marker")
+            known.update(zip(portion, map(held.__getitem__, map(slice, starts, [*starts[1:], len(held)]))))
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             known[word] = np.array(found.ids, np.int32).tobytes()
         out = [np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32) for own in units]
@@ -150,10 +158,14 @@ class Codec:
 
     def decode(self, ids) -> str:
         """The text of ids; as the tokenizer's own decoder has it where bytes are no valid text."""
+        ids = np.asarray(ids, np.int64)
+        lengths = self.lengths[ids]
+        # each byte's place in the table: its piece's start there, plus its place in the piece
+        shift = np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths)
         try:
-            return b"".join([self.bytes[i] for i in ids]).decode().removeprefix(self.opening)
+            return self.table[np.arange(len(shift)) + shift].tobytes().decode().removeprefix(self.opening)
         except UnicodeDecodeError:
-            return self.tokenizer.decode(list(ids), skip_special_tokens=False)
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
@@ -226,7 +238,7 @@ def encode(
                 out = pd.DataFrame({"doc_id": part["doc_id"].tolist(), "ids": ids, "parity": pd.array(parity, dtype="boolean")})
                 out["doc_id"] = out["doc_id"].astype(part["doc_id"].dtype)
                 if decoded:
-                    out["decoded"] = [codec.decode(own.tolist()) for own in ids]
+                    out["decoded"] = [codec.decode(own) for own in ids]
                 yield out
 
     return whole.mapInPandas(run, f"doc_id {kind}, ids array<int>, parity boolean" + ", decoded string" * decoded)

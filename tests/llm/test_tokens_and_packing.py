@@ -148,3 +148,17 @@ def test_ties_are_those_of_the_tokenizer():
         for _ in range(4):
             text = "".join(rng.choice("ab▁cd") for _ in range(rng.randint(1, 14)))
             assert counter.count(text)[1] == len(tokenizer.encode(text).ids), (vocabulary, text)
+
+
+def test_codec_decodes_arrays_and_many_portions_of_new_words():
+    import sentencepiece
+
+    original = sentencepiece.SentencePieceProcessor(model_file=PIECES_PATH)
+    codec = pieces.Codec(pm.load(PIECES_PATH))
+    words = " ".join(f"w{i}é{i % 7}" for i in range(3 * pieces.WORDS_AT_ONCE // 4))  # new words over several portions
+    for text in [words, "a \U0001F600 b", "", *TEXTS[:8]]:
+        ids = codec.encode([text])[0]
+        assert ids.tolist() == original.encode(text)
+        assert codec.decode(ids) == codec.decode(ids.tolist()) == codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False).replace("▁", " ")
+    lone = [codec.tokenizer.token_to_id("<0xC3>")]  # no valid text: the tokenizer's own decoder answers
+    assert codec.decode(np.array(lone, np.int32)) == codec.tokenizer.decode(lone, skip_special_tokens=False)
