@@ -200,6 +200,11 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 # --- jobs
 
 
+def _by_shuffle(df: DataFrame) -> DataFrame:
+    """The side of a join that meets the other by a shuffle: a small table is not collected by the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[tuple[int | None, str | None]]]:
     """(id, text) of a few rows at a time, so that a task holds few sets at once."""
     for batch in batches:
@@ -252,7 +257,7 @@ def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """`(a, b, one, two)`: pairs with size and sketch of both nodes."""
     shown = F.struct("n", "sketch")
     one, two = nodes.select(F.col("node").alias("a"), shown.alias("one")), nodes.select(F.col("node").alias("b"), shown.alias("two"))
-    return pairs.join(one, "a").join(two, "b")
+    return pairs.join(_by_shuffle(one), "a").join(_by_shuffle(two), "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +265,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("_a"))
     right = sets.select(F.col("node").alias("b"), F.col("own").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(_by_shuffle(left), "a").join(_by_shuffle(right), "b")
     return met.where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
@@ -276,9 +281,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         ways = edges.union(edges.select(F.col("component").alias("node"), F.col("node").alias("component")))
         least = ways.groupBy("node").agg(F.min("component").alias("least")).select("node", F.least("node", "least").alias("least"))
-        large = ways.where("component > node").join(least, "node").select(F.col("component").alias("node"), F.col("least").alias("component")).distinct()
+        large = ways.where("component > node").join(_by_shuffle(least), "node").select(F.col("component").alias("node"), F.col("least").alias("component")).distinct()
         least = large.groupBy("node").agg(F.min("component").alias("least"))
-        small = large.join(least, "node")
+        small = large.join(_by_shuffle(least), "node")
         tied = small.select(F.col("component").alias("node"), F.col("least").alias("component")).union(small.select("node", F.col("least").alias("component")))
         seen = Observation()
         edges = materialize(tied.where("node != component").distinct().observe(
@@ -291,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).withColumnRenamed("node", "_node")
-    return nodes.join(found, nodes["node"] == found["_node"], "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
+    return nodes.join(_by_shuffle(found), nodes["node"] == found["_node"], "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
 
 
 def near_duplicates(
@@ -330,9 +335,9 @@ def near_duplicates(
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes"
     )
     others = materialize(
-        rows.where("n > 0").select("doc_id", *digest).join(nodes.where("copies > 1"), digest).where("doc_id != node").select("doc_id"), "copies"
+        rows.where("n > 0").select("doc_id", *digest).join(_by_shuffle(nodes.where("copies > 1")), digest).where("doc_id != node").select("doc_id"), "copies"
     )
-    members = signed.where("n > 0 AND doc_id IS NOT NULL").join(others, "doc_id", "left_anti").select(
+    members = signed.where("n > 0 AND doc_id IS NOT NULL").join(_by_shuffle(others), "doc_id", "left_anti").select(
         F.col("doc_id").alias("node"), F.explode("signatures").alias("signature")
     )
     # most signatures are met once; a prefix long enough for their number tells that, and
@@ -340,11 +345,11 @@ def near_duplicates(
     expected = sum(n * GROWTH**k for k, n in counted.items() if k is not None)
     prefix = F.shiftrightunsigned("signature", max(0, 64 - SPARE_BITS - math.ceil(math.log2(max(2, expected)))))
     shared = members.select(prefix.alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    members = materialize(members.join(shared, prefix == shared["prefix"], "left_semi"), "members")
+    members = materialize(members.join(_by_shuffle(shared), prefix == shared["prefix"], "left_semi"), "members")
     release(signed)
 
     involved = members.select("node").distinct()
-    known = rows.select(F.col("doc_id").alias("node"), "n", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    known = rows.select(F.col("doc_id").alias("node"), "n", "sketch").join(_by_shuffle(involved), "node", "left_semi").dropDuplicates(["node"])
     known = materialize(known, "involved")
     placed = materialize(members.withColumn("component", F.col("node")), "placed-members")
     release(members)
@@ -354,27 +359,27 @@ def near_duplicates(
     for round_ in range(HUB_ROUNDS + 1):
         # signatures whose members are not yet all in one component
         open_ = members.groupBy("signature").agg(F.min("component").alias("_from"), F.max("component").alias("_to")).where("_from != _to")
-        rest = members.join(open_.select("signature"), "signature", "left_semi")
+        rest = members.join(_by_shuffle(open_.select("signature")), "signature", "left_semi")
         if round_ < HUB_ROUNDS:
             # each round takes another hub, and every member elsewhere is compared with it:
             # no more pairs than members, so sketches meet the pairs and not the signatures
             order = F.xxhash64("node", F.lit(round_)) if round_ else F.col("node")
             hubs = rest.groupBy("signature").agg(F.min_by(F.struct("node", "component"), order).alias("hub"))
-            met = rest.join(hubs, "signature").where("component != hub.component")
+            met = rest.join(_by_shuffle(hubs), "signature").where("component != hub.component")
             pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
             pairs = _with_sketches(pairs, known).where(_may_link("one", "two", percent)).select("a", "b")
         else:
             # of the pairs that are left none is passed on before its sketches are compared
-            one = rest.join(known, "node").select("signature", F.struct("node", "component", "n", "sketch").alias("one"))
+            one = rest.join(_by_shuffle(known), "node").select("signature", F.struct("node", "component", "n", "sketch").alias("one"))
             two = one.select("signature", F.col("one").alias("two"))
             apart = (F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component"))
-            met = one.alias("x").join(two.alias("y"), (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("one", "two", percent))
+            met = one.alias("x").join(_by_shuffle(two.alias("y")), (F.col("x.signature") == F.col("y.signature")) & apart & _may_link("one", "two", percent))
             pairs = met.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             continue
         met_nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = whole.join(met_nodes, whole["doc_id"] == met_nodes["node"], "left_semi")
+        texts = whole.join(_by_shuffle(met_nodes), whole["doc_id"] == met_nodes["node"], "left_semi")
         found = materialize(_linked(pairs, materialize(_sets(texts, words), "sets"), percent), "links")
         links = found if links is None else links.union(found)
         if round_ < HUB_ROUNDS:
@@ -385,7 +390,7 @@ def near_duplicates(
     named = nodes.withColumn("component", F.col("node")) if links is None else _named(nodes, links)
     named = named.select(*[F.col(c).alias(f"_{c}") for c in digest], "component")
     same = [rows[c] == named[f"_{c}"] for c in digest]
-    return rows.join(named, same[0] & same[1] & same[2], "left").select(
+    return rows.join(_by_shuffle(named), same[0] & same[1] & same[2], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )

@@ -129,3 +129,13 @@ def test_unlinked_group_passes_on_few_pairs(make, monkeypatch):
     found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(make(rows), 3, 90).collect()}
     assert found == {i: c for i, (_, c) in brute(rows, 3, 90).items()} and len(set(found.values())) > 200
     assert sum(passed) < 240 * 239 / 2 / 20
+
+
+def test_no_table_is_broadcast_through_the_driver(spark):
+    # small tables would be collected by the driver for a broadcast join, and its memory grows run by run
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3} common text here") for i in range(60)] + [(60, None), (None, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.near_duplicates(docs, 3, 90)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.component_id for r in found.collect() if r.doc_id is not None} == {i: c for i, (_, c) in brute(rows[:61], 3, 90).items()}
