@@ -8,7 +8,7 @@ from deltascope import coerce_numeric, parse_dates, prepare, profile, quality_is
 from deltascope.catalog import query, rounded, table
 from deltascope.catalog.tables import MESSY, PARSED, messy_orders
 from deltascope.functions import fixed
-from deltascope.operators.profile import NOTES, rollup_levels
+from deltascope.operators.profile import NOTES, candidate_keys, rollup_levels
 from deltascope.operators.roles import dimension_candidates, granularity, metric_candidates, time_axis_candidates
 
 COLUMNS = {
@@ -192,7 +192,7 @@ def profile_sample_values(spark, folder):
 @query(" UNION ALL ".join(
     f"SELECT '{t}' AS table_name, name FROM ({counts_sql(t)}) WHERE is_key" for t in COLUMNS))
 def profile_keys(spark, folder):
-    found = [(t, key) for t in COLUMNS for key in profile(table(spark, folder, t), duplicates=False).candidate_keys]
+    found = [(t, key) for t in COLUMNS for key in candidate_keys(table(spark, folder, t))]
     return spark.createDataFrame(found, "table_name string, name string")
 
 

@@ -522,6 +522,28 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Table
     return table
 
 
+def candidate_keys(df: DataFrame) -> list[str]:
+    """The columns an exact profile calls keys: no nulls, and every row differs.
+
+    Only the counts the rule reads are taken, all in one pass; a long text is counted by its
+    digest, as the profile does.
+    """
+    if not df.columns or df.isStreaming:
+        return []
+    counts = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(df.schema.fields):
+        cell = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            long = F.length(cell) > DIGEST_ABOVE
+            distinct = F.count_distinct(F.when(long, F.sha2(cell, 256)).otherwise(cell), long)
+        else:
+            distinct = F.count_distinct(cell)
+        counts += [F.count(cell).alias(f"present_{i}"), distinct.alias(f"unique_{i}")]
+    row = df.agg(*counts).first()
+    n = row["n"]
+    return [f.name for i, f in enumerate(df.schema.fields) if n and row[f"present_{i}"] == n and row[f"unique_{i}"] == n]
+
+
 Values = dict[tuple[str, int], list[Row]]  # the commonest ("top") and smallest ("samples") values by position
 
 
