@@ -6,7 +6,10 @@ into segments. Of D + 1 segments compared for equality at least one must agree;
 that is also compared after leaving out any one shingle (its one-deletion neighbourhood)
 counts for two. How many segments of which kind a band uses is allocated by cost: rows of
 signatures against the accidental agreements expected from the number of documents in the
-band. Some extra segments let a set leave out its empty ones, which would agree by chance.
+band. Extra segments let a set leave out as many: its empty ones, which would agree by
+chance, and then the signatures that most documents have, as those of common passages. All
+sets leave out by one order of all signatures, so of the segments two linked sets agree in,
+one more than the extra ones, the last in that order is left out by neither.
 
 Links. Sets that are equal become one node first. Only signatures met at least twice are
 looked at further. Every member of such a signature is compared with one hub of it; members
@@ -31,14 +34,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from deltascope.llm.common import materialize, pruned, release
 
 GROWTH = 1.4  # of the sizes from one band to the next
 LARGEST = 2**26  # shingles; bands beyond it aren't needed, larger sets share the last
 VERIFY_COST = 40  # comparing a pair, in rows of signatures
-MOST_EXTRA = 16  # extra segments the allocation may consider
+COMMON = 0.05  # share of a set's shingles that many others may have, as far as the cost model knows
+HASH_BITS = 41  # highest of a signature; more would tell apart what is more than all shingles of 100 GB
+BAND_BITS = 7  # below them: its band (bands are fewer than 64), and whether a shingle was left out; the rest is zero, for shuffles
+REST = 64 - HASH_BITS - BAND_BITS
 HUB_ROUNDS = 2  # comparisons with single hubs before members are compared with each other
 SKETCH_BITS = 8  # per shingle of allowed difference, rounded to a power of two
 SPARE_BITS = 6  # of a signature's prefix, beyond what tells all signatures apart on average
@@ -93,7 +99,7 @@ class Band:
     high: int
     exact: int  # segments compared as they are
     deletion: int  # segments also compared after leaving one shingle out
-    extra: int  # how many empty exact segments a set may leave out
+    extra: int  # how many exact segments a set may leave out
 
 
 def difference(total: int, percent: int) -> int:
@@ -110,29 +116,45 @@ def band_limits(percent: int) -> list[tuple[int, int]]:
     return limits
 
 
+def _extras(needed: int) -> Iterator[int]:
+    """Numbers of extra segments the allocation considers: all small ones, then in steps of a twentieth."""
+    extra = 0
+    while extra <= needed:
+        yield extra
+        extra = max(extra + 1, extra * 21 // 20)
+
+
+def _more_than(limit: int, expected: float) -> float:
+    """Probability of a Poisson number to be larger than `limit`; roughly, for large ones."""
+    if expected > 100:
+        return math.erfc((limit + 0.5 - expected) / math.sqrt(2 * expected)) / 2
+    term, below = math.exp(-expected), 0.0
+    for k in range(limit + 1):
+        below += term
+        term *= expected / (k + 1)
+    return max(0.0, 1 - below)
+
+
 def allocate(low: int, high: int, percent: int, documents: float) -> Band:
     """The cheapest way to compare the sets of a band that finds every linked pair."""
     largest = high + high * 100 // percent
     bound = max(difference(t, percent) for t in range(max(2, largest - 20), largest + 1))
     best = None
     for deletion in range(min(4, (bound + 1) // 2 + 1) + 1):
-        for extra in range(MOST_EXTRA + 1):
-            exact = max(0, bound + 1 - 2 * deletion) + (extra if 2 * deletion < bound + 1 else 0)
+        if deletion and 2 * (deletion - 1) >= bound + 1:
+            continue
+        needed = max(0, bound + 1 - 2 * deletion)
+        for extra in _extras(needed):
+            exact = needed + extra
             segments = exact + deletion
-            if not segments or (deletion and 2 * (deletion - 1) >= bound + 1):
-                continue
-            empty = (1 - 1 / segments) ** low
-            expected = exact * empty
-            # of Poisson many empty segments, more than may be left out
-            term, below = math.exp(-expected), 0.0
-            for k in range(extra + 1):
-                below += term
-                term *= expected / (k + 1)
-            exposed = max(0.0, 1 - below)
-            pairs = documents / 2 * (exposed**2 * max(1.0, expected) ** 2 / max(1, exact) + deletion * empty**2 * (1 + 2 * low / segments))
+            # a segment without a rare shingle agrees by chance
+            idle = (1 - (1 - COMMON) / segments) ** low
+            expected = exact * idle
+            exposed = _more_than(extra, expected)
+            pairs = documents / 2 * (exposed**2 * max(1.0, expected - extra) * max(1.0, expected) / max(1, exact) + deletion * idle**2 * (1 + 2 * low / segments))
             cost = segments + deletion * low / segments + VERIFY_COST * pairs
             if best is None or cost < best[0]:
-                best = cost, Band(low, high, exact, deletion, extra if exact else 0)
+                best = cost, Band(low, high, exact, deletion, extra)
     return best[1]
 
 
@@ -146,9 +168,14 @@ def bands_of(size: int, bands: tuple[Band, ...], percent: int) -> list[int]:
     return found
 
 
-def signatures(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> np.ndarray:
-    """Hashes that any two linked sets share at least one of."""
-    found = []
+def signed_set(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that any two linked sets share at least one of, and what a set may still leave out.
+
+    The first hold their band below the hash. The second are one number a band with exact
+    segments, in the same form: how many signatures of that band may go, by any order that
+    is the same for all sets.
+    """
+    found, spare = [], []
     for k in bands_of(len(own), bands, percent):
         band = bands[k]
         count = band.exact + band.deletion
@@ -159,15 +186,26 @@ def signatures(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> np.nda
         content = low + (high << np.uint64(32))  # a sum, so order plays no part and one shingle can be taken out
         place = _mix(np.arange(count, dtype="u8") + np.uint64(k << 40))
         sizes = np.bincount(where, minlength=count)
-        emptied = sizes[:band.exact] == 0
+        emptied = np.flatnonzero(sizes[:band.exact] == 0)[:band.extra]
         use = np.ones(count, dtype=bool)
-        if emptied.sum() <= band.extra:
-            use[:band.exact] = ~emptied
-        found.append(_mix(content[use] ^ place[use]))
+        use[emptied] = False
+        found.append(_in_band(content[use] ^ place[use], np.where(np.flatnonzero(use) < band.exact, k, k + 64)))
+        if band.exact:
+            spare.append((band.extra - len(emptied) << BAND_BITS) + k << REST)
         if band.deletion:
             out = where >= band.exact
-            found.append(_mix((content[where[out]] - value[out]) ^ place[where[out]]))
-    return np.unique(np.concatenate(found))
+            found.append(np.unique(_in_band((content[where[out]] - value[out]) ^ place[where[out]], k + 64)))
+    return np.concatenate(found), np.array(spare, dtype="u8")
+
+
+def _in_band(x: np.ndarray, band: int | np.ndarray) -> np.ndarray:
+    free = np.uint64(64 - HASH_BITS)
+    return _mix(x) >> free << free | np.asarray(band, dtype="u8") << np.uint64(REST)
+
+
+def signatures(own: np.ndarray, bands: tuple[Band, ...], percent: int) -> np.ndarray:
+    """Hashes that any two linked sets share at least one of."""
+    return np.unique(signed_set(own, bands, percent)[0])
 
 
 def sketch(own: np.ndarray, percent: int) -> np.ndarray:
@@ -219,25 +257,27 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view("i8")))
 
 
-_SIGNED = "doc_id long, n long, low long, high long, signatures array<long>, sketch array<long>"
+_SIGNED = "doc_id long, n long, low long, high long, signatures array<long>, spare array<long>, sketch array<long>"
 
 
 def _signed(docs: DataFrame, bands: tuple[Band, ...], words: int, percent: int) -> DataFrame:
-    """Size, 128-bit digest, signatures and sketch of every document's set."""
+    """Size, 128-bit digest, signatures, how many of them may go, and sketch of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches):
-            ids, sizes, digests, signed, sketches = [], [], [], [], []
+            ids, sizes, digests, signed, spares, sketches = [], [], [], [], [], []
             for doc_id, text in rows:
                 own = shingles(text, words)
                 ids.append(doc_id)
                 sizes.append(len(own))
                 digests.append((_mix(own + np.uint64(1)).sum(dtype="u8"), _mix(own + np.uint64(2)).sum(dtype="u8")))
-                signed.append(signatures(own, bands, percent) if len(own) else own)
+                found, spare = signed_set(own, bands, percent) if len(own) else (own, own)
+                signed.append(found)
+                spares.append(spare)
                 sketches.append(sketch(own, percent))
             pairs = np.array(digests, dtype="u8").reshape(-1, 2).view("i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), _lists(signed), _lists(sketches)],
-                ["doc_id", "n", "low", "high", "signatures", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), _lists(signed), _lists(spares), _lists(sketches)],
+                ["doc_id", "n", "low", "high", "signatures", "spare", "sketch"],
             )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -253,6 +293,17 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, own array<long>")
 
 
+def _band(column: str) -> Column:
+    return F.shiftrightunsigned(column, REST).bitwiseAND(2**BAND_BITS - 1)
+
+
+def _without_commonest(met: DataFrame, spare: DataFrame) -> DataFrame:
+    """`(node, signature)`: the signatures but for those of each node and band met most, as many as it may leave out."""
+    place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("met"), "signature"))
+    placed = met.join(_by_shuffle(spare), ["node", "band"], "left").withColumn("place", place)
+    return placed.where(F.col("place") > F.coalesce("spare", F.lit(0))).select("node", "signature")
+
+
 def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """`(a, b, one, two)`: pairs with size and sketch of both nodes."""
     shown = F.struct("n", "sketch")
@@ -338,14 +389,17 @@ def near_duplicates(
         rows.where("n > 0").select("doc_id", *digest).join(_by_shuffle(nodes.where("copies > 1")), digest).where("doc_id != node").select("doc_id"), "copies"
     )
     members = signed.where("n > 0 AND doc_id IS NOT NULL").join(_by_shuffle(others), "doc_id", "left_anti").select(
-        F.col("doc_id").alias("node"), F.explode("signatures").alias("signature")
+        F.explode("signatures").alias("signature"), F.col("doc_id").alias("node")  # in this order a shuffled row compresses best
     )
     # most signatures are met once; a prefix long enough for their number tells that, and
     # what passes by chance has no other member to be compared with
     expected = sum(n * GROWTH**k for k, n in counted.items() if k is not None)
-    prefix = F.shiftrightunsigned("signature", max(0, 64 - SPARE_BITS - math.ceil(math.log2(max(2, expected)))))
-    shared = members.select(prefix.alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    members = materialize(members.join(_by_shuffle(shared), prefix == shared["prefix"], "left_semi"), "members")
+    prefix = F.shiftrightunsigned("signature", max(64 - HASH_BITS, 64 - SPARE_BITS - math.ceil(math.log2(max(2, expected)))))
+    shared = members.select(prefix.alias("prefix")).groupBy("prefix").agg(F.count("*").alias("met")).where("met > 1")
+    met = members.join(_by_shuffle(shared), prefix == shared["prefix"]).select("node", "signature", "met", _band("signature").alias("band"))
+    spare = signed.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.explode("spare").alias("spare"))
+    spare = spare.groupBy("node", _band("spare").alias("band")).agg(F.min(F.shiftright("spare", REST + BAND_BITS)).alias("spare"))
+    members = materialize(_without_commonest(met, spare), "members")
     release(signed)
 
     involved = members.select("node").distinct()

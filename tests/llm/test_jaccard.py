@@ -139,3 +139,66 @@ def test_no_table_is_broadcast_through_the_driver(spark):
     found.collect()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: r.component_id for r in found.collect() if r.doc_id is not None} == {i: c for i, (_, c) in brute(rows[:61], 3, 90).items()}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("documents", [1e3, 1e7])
+def test_linked_sets_share_a_signature_that_neither_leaves_out(percent, documents):
+    """Whatever the order by which the commonest go, also where just the shared ones come first."""
+    bands = tuple(jaccard.allocate(low, high, percent, documents) for low, high in jaccard.band_limits(percent))
+    rng = np.random.default_rng(4)
+    left_out = 0
+
+    def band(x):
+        return int(x) >> jaccard.REST & (2**jaccard.BAND_BITS - 1)
+
+    for size in [*range(1, 40), 60, 100, 250, 700, 1500]:
+        a = np.unique(rng.integers(0, 2**63, size, dtype="u8"))
+        n = size
+        while n and 100 * (n - 1) >= percent * size:
+            n -= 1
+        b = np.unique(np.concatenate([a[rng.permutation(size)[:n]], rng.integers(0, 2**63, (100 * n - percent * size) // percent, dtype="u8")]))
+        both = len(np.intersect1d(a, b))
+        assert 100 * both >= percent * (len(a) + len(b) - both)
+        found = [jaccard.signed_set(x, bands, percent) for x in (a, b)]
+        shared = {*found[0][0].tolist()} & {*found[1][0].tolist()}
+        for salt in range(4):  # 0: what both have goes first
+            rest = []
+            for own, spare in found:
+                order = sorted(own.tolist(), key=lambda x: (salt == 0 and x not in shared, hash((x, salt))))
+                for y in spare.tolist():
+                    first = [x for x in order if band(x) == band(y)][:y >> jaccard.REST + jaccard.BAND_BITS]
+                    left_out += len(first)
+                    order = [x for x in order if x not in first]
+                rest.append({*order})
+            assert rest[0] & rest[1], (size, salt)
+    assert left_out > 50
+
+
+def test_unlinked_large_sets_hardly_share_a_signature():
+    """Empty segments of large sets agreed by chance: the pairs to compare grew with the square of their number."""
+    bands = tuple(jaccard.allocate(low, high, 80, 5000) for low, high in jaccard.band_limits(80))
+    rng = np.random.default_rng(5)
+    found = [jaccard.signatures(rng.integers(0, 2**63, size, dtype="u8"), bands, 80) for size in rng.integers(800, 1300, 200)]
+    met = np.unique(np.concatenate(found), return_counts=True)[1]
+    assert (met * (met - 1) // 2).sum() < 200
+
+
+def test_a_passage_of_all_documents_makes_few_pairs(make, monkeypatch):
+    """Segments that hold nothing but shingles of a common passage are left out."""
+    rng = random.Random(9)
+    passage = [f"c{i}" for i in range(24)]
+    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(rng.randint(90, 110))])) for i in range(400)]
+    rows += [(i + 1000, text.replace(" c3 ", " d3 ")) for i, text in rows[:5]]
+    members, whole = [], jaccard.materialize
+
+    def keeping(df, label="table"):
+        table = whole(df, label)
+        if label == "members":
+            members.append({r.signature: r["count"] for r in table.groupBy("signature").count().collect()})
+        return table
+
+    monkeypatch.setattr(jaccard, "materialize", keeping)
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(make(rows), 5, 80).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+    assert sum(n * (n - 1) // 2 for n in members[0].values()) < 1000  # 24,000 where all signatures stay
